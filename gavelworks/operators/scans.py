@@ -163,3 +163,31 @@ def grouped_median(
         .groupBy(*keys)
         .agg(((F.min(value) + F.max(value)) / 2).alias(out))
     )
+
+
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    columns: dict[str, str],
+    limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Values of the row before, as output name by source column, in groups of any size."""
+    keys = list(keys)
+    parts = split_by_size(df, keys, limit)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    small = parts.small.withColumns({out: F.lag(c).over(w) for c, out in columns.items()})
+    if parts.large is None:
+        return small
+    size = chunk_size(parts.large_rows, limit)
+    placed = numbered(parts.large, keys, order, "_place", parts.large_rows, size)
+    placed = placed.withColumn("_chunk", F.floor((F.col("_place") - 1) / size)).checkpoint()
+    # The last row of a chunk is also shown to the next one.
+    visits = F.when(F.col("_place") % size == 0, F.array("_chunk", F.col("_chunk") + 1)).otherwise(F.array("_chunk"))
+    inside = Window.partitionBy(*keys, "_in").orderBy("_place")
+    large = (
+        placed.withColumn("_in", F.explode(visits))
+        .withColumns({out: F.lag(c).over(inside) for c, out in columns.items()})
+        .filter(F.col("_in") == F.col("_chunk"))
+    )
+    return small.unionByName(large.select(*small.columns))

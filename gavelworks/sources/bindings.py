@@ -7,9 +7,10 @@ items, customers become postal areas.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelworks.operators.scans import row_numbers
 from gavelworks.session import use_utc
 
 REMOVAL_NOTES = [
@@ -183,10 +184,8 @@ def areas(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as auction items, numbered within their order."""
     key = F.col("l_orderkey")
-    lot = F.row_number().over(
-        Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    )
-    numbered = table(spark, folder, "lineitem").withColumn("lot", lot)
+    order = [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    numbered = row_numbers(table(spark, folder, "lineitem"), ["l_orderkey"], order, "lot")
     part = table(spark, folder, "part")
     id_ = key * 100 + F.col("lot")
     return numbered.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(

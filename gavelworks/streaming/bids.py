@@ -8,7 +8,7 @@ order; what arrives later than that is dropped by Spark's watermark.
 from __future__ import annotations
 
 import math
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,7 +90,7 @@ STATE = T.StructType(
 )
 
 
-def _advance(item: int, state: list, recent: deque, u: int, bid: int, amount: float) -> tuple:
+def _advance(item: int, state: list, recent: list[int], u: int, bid: int, amount: float) -> tuple:
     """One bid: update the item's scalars in place and return its feature row."""
     n, first_u, last_u, last_a, sum_a, max_a, decayed, cluster_u, cluster_n = state
     n += 1
@@ -104,10 +104,9 @@ def _advance(item: int, state: list, recent: deque, u: int, bid: int, amount: fl
         if u - last_u > CLUSTER_GAP:
             cluster_u, cluster_n = u, n
     recent.append(u)
-    while recent[0] < u - 600 * SECOND:
-        recent.popleft()
-    last_1 = sum(1 for t in recent if t >= u - 60 * SECOND)
-    last_5 = sum(1 for t in recent if t >= u - 300 * SECOND)
+    del recent[: bisect_left(recent, u - 600 * SECOND)]
+    last_1 = len(recent) - bisect_left(recent, u - 60 * SECOND)
+    last_5 = len(recent) - bisect_left(recent, u - 300 * SECOND)
     state[:] = [n, first_u, u, amount, sum_a, max_a, decayed, cluster_u, cluster_n]
     return (
         item,
@@ -135,7 +134,7 @@ def _features(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         waiting = list(zip(wait_u, wait_id, wait_a))
     else:
         scalars, recent, waiting = [0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0, 0], [], []
-    scalars, recent = list(scalars), deque(recent)
+    scalars, recent = list(scalars), list(recent)
     for frame in frames:
         waiting += zip(frame["bid_us"].tolist(), frame["bid_id"].tolist(), frame["bid_amount"].tolist())
     waiting.sort()
@@ -146,7 +145,7 @@ def _features(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     state.update(
         (
             *scalars,
-            list(recent),
+            recent,
             [w[0] for w in waiting],
             [w[1] for w in waiting],
             [w[2] for w in waiting],

@@ -29,13 +29,15 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
-    """Doubles to ``digits`` decimals, integers to 64 bits, flags to 0/1; keys first."""
+    """Doubles to ``digits`` decimals, integers to 64 bits, flags to 0/1, times to micros."""
     names = [*keep, *[c for c in df.columns if c not in keep]]
     out = []
     for name in names:
         kind, c = dict(df.dtypes)[name], F.col(f"`{name}`")
         if kind in ("double", "float"):
             c = F.round(c.cast("double") + F.lit(OFF_THE_HALF), digits)
+        elif kind.startswith("timestamp"):
+            c = F.unix_micros(c.cast("timestamp"))
         elif kind in ("int", "smallint", "tinyint", "boolean"):
             c = c.cast("int").cast("long")
         out.append(c.alias(name))

@@ -230,3 +230,154 @@ def enriched_items(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k < 3, '{"color": "red", "size": "L", "n": {"m": 1}}').when(k < 5, "{}")
         .when(k == 5, "[1, 2, 3, 4]").when(k == 6, "{bad").alias("enriched_item_attributes"),
     )
+
+
+# ----------------------------------------------------------------- documents
+# Documents are built from the flat tables and cut to bounded size, so that a
+# long auction or item becomes several documents.
+
+
+def _image_json() -> F.Column:
+    """Images as addresses, as objects under either name, or as a bare number."""
+    link = F.concat(F.lit("https://img.example/"), F.col("item_id").cast("string"))
+    k = F.col("item_id") % 4
+    second = F.concat(link, F.lit("/2"))
+    return (
+        F.when(k == 0, F.to_json(F.array(link, second)))
+        .when(k == 1, F.to_json(F.array(F.struct(link.alias("url")))))
+        .when(k == 2, F.to_json(F.array(F.struct(F.lit("").alias("url"), link.alias("src")))))
+        .otherwise("3")
+    )
+
+
+def auction_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Auction documents in the four shapes they come in: (auction_id, body)."""
+    fields = F.to_json(
+        F.struct(
+            F.col("item_id").alias("id"),
+            F.col("item_title").alias("title"),
+            F.col("item_lot_number").alias("viewed"),
+            F.col("item_current_bid").alias("current_bid"),
+            F.col("item_bid_count").alias("bid_count"),
+            F.col("item_bidding_extended").alias("bidding_extended"),
+        )
+    )
+    body = F.concat(F.substr(fields, F.lit(1), F.length(fields) - 1), F.lit(', "images": '), _image_json(), F.lit("}"))
+    part = F.floor((F.col("item_lot_number") - 1) / 50)
+    listed = (
+        items(spark, folder)
+        .groupBy("auction_id", part.alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("item_lot_number", body.alias("body")))).alias("lots"))
+    )
+    texts = F.transform("lots", lambda x: x["body"])
+    as_list = F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    keyed = F.transform(texts, lambda t, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), t))
+    as_object = F.concat(F.lit("{"), F.array_join(keyed, ","), F.lit("}"))
+    head = F.concat(F.lit('{"auction": {"title": "Auction '), F.col("auction_id").cast("string"), F.lit('", '))
+    k = F.col("auction_id") % 4
+    document = (
+        F.when(k == 0, F.concat(head, F.lit('"items": '), as_list, F.lit("}}")))
+        .when(k == 1, F.concat(head, F.lit('"catalog_lots": 99, "items": '), as_object, F.lit("}}")))
+        .when(k == 2, as_list)
+        .otherwise(F.concat(F.lit('{"items": '), as_list, F.lit("}")))
+    )
+    return listed.select((F.col("auction_id") * 1000 + F.col("part")).alias("auction_id"), document.alias("body"))
+
+
+def bid_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Bid histories of items in two shapes, at most a thousand bids each."""
+    events = table(spark, folder, "events")
+    bid = F.struct(
+        F.col("event_id").alias("order"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time_of_bid"),
+        F.col("value").alias("amount"),
+        (F.col("event_type") == "purchase").alias("isproxy"),
+    )
+    id_ = F.col("user_id") * 100_000 + F.floor(F.col("event_id") / 1000)
+    histories = events.groupBy("user_id", id_.alias("id")).agg(F.array_sort(F.collect_list(bid)).alias("bids"))
+    keyed = F.concat(
+        F.lit('{"auction": {"items": {"0": '),
+        F.to_json(F.struct("id", F.col("bids").alias("bid_history"))),
+        F.lit("}}}"),
+    )
+    listed = F.to_json(F.array(F.struct("id", "bids")))
+    return histories.select(
+        (F.col("user_id") % 10).alias("auction_id"), F.when(F.col("user_id") % 2 == 0, keyed).otherwise(listed).alias("body")
+    )
+
+
+def enriched_auction_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Enriched auctions; some have no location, or text in its place."""
+    base = "enriched_auction_"
+    place = base + "approxLocation_"
+    rows = enriched_auctions(spark, folder)
+    location = F.struct(
+        *[F.col(place + c).alias(c) for c in ("city", "countryCode", "regionCode", "postalCode")],
+        F.struct(F.col(place + "lat").alias("lat"), F.col(place + "lng").alias("lng")).alias("latLng"),
+    )
+    plain = [F.col("auction_id").alias("amAuctionId"), *[F.col(base + c).alias(c) for c in ("type", "category", "displayRegion")]]
+    k = F.col("auction_id") % 6
+    body = (
+        F.when(k == 0, F.to_json(F.struct(*plain)))
+        .when(k == 1, F.to_json(F.struct(*plain, F.lit("unknown").alias("approxLocation"))))
+        .otherwise(F.to_json(F.struct(*plain, location.alias("approxLocation"))))
+    )
+    return rows.select("auction_id", body.alias("body"))
+
+
+def enriched_item_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Described items; some lack their own id or the whole description."""
+    k = F.col("item_id")
+    described = F.struct(
+        F.col("enriched_item_title").alias("title"),
+        F.col("enriched_item_condition").alias("condition"),
+        F.lit(3).alias("numItems"),
+        F.array(F.lit("A"), F.col("enriched_item_working")).alias("brands"),
+        F.struct(F.lit("red").alias("color"), (k % 10).alias("size")).alias("attributes"),
+    )
+    return enriched_items(spark, folder).select(
+        "item_id",
+        F.to_json(
+            F.struct(
+                F.when(k % 5 != 0, k).alias("amLotId"),
+                F.col("auction_id").alias("amAuctionId"),
+                F.when(k % 9 != 0, described).alias("generatedDescription"),
+            )
+        ).alias("body"),
+    )
+
+
+def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested auction documents with up to four bids per item."""
+    k = F.col("item_id")
+    bid = lambda i: F.struct(
+        F.concat(k.cast("string"), F.lit("-"), i.cast("string")).alias("bid_id"),
+        (i * 1.5).alias("amount"),
+        F.when(i == 1, True).alias("is_winning"),
+    )
+    bids_ = F.transform(F.filter(F.sequence(F.lit(0), F.col("item_bid_count").cast("int")), lambda i: i > 0), bid)
+    item = F.struct(
+        k.alias("item_id"),
+        F.col("item_lot_number").alias("lot_number"),
+        F.col("item_title").alias("title"),
+        F.col("item_current_bid").alias("winning_price"),
+        F.when(k % 2 == 0, F.col("item_bid_count")).alias("num_bids"),
+        F.col("item_closes").alias("end_time"),
+        bids_.alias("bids"),
+    )
+    part = F.floor((F.col("item_lot_number") - 1) / 50)
+    grouped = items(spark, folder).groupBy("auction_id", part.alias("part")).agg(F.collect_list(item).alias("items"))
+    id_ = F.col("auction_id") * 1000 + F.col("part")
+    body = F.to_json(
+        F.struct(
+            id_.alias("auction_id"),
+            F.concat(F.lit("Auction "), F.col("auction_id").cast("string")).alias("title"),
+            F.when(F.col("auction_id") % 3 != 0, F.struct(F.lit("Ottawa").alias("city"), F.lit("ON").alias("state"))).alias(
+                "location"
+            ),
+            F.size("items").alias("num_items"),
+            F.when(F.col("auction_id") % 2 == 0, "closed").alias("status"),
+            "items",
+        )
+    )
+    return grouped.select(id_.alias("auction_id"), body.alias("body"))

@@ -139,7 +139,7 @@ def _features(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         waiting += zip(frame["bid_us"].tolist(), frame["bid_id"].tolist(), frame["bid_amount"].tolist())
     waiting.sort()
     passed = state.getCurrentWatermarkMs() * 1000
-    ready = [w for w in waiting if w[0] <= passed]
+    ready = [w for w in waiting if w[0] < passed]
     waiting = waiting[len(ready) :]
     rows = [_advance(key[0], scalars, recent, *w) for w in ready]
     state.update(
@@ -215,7 +215,7 @@ def soft_close_ends(bids: DataFrame, end: str, mode: str = "bid", delay: str = D
                 waiting += frame["bid_us"].tolist()
         waiting.sort()
         passed = state.getCurrentWatermarkMs() * 1000
-        ready = [u for u in waiting if u <= passed]
+        ready = [u for u in waiting if u < passed]
         waiting = waiting[len(ready) :]
         for u in ready:
             ends, count = _extend(ends, count, u, mode)

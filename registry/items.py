@@ -239,7 +239,7 @@ def excellent_items(spark, folder):
 @query(
     "item_word_counts",
     with_(ITEMS)
-    + f"""SELECT item_id, len(list_filter(regexp_split_to_array(coalesce(item_description, ''), '\\s+'), x -> x <> ''))
+    + f"""SELECT item_id, len(list_filter(regexp_split_to_array(coalesce(item_description, ''), '\\s+'), lambda x: x <> ''))
       AS description_word_count, CAST(item_description IS NOT NULL AS BIGINT) AS has_dimensions,
       {r("(item_current_bid + item_current_bid * 2) / 2", "estimated_value_mid")},
       coalesce(item_title, '') || ' [SEP] ' || coalesce(item_description, '') AS combined_text FROM items""",

@@ -129,7 +129,7 @@ def fresh(spark, name):
 
 @query(
     "append_then_compact",
-    f"""SELECT CAST(month(o_orderdate) AS BIGINT) AS month, count(*) * 2 AS n, {r('sum(o_totalprice) * 2', 'price')}
+    f"""SELECT CAST(month(o_orderdate) AS BIGINT) AS month, count(*) * 2 AS n, {r('sum(o_totalprice) * 2', 'price', 2)}
         FROM orders GROUP BY 1""",
 )
 def append_then_compact(spark, folder):
@@ -140,7 +140,7 @@ def append_then_compact(spark, folder):
     tables.append_parquet(orders, small)
     tables.compact(spark, small, large)
     out = tables.read_parquet(spark, large).groupBy("month")
-    return rounded(out.agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("price")), "month")
+    return rounded(out.agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("price")), "month", digits=2)
 
 
 @query("write_query_result", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1")

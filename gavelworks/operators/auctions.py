@@ -102,7 +102,7 @@ def engineer_auction_features(
     auctions: DataFrame, enriched: DataFrame, areas: DataFrame | None = None, encoder: Encoder | None = None
 ) -> DataFrame:
     """The final auction table."""
-    df = merge(auctions, enriched, ["auction_id"], "left")
+    df = merge(auctions, enriched, ["auction_id"], "left", limit=None)
     df = add_auction_lengths(df)
     df = add_pickup_windows(df, prefix="auction_")
     df = add_item_averages(add_partner_flag(df))
@@ -113,7 +113,7 @@ def engineer_auction_features(
 
 def enriched_for(auctions: DataFrame, enriched: DataFrame) -> DataFrame:
     """What the encoder learns from: the categories as the auctions see them."""
-    return merge(auctions.select("auction_id"), enriched, ["auction_id"], "left")
+    return merge(auctions.select("auction_id"), enriched, ["auction_id"], "left", limit=None)
 
 
 def engineer_auction_times(df: DataFrame) -> DataFrame:

@@ -24,8 +24,12 @@ DECAY = math.log(2) / 120
 
 GROUPS = ("time_series", "bid_counts", "bid_amounts", "auction_progress", "temporal_activity")
 
-# Working columns. They are dropped before the result is returned.
-U, DAY, N, PREV_U, PREV_A = "_u", "_day", "_n", "_prev_u", "_prev_a"
+# Sorts bids without a time after all others.
+LATEST = 10**18
+
+# Working columns. They are dropped before the result is returned. ``AT`` is
+# the bid time for sorting, ``U`` the same or NULL.
+U, AT, DAY, N, PREV_U, PREV_A = "_u", "_at_u", "_day", "_n", "_prev_u", "_prev_a"
 
 Order = Sequence[str | Column]
 
@@ -43,8 +47,8 @@ def prepared(df: DataFrame) -> DataFrame:
     """Parsed bid time, its micros and its day. The scraped names of two columns are accepted."""
     require_columns(df, ["item_id", "bid_time", "bid_amount"])
     out = df.withColumn("bid_time", as_timestamp(df, "bid_time"))
-    out = out.withColumn(U, F.unix_micros("bid_time"))
-    return out.withColumn(DAY, F.floor(F.col(U) / F.lit(DAY_MICROS)))
+    out = out.withColumn(U, F.unix_micros("bid_time")).withColumn(AT, F.coalesce(U, F.lit(LATEST)))
+    return out.withColumn(DAY, F.expr(f"{AT} div {DAY_MICROS}"))
 
 
 def _proxy(df: DataFrame) -> Column:
@@ -57,16 +61,18 @@ class BidWindows:
 
     All of them partition by ``item_id`` first, so one exchange serves every
     feature. Days come before times in the order because the decayed count
-    restarts its exponents each day; that does not change the order.
+    restarts its exponents each day; that does not change the order, and it
+    lets the per-item and per-day windows share one sort.
     """
 
     def __init__(self, tiebreak: Sequence[Column]):
-        self.order = [F.col(DAY).asc_nulls_last(), F.col(U).asc_nulls_last(), *tiebreak]
+        in_time = [F.col(AT).asc(), *tiebreak]
+        self.order = [F.col(DAY).asc(), *in_time]
         self.item = Window.partitionBy("item_id").orderBy(*self.order)
         self.so_far = self.item.rowsBetween(Window.unboundedPreceding, 0)
         self.last_five = self.item.rowsBetween(-4, 0)
         self.today_so_far = (
-            Window.partitionBy("item_id", DAY).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+            Window.partitionBy("item_id", DAY).orderBy(*in_time).rowsBetween(Window.unboundedPreceding, 0)
         )
         self.yesterday = Window.partitionBy("item_id").orderBy(DAY).rangeBetween(-1, -1)
 
@@ -74,7 +80,7 @@ class BidWindows:
         """Bids strictly earlier than ``seconds`` ago."""
         return (
             Window.partitionBy("item_id")
-            .orderBy(U)
+            .orderBy(AT)
             .rangeBetween(Window.unboundedPreceding, -seconds * SECOND - 1)
         )
 
@@ -253,7 +259,11 @@ def windowed(df: DataFrame, groups: Sequence[str], tiebreak: Sequence[Column]) -
     if progress:
         first["_first_a"] = F.first("bid_amount").over(w.so_far)
         first["_prev_a2"] = F.lag("bid_amount", 2).over(w.item)
-    out = df.withColumns(first)
+    out = df
+    if counts:
+        # These sort by time alone, so they come before the sort all others share.
+        out = out.withColumns({f"_before_{s}": F.count("*").over(w.before(s)) for s in (60, 300, 600)})
+    out = out.withColumns(first)
 
     second: dict[str, Column] = {}
     if amounts:
@@ -274,13 +284,11 @@ def windowed(df: DataFrame, groups: Sequence[str], tiebreak: Sequence[Column]) -
             "_decayed", decayed_sum(F.lit(1.0), u, F.col(DAY), w.today_so_far, w.yesterday)
         )
     if amounts:
+        # Already in this order; stated because the function depends on it. It
+        # comes last because Spark forgets the partitioning behind it.
         out = out.sortWithinPartitions("item_id", *w.order)
         out = out.withColumn("_standing", standing(F.col(N), amount.cast("double")))
         out = out.withColumns({"_not_above": F.col("_standing.not_above"), "_median_a": F.col("_standing.median")})
-    if counts:
-        out = out.withColumns(
-            {f"_before_{s}": F.count("*").over(w.before(s)) for s in (60, 300, 600)}
-        )
     return out
 
 
@@ -303,7 +311,7 @@ def engineer_bid_features(
     if unknown:
         raise ValueError(f"unknown feature groups: {sorted(unknown)}")
     ready = prepared(df)
-    original = ready.drop(U, DAY)
+    original = ready.drop(U, AT, DAY)
     order = bid_order(df, tiebreak)
     parts = split_by_size(ready, ["item_id"], item_limit)
     out = finish(windowed(parts.small, groups, order), original, groups, starting_bid)

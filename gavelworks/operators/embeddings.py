@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,8 +14,11 @@ from pyspark.sql import functions as F
 
 from gavelworks.functions.text import STOPWORDS, title_and_description_tokens
 from gavelworks.operators.joins import left_join, not_done
+from gavelworks.session import shared_dir
 
 DIMENSIONS = 100
+# Largest vocabulary, in bytes of vectors, that is sent to every worker.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Words whose neighbours show whether the vectors make sense.
 SAMPLE_WORDS = ["furniture", "antique", "vintage", "table", "chair", "collectible"]
 
@@ -63,17 +68,58 @@ def train_word_vectors(
 
 
 def document_vectors(
-    tokens: DataFrame, words: DataFrame, keys: Sequence[str] = ("auction_id", "item_id"), dimensions: int = DIMENSIONS
+    tokens: DataFrame,
+    words: DataFrame,
+    keys: Sequence[str] = ("auction_id", "item_id"),
+    dimensions: int = DIMENSIONS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Mean vector of each document's known tokens; zeros when it has none.
 
-    Repeats inside a document are counted before the join, and frequent words
+    A vocabulary that fits ``broadcast_bytes`` goes to every worker, and the
+    documents are not shuffled at all. A larger one is joined.
+    """
+    if words.count() * dimensions * 8 <= broadcast_bytes:
+        return _vectors_by_lookup(tokens, words, list(keys), dimensions)
+    return _vectors_by_join(tokens, words, list(keys), dimensions)
+
+
+def _vectors_by_lookup(tokens: DataFrame, words: DataFrame, keys: list[str], dimensions: int) -> DataFrame:
+    table = words.select("word", F.col("vector").cast("array<double>").alias("vector")).toPandas()
+    index = {word: i for i, word in enumerate(table["word"])}
+    # The last row is the zero vector, for documents without a known token.
+    matrix = np.vstack([*table["vector"], np.zeros(dimensions)])
+    shared = tokens.sparkSession.sparkContext.broadcast((index, matrix))
+
+    @F.pandas_udf("array<float>")
+    def mean_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, vectors = shared.value
+        zero = len(vectors) - 1
+        for batch in batches:
+            found = [[known[t] for t in doc if t in known] or [zero] for doc in batch]
+            if not found:
+                yield pd.Series([], dtype="object")
+                continue
+            sizes = np.fromiter(map(len, found), dtype="int64", count=len(found))
+            rows = np.fromiter((i for doc in found for i in doc), dtype="int64", count=sizes.sum())
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            means = np.add.reduceat(vectors[rows], starts, axis=0) / sizes[:, None]
+            yield pd.Series(list(means.astype("float32")))
+
+    return tokens.select(*keys, mean_vector("tokens").alias("embedding"))
+
+
+def _vectors_by_join(tokens: DataFrame, words: DataFrame, keys: list[str], dimensions: int) -> DataFrame:
+    """Repeats inside a document are counted before the join, and frequent words
     are salted in it. The mean is a weighted sum that Spark combines map-side,
     so no document's vectors are ever collected.
     """
-    keys = list(keys)
+    shared_dir(tokens.sparkSession)
     counted = (
-        tokens.select(*keys, F.explode("tokens").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("_n"))
+        tokens.select(*keys, F.explode("tokens").alias("word"))
+        .groupBy(*keys, "word")
+        .agg(F.count("*").alias("_n"))
+        .checkpoint()
     )
     known = words.select("word", array_to_vector(F.col("vector").cast("array<double>")).alias("_vector"))
     met = left_join(counted, known, ["word"]).filter(F.col("_vector").isNotNull())
@@ -141,6 +187,9 @@ def term_weights(tokens: DataFrame, key: str, method: str = "tfidf") -> DataFram
     counts = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     if method == "bow":
         return counts
+    # Read three times below, so written once.
+    shared_dir(tokens.sparkSession)
+    counts = counts.checkpoint()
     documents = tokens.count()
     rarity = counts.groupBy("term").agg(F.log((F.lit(documents) + 1) / (F.count("*") + 1)).alias("idf"))
     return left_join(counts, rarity, ["term"]).withColumn("tfidf", F.col("tf") * F.col("idf"))

@@ -11,7 +11,7 @@ from gavelworks.functions.text import add_presence_flags, add_text_lengths
 from gavelworks.functions.times import as_timestamp
 from gavelworks.operators.encode import Encoder, fit_item_encoder
 from gavelworks.operators.joins import left_join, merge
-from gavelworks.operators.scans import GROUP_LIMIT, chunk_size, numbered, split_by_size
+from gavelworks.operators.scans import WINDOW_LIMIT, chunk_size, numbered, split_by_size
 
 # Raw columns that do not belong in the final item table.
 DROPPED = {
@@ -35,11 +35,14 @@ SYNONYMS = {
 }
 
 
-def add_closing_order(df: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def add_closing_order(
+    df: DataFrame, limit: int = WINDOW_LIMIT, sizes: DataFrame | None = None
+) -> DataFrame:
     """Dense rank of the end time within the auction; 0 without an end time.
 
     In an oversized auction the distinct end times are ranked across the
-    cluster and joined back, so no task holds the whole auction.
+    cluster and joined back, so no task holds the whole auction. ``sizes`` is
+    where auctions are counted, if not in ``df``.
     """
     out = "item_closing_order"
     source = next((c for c in ("item_end_time", "item_closes") if c in df.columns), None)
@@ -47,7 +50,7 @@ def add_closing_order(df: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
         return df.withColumn(out, F.lit(0))
     df = df.withColumn(source, as_timestamp(df, source))
     ends = F.col(source)
-    parts = split_by_size(df, ["auction_id"], limit)
+    parts = split_by_size(df, ["auction_id"], limit, sizes)
     rank = F.dense_rank().over(Window.partitionBy("auction_id").orderBy(ends.asc_nulls_last()))
     small = parts.small.withColumn(out, F.when(ends.isNull(), 0).otherwise(rank))
     if parts.large is None:
@@ -81,14 +84,15 @@ def select_item_columns(df: DataFrame) -> DataFrame:
 
 
 def engineer_item_features(
-    items: DataFrame, enriched: DataFrame, encoder: Encoder | None = None, limit: int = GROUP_LIMIT
+    items: DataFrame, enriched: DataFrame, encoder: Encoder | None = None, limit: int = WINDOW_LIMIT
 ) -> DataFrame:
     """Join items with their descriptions and build the final item table."""
     df = merge(items, enriched, ["item_id", "auction_id"], "inner")
     df = add_presence_flags(add_text_lengths(df))
     df = (encoder or fit_item_encoder(enriched_in(df))).transform(df)
     df = add_list_counts(df)
-    df = add_item_prices(add_closing_order(df, limit))
+    # Every joined item is in ``items``, so its auctions are counted there, before the join.
+    df = add_item_prices(add_closing_order(df, limit, items))
     return select_item_columns(df)
 
 

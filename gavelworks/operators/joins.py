@@ -25,14 +25,19 @@ def suffixed(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tup
     )
 
 
-def left_join(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = KEY_LIMIT) -> DataFrame:
+def left_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], limit: int | None = KEY_LIMIT
+) -> DataFrame:
     """Left join whose heavy keys are spread over several tasks.
 
     Rows of a heavy key get a salt on the left, and its few rows on the right
     are repeated once per salt. Without heavy keys this is a plain join, and
-    AQE broadcasts the right side when it turns out small.
+    AQE broadcasts the right side when it turns out small. ``limit=None`` says
+    that the keys are unique on the left, so there is nothing to look for.
     """
     on = list(on)
+    if limit is None:
+        return left.join(right, on, "left")
     parts = split_by_size(left, on, limit)
     joined = parts.small.join(right, on, "left")
     if parts.large is None:
@@ -52,7 +57,7 @@ def merge(
     on: Sequence[str],
     how: str = "left",
     suffixes: tuple[str, str] = ("_x", "_y"),
-    limit: int = KEY_LIMIT,
+    limit: int | None = KEY_LIMIT,
 ) -> DataFrame:
     """Equi-join with suffixes. ``how`` is inner, left or full.
 

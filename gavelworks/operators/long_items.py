@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelworks.operators.bids import (
+    AT,
     DAY,
     DAY_MICROS,
     DECAY,
@@ -47,7 +48,7 @@ def chunked(
 ) -> DataFrame:
     """Fill the working columns of ``finish`` for oversized items."""
     size = chunk_size(rows, limit)
-    by = [F.col(DAY).asc_nulls_last(), F.col(U).asc_nulls_last(), *order]
+    by = [F.col(AT).asc(), *order]
     placed = numbered(df, KEY, by, N, rows, size)
     placed = placed.withColumn(C, F.floor((F.col(N) - 1) / size)).checkpoint()
     if "bid_number" not in df.columns:

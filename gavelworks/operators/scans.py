@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from gavelworks.session import shared_dir
 
-# Rows one task should hold of a single group.
+# Rows of one group that a Python worker should hold.
 GROUP_LIMIT = 250_000
+# Rows of one group that a window function should sort in one task; it can spill.
+WINDOW_LIMIT = 4_000_000
+# Hash buckets of the quick look for oversized groups.
+BUCKETS = 8192
 
 
 class Split(NamedTuple):
@@ -30,14 +34,24 @@ class Split(NamedTuple):
     large_rows: int
 
 
-def split_by_size(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> Split:
+def split_by_size(
+    df: DataFrame, keys: Sequence[str], limit: int = WINDOW_LIMIT, sizes: DataFrame | None = None
+) -> Split:
     """Rows of groups up to ``limit``, and rows of larger groups if there are any.
 
-    Counting reads only the key columns and shuffles one row per group and
-    map task. At most rows/limit groups can be large, so their list is short;
-    AQE measures it and broadcasts it when it is.
+    Counting reads only the key columns. A first look counts hash buckets,
+    which bound the groups in them and cost a few thousand rows of shuffle;
+    only if a bucket is over the limit are the groups themselves counted. At
+    most rows/limit groups can be large, so their list is short; AQE measures
+    it and broadcasts it when it is. ``sizes`` may name a cheaper frame that
+    has at least as many rows of every group as ``df``.
     """
-    counted = df.groupBy(*[F.col(k).alias(f"_large_{k}") for k in keys]).agg(F.count("*").alias("_rows"))
+    source = df if sizes is None else sizes
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket")
+    fullest = source.groupBy(bucket).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (fullest or 0) <= limit:
+        return Split(df, None, 0)
+    counted = source.groupBy(*[F.col(k).alias(f"_large_{k}") for k in keys]).agg(F.count("*").alias("_rows"))
     large_keys = counted.filter(F.col("_rows") > limit)
     totals = large_keys.agg(F.count("*").alias("groups"), F.sum("_rows").alias("rows")).first()
     if not totals["groups"]:
@@ -46,7 +60,7 @@ def split_by_size(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT)
     return Split(df.join(large_keys, same, "left_anti"), df.join(large_keys, same, "left_semi"), totals["rows"])
 
 
-def chunk_size(rows: int, limit: int = GROUP_LIMIT) -> int:
+def chunk_size(rows: int, limit: int = WINDOW_LIMIT) -> int:
     """Rows per chunk: at least ``limit``, and enough that chunks squared stay below rows."""
     return max(limit, math.isqrt(max(rows, 1)))
 
@@ -120,7 +134,7 @@ def carried_in(summary: DataFrame, keys: Sequence[str], chunk: str, values: dict
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, limit: int = WINDOW_LIMIT
 ) -> DataFrame:
     """``row_number`` over groups of any size."""
     parts = split_by_size(df, keys, limit)
@@ -134,7 +148,7 @@ def row_numbers(
 
 
 def grouped_median(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], value: str, out: str, limit: int = WINDOW_LIMIT
 ) -> DataFrame:
     """Exact median per group.
 
@@ -170,7 +184,7 @@ def with_previous(
     keys: Sequence[str],
     order: Sequence[Column],
     columns: dict[str, str],
-    limit: int = GROUP_LIMIT,
+    limit: int = WINDOW_LIMIT,
 ) -> DataFrame:
     """Values of the row before, as output name by source column, in groups of any size."""
     keys = list(keys)

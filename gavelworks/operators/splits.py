@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelworks.operators.joins import left_join
-from gavelworks.operators.scans import GROUP_LIMIT, row_numbers
+from gavelworks.operators.scans import WINDOW_LIMIT, row_numbers
 
 RATIOS = (0.7, 0.15, 0.15)
 SEED = 42
@@ -29,7 +29,7 @@ def with_split(
     ratios: tuple[float, float, float] = RATIOS,
     stratify: str | None = None,
     seed: int = SEED,
-    limit: int = GROUP_LIMIT,
+    limit: int = WINDOW_LIMIT,
 ) -> DataFrame:
     """Adds ``split``. Rows with the same key stay together.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gavelworks.functions.times import micros, seconds_between
 from gavelworks.operators.joins import left_join
 from gavelworks.operators.scans import (
-    GROUP_LIMIT,
+    WINDOW_LIMIT,
     chunk_size,
     grouped_median,
     row_numbers,
@@ -73,7 +73,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     return both.select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def quartiles(df: DataFrame, column: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def quartiles(df: DataFrame, column: str, limit: int = WINDOW_LIMIT) -> DataFrame:
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
     ranked = _cumulative(counts, column, limit)
@@ -101,7 +101,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return value_counts(df, column).orderBy(column)
 
 
-def with_bid_count(bids: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def with_bid_count(bids: DataFrame, limit: int = WINDOW_LIMIT) -> DataFrame:
     """Bids of the item on each row, and ids that count down from it."""
     counted = bids.groupBy("item_id").agg(F.count("*").alias("bid_count"))
     order = [F.col("bid_time").asc_nulls_last(), F.col("bid_id").asc()]
@@ -119,7 +119,7 @@ def auction_totals(auctions: DataFrame) -> DataFrame:
     return auctions.agg(*out)
 
 
-def category_statistics(items: DataFrame, category: str, price: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def category_statistics(items: DataFrame, category: str, price: str, limit: int = WINDOW_LIMIT) -> DataFrame:
     """Average and median price and the share sold, per category."""
     base = items.groupBy(category).agg(
         F.avg(price).alias("category_avg_price"),
@@ -161,7 +161,7 @@ def bid_sequence_statistics(bids: DataFrame, start: str, end: str, bidder: str =
     )
 
 
-def with_bid_position(bids: DataFrame, end: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def with_bid_position(bids: DataFrame, end: str, limit: int = WINDOW_LIMIT) -> DataFrame:
     """Sequence number, seconds to the scheduled close, and whether the bid falls in the last two minutes."""
     order = [F.col("bid_time").asc_nulls_last(), F.col("bid_id").asc()]
     left = seconds_between(F.col(end), F.col("bid_time"))
@@ -173,7 +173,7 @@ def with_bid_position(bids: DataFrame, end: str, limit: int = GROUP_LIMIT) -> Da
     )
 
 
-def bid_sequences(bids: DataFrame, segment: int = 10_000, limit: int = GROUP_LIMIT) -> DataFrame:
+def bid_sequences(bids: DataFrame, segment: int = 10_000, limit: int = WINDOW_LIMIT) -> DataFrame:
     """Ordered amounts and increments per item.
 
     An item's sequence is one row of arrays; only an item with more than
@@ -197,7 +197,7 @@ def bid_sequences(bids: DataFrame, segment: int = 10_000, limit: int = GROUP_LIM
 
 
 def padded_sequences(
-    bids: DataFrame, length: int = 100, padding: str = "post", value: str = "bid_amount", limit: int = GROUP_LIMIT
+    bids: DataFrame, length: int = 100, padding: str = "post", value: str = "bid_amount", limit: int = WINDOW_LIMIT
 ) -> DataFrame:
     """Fixed-length sequences. ``post`` keeps the first bids and pads behind, ``pre`` the last and in front."""
     if padding not in ("pre", "post"):
@@ -220,7 +220,7 @@ def padded_sequences(
     )
 
 
-def soft_close(bids: DataFrame, end: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def soft_close(bids: DataFrame, end: str, limit: int = WINDOW_LIMIT) -> DataFrame:
     """Extensions and actual end per item.
 
     A bid within two minutes of the current end moves the end to two minutes

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "gavelworks") -> SparkSession:
@@ -44,3 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan in at least as many pieces as there are cores.
+
+    Text work is bound by CPU, and a small table may lie in one row group.
+    Large tables come in enough pieces and are returned as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gavelworks.functions.text import STOPWORDS, normalise, tokens
 from gavelworks.operators import embeddings, predictions, splits
+from gavelworks.session import spread
 from gavelworks.sources import bindings
-from registry.common import ITEMS, query, r, rounded, with_
+from registry.common import ITEMS, ORACLE, query, r, rounded, with_
 
 # ---------------------------------------------------------------- tokens
 
@@ -44,7 +45,7 @@ def token_sql(text: str, numbers: bool = True) -> str:
 )
 def document_token_counts(spark, folder):
     """Tokens of every whole document, counted per language and word."""
-    texts = bindings.table(spark, folder, "documents")
+    texts = spread(bindings.table(spark, folder, "documents"))
     words = texts.select("lang", F.explode(tokens(F.col("text"))).alias("word"))
     return words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
@@ -55,7 +56,7 @@ def document_token_counts(spark, folder):
         FROM (SELECT doc_id, {token_sql("text")} AS w FROM documents) t""",
 )
 def document_tokens_with_numbers(spark, folder):
-    texts = bindings.table(spark, folder, "documents")
+    texts = spread(bindings.table(spark, folder, "documents"))
     out = texts.select("doc_id", tokens(F.col("text"), remove_numbers=False).alias("w"))
     return out.select("doc_id", F.size("w").cast("long").alias("tokens"), F.nullif(F.array_join("w", " "), F.lit("")).alias("text"))
 
@@ -66,7 +67,7 @@ def document_tokens_with_numbers(spark, folder):
         FROM (SELECT page_id, {token_sql("html")} AS w FROM pages) t""",
 )
 def page_tokens_with_numbers(spark, folder):
-    pages = bindings.table(spark, folder, "pages")
+    pages = spread(bindings.table(spark, folder, "pages"))
     out = pages.select("page_id", tokens(F.col("html"), remove_numbers=False).alias("w"))
     return out.select("page_id", F.size("w").cast("long").alias("tokens"), F.nullif(F.array_join("w", " "), F.lit("")).alias("text"))
 
@@ -141,7 +142,10 @@ vocabulary AS (SELECT word, embedding AS vector FROM (
 )
 def item_vectors(spark, folder):
     listed = embeddings.item_tokens(bindings.items(spark, folder))
-    out = embeddings.document_vectors(listed, word_table(spark, folder), dimensions=64)
+    return vector_sums(embeddings.document_vectors(listed, word_table(spark, folder), dimensions=64))
+
+
+def vector_sums(out):
     values = F.col("embedding").cast("array<double>")
     add = lambda s, x: s + x
     total = F.aggregate(values, F.lit(0.0), add)
@@ -166,6 +170,17 @@ def nearest_words(spark, folder):
     return rounded(out, "word", "neighbour", digits=5)
 
 
+@query(
+    "item_vectors_by_join",
+    ORACLE["item_vectors"],
+)
+def item_vectors_by_join(spark, folder):
+    """The way for vocabularies too large to send to every worker."""
+    listed = embeddings.item_tokens(bindings.items(spark, folder))
+    out = embeddings.document_vectors(listed, word_table(spark, folder), dimensions=64, broadcast_bytes=0)
+    return vector_sums(out)
+
+
 @query("trained_word_vectors")
 def trained_word_vectors(spark, folder):
     """Vectors trained on the item texts, and each item's mean of them. No SQL twin: training is iterative."""

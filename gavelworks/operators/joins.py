@@ -108,7 +108,7 @@ def merge_bids(
 
 def keys_first(df: DataFrame, keys: Sequence[str] = ("auction_id", "item_id")) -> DataFrame:
     first = [k for k in keys if k in df.columns]
-    return df.select(*first, *[c for c in df.columns if c not in first])
+    return df.select(*first, *[F.col(f"`{c}`") for c in df.columns if c not in first])
 
 
 def not_done(pending: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gavelworks.functions.text import STOPWORDS, title_and_description_tokens
 from gavelworks.operators.joins import left_join, not_done
-from gavelworks.session import shared_dir
+from gavelworks.session import written
 
 DIMENSIONS = 100
 # Largest vocabulary, in bytes of vectors, that is sent to every worker.
@@ -114,13 +114,8 @@ def _vectors_by_join(tokens: DataFrame, words: DataFrame, keys: list[str], dimen
     are salted in it. The mean is a weighted sum that Spark combines map-side,
     so no document's vectors are ever collected.
     """
-    shared_dir(tokens.sparkSession)
-    counted = (
-        tokens.select(*keys, F.explode("tokens").alias("word"))
-        .groupBy(*keys, "word")
-        .agg(F.count("*").alias("_n"))
-        .checkpoint()
-    )
+    words_in = tokens.select(*keys, F.explode("tokens").alias("word"))
+    counted = written(words_in.groupBy(*keys, "word").agg(F.count("*").alias("_n")), "words")
     known = words.select("word", array_to_vector(F.col("vector").cast("array<double>")).alias("_vector"))
     met = left_join(counted, known, ["word"]).filter(F.col("_vector").isNotNull())
     means = met.groupBy(*keys).agg(
@@ -188,8 +183,7 @@ def term_weights(tokens: DataFrame, key: str, method: str = "tfidf") -> DataFram
     if method == "bow":
         return counts
     # Read three times below, so written once.
-    shared_dir(tokens.sparkSession)
-    counts = counts.checkpoint()
+    counts = written(counts, "terms")
     documents = tokens.count()
     rarity = counts.groupBy("term").agg(F.log((F.lit(documents) + 1) / (F.count("*") + 1)).alias("idf"))
     return left_join(counts, rarity, ["term"]).withColumn("tfidf", F.col("tf") * F.col("idf"))

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelworks.functions.text import clean_level
-from gavelworks.session import shared_dir
+from gavelworks.session import written
 
 MAX_LEVELS = 20
+# One-hot columns a plan can reasonably have.
+MAX_COLUMNS = 5000
 
 # Output prefix by source column.
 AUCTION_CATEGORIES = {
@@ -37,16 +39,11 @@ def level_counts(df: DataFrame, columns: Sequence[str], placeholders: Sequence[s
     one shuffled row per map task. The counts are written once; fitting and
     the joins of the frequency encoding both read them.
     """
-    shared_dir(df.sparkSession)
     pairs = F.array(
         *[F.struct(F.lit(c).alias("name"), or_unknown(F.col(c), placeholders).alias("level")) for c in columns]
     )
-    return (
-        df.select(F.explode(pairs).alias("p"))
-        .groupBy("p.name", "p.level")
-        .agg(F.count("*").alias("n"))
-        .checkpoint()
-    )
+    counted = df.select(F.explode(pairs).alias("p")).groupBy("p.name", "p.level").agg(F.count("*").alias("n"))
+    return written(counted, "levels")
 
 
 @dataclass
@@ -118,7 +115,9 @@ def fit(
     for column in open_columns:
         if column in narrow or column not in sizes:
             fixed[column] = []
-    # One-hot levels become columns, so they are few by nature.
+    if sum(sizes[c][0] for c in narrow) > MAX_COLUMNS:
+        raise ValueError("too many levels for one-hot columns: pass max_levels or categories")
+    # One-hot levels become columns, so they are few.
     for row in counts.filter(F.col("name").isin(narrow)).select("name", "level").collect():
         fixed[row["name"]].append(row["level"])
     total = max((t for _, t in sizes.values()), default=0)

@@ -11,6 +11,8 @@ from gavelworks.operators.scans import split_by_size
 
 # Rows of one join key that one task should handle.
 KEY_LIMIT = 2_000_000
+# Rows of a lookup table that is broadcast to a side with heavy keys.
+BROADCAST_ROWS = 10_000
 
 
 def suffixed(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str]):
@@ -26,24 +28,35 @@ def suffixed(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tup
 
 
 def left_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], limit: int | None = KEY_LIMIT
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    limit: int | None = KEY_LIMIT,
+    broadcast_rows: int = BROADCAST_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Left join whose heavy keys are spread over several tasks.
 
-    Rows of a heavy key get a salt on the left, and its few rows on the right
-    are repeated once per salt. Without heavy keys this is a plain join, and
-    AQE broadcasts the right side when it turns out small. ``limit=None`` says
+    Without heavy keys this is a plain join, and AQE broadcasts the right side
+    when it turns out small. With them, a right side of few rows is counted
+    and broadcast; for a larger one, rows of a heavy key get a salt on the left
+    and its rows on the right are repeated once per salt. ``limit=None`` says
     that the keys are unique on the left, so there is nothing to look for.
+    ``sizes`` may name a cheaper frame to count the keys in.
     """
     on = list(on)
     if limit is None:
         return left.join(right, on, "left")
-    parts = split_by_size(left, on, limit)
-    joined = parts.small.join(right, on, "left")
+    parts = split_by_size(left, on, limit, sizes)
     if parts.large is None:
-        return joined
+        return left.join(right, on, "left")
+    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return left.join(F.broadcast(right), on, "left")
+    joined = parts.small.join(right, on, "left")
     salts = -(-parts.large_rows // limit)
-    salted = parts.large.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    # Maps and variants cannot be hashed; the other columns tell the rows apart well enough.
+    spreading = [F.col(f"`{c}`") for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = parts.large.withColumn("_salt", F.pmod(F.xxhash64(*spreading), F.lit(salts)))
     heavy = parts.large.select(*on).distinct()
     copies = right.join(heavy, on, "left_semi").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
@@ -58,6 +71,7 @@ def merge(
     how: str = "left",
     suffixes: tuple[str, str] = ("_x", "_y"),
     limit: int | None = KEY_LIMIT,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Equi-join with suffixes. ``how`` is inner, left or full.
 
@@ -67,7 +81,7 @@ def merge(
     left, right = suffixed(left, right, on, suffixes)
     if how == "inner":
         return left.join(right, list(on), "inner")
-    joined = left_join(left, right, on, limit)
+    joined = left_join(left, right, on, limit, broadcast_rows)
     if how == "left":
         return joined
     if how != "full":
@@ -81,12 +95,13 @@ def merge_auctions_items(
     items: DataFrame,
     suffixes: tuple[str, str] = ("_auction", "_item"),
     limit: int = KEY_LIMIT,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Full outer merge on ``auction_id``; items unchanged when they have no such column."""
     if "auction_id" not in items.columns:
         return items
     first, second = suffixes
-    merged = merge(items, auctions, ["auction_id"], "full", (second, first), limit)
+    merged = merge(items, auctions, ["auction_id"], "full", (second, first), limit, broadcast_rows)
     own_auctions, own_items = suffixed(auctions, items, ["auction_id"], suffixes)
     rest = [c for c in own_items.columns if c != "auction_id"]
     return merged.select(*own_auctions.columns, *rest)
@@ -106,6 +121,16 @@ def merge_bids(
     return keys_first(merge(bids, auction_items, keys, how, suffixes, limit))
 
 
+def with_auction_times(
+    bids: DataFrame, auctions: DataFrame, start: str = "auction_starts", end: str = "auction_ends"
+) -> DataFrame:
+    """Scheduled start and end of the auction on every bid."""
+    schedule = auctions.select(
+        "auction_id", F.col(start).alias("auction_start_time"), F.col(end).alias("auction_end_time")
+    )
+    return left_join(bids, schedule, ["auction_id"])
+
+
 def keys_first(df: DataFrame, keys: Sequence[str] = ("auction_id", "item_id")) -> DataFrame:
     first = [k for k in keys if k in df.columns]
     return df.select(*first, *[F.col(f"`{c}`") for c in df.columns if c not in first])

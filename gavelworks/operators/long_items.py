@@ -37,6 +37,7 @@ from gavelworks.operators.bids import (
     starts_cluster,
 )
 from gavelworks.operators.scans import carried_in, chunk_size, numbered
+from gavelworks.session import written
 
 C = "_chunk"
 BAND = "_band"
@@ -50,7 +51,7 @@ def chunked(
     size = chunk_size(rows, limit)
     by = [F.col(AT).asc(), *order]
     placed = numbered(df, KEY, by, N, rows, size)
-    placed = placed.withColumn(C, F.floor((F.col(N) - 1) / size)).checkpoint()
+    placed = written(placed.withColumn(C, F.floor((F.col(N) - 1) / size)), "placed")
     if "bid_number" not in df.columns:
         placed = placed.withColumn("bid_number", F.col(N))
     out = _running(placed, size)
@@ -289,7 +290,7 @@ def _standings(placed: DataFrame, size: int, rows: int) -> DataFrame:
     narrow = placed.select("item_id", N, C, F.col("bid_amount").cast("double").alias("bid_amount"))
     by_amount = [F.col("bid_amount").asc(), F.col(N).asc()]
     ranked = numbered(narrow, KEY, by_amount, "_rank", rows, size)
-    ranked = ranked.withColumn(BAND, F.floor((F.col("_rank") - 1) / size)).checkpoint()
+    ranked = written(ranked.withColumn(BAND, F.floor((F.col("_rank") - 1) / size)), "ranked")
     grid = _grid(ranked.groupBy("item_id", C, BAND).count())
 
     row = f"item_id {kind}, {N} long, {C} long, bid_amount double, _rank long, {BAND} long"

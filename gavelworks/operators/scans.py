@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelworks.session import shared_dir
+from gavelworks.session import written
 
 # Rows of one group that a Python worker should hold.
 GROUP_LIMIT = 250_000
@@ -69,18 +69,17 @@ def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], row
     """``df`` range-sorted by (keys, order) with its run in ``_run`` and its place in ``_at``.
 
     Spark samples the order to cut runs of about equal size, even inside one
-    group. The result is checkpointed because the cuts must not be drawn again
-    when several jobs read it.
+    group. The result is written because the cuts must not be drawn again when
+    several jobs read it.
     """
-    shared_dir(df.sparkSession)
     parts = max(1, math.ceil(rows / chunk))
     by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    return (
+    return written(
         df.repartitionByRange(parts, *by)
         .sortWithinPartitions(*by)
         .withColumn("_run", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "runs",
     )
 
 
@@ -134,10 +133,15 @@ def carried_in(summary: DataFrame, keys: Sequence[str], chunk: str, values: dict
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, limit: int = WINDOW_LIMIT
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    out: str,
+    limit: int = WINDOW_LIMIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number`` over groups of any size."""
-    parts = split_by_size(df, keys, limit)
+    parts = split_by_size(df, keys, limit, sizes)
     done = parts.small.withColumn(
         out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     )
@@ -195,7 +199,7 @@ def with_previous(
         return small
     size = chunk_size(parts.large_rows, limit)
     placed = numbered(parts.large, keys, order, "_place", parts.large_rows, size)
-    placed = placed.withColumn("_chunk", F.floor((F.col("_place") - 1) / size)).checkpoint()
+    placed = written(placed.withColumn("_chunk", F.floor((F.col("_place") - 1) / size)), "placed")
     # The last row of a chunk is also shown to the next one.
     visits = F.when(F.col("_place") % size == 0, F.array("_chunk", F.col("_chunk") + 1)).otherwise(F.array("_chunk"))
     inside = Window.partitionBy(*keys, "_in").orderBy("_place")

@@ -42,9 +42,11 @@ def with_split(
     if stratify is None:
         return df.withColumn("split", _name(draw(key, seed), ratios))
     totals = df.groupBy(stratify).agg(F.count("*").alias("_total"))
-    ranked = row_numbers(df, [stratify], [draw(key, seed).asc(), F.col(key).asc()], "_place", limit)
+    counted = left_join(df, totals, [stratify])
+    order = [draw(key, seed).asc(), F.col(key).asc()]
+    ranked = row_numbers(counted, [stratify], order, "_place", limit, sizes=df)
     share = (F.col("_place") - 1) / F.col("_total")
-    return left_join(ranked, totals, [stratify]).withColumn("split", _name(share, ratios)).drop("_place", "_total")
+    return ranked.withColumn("split", _name(share, ratios)).drop("_place", "_total")
 
 
 def split_frames(df: DataFrame, key: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

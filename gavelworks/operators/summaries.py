@@ -97,6 +97,15 @@ def _cumulative(counts: DataFrame, column: str, limit: int) -> DataFrame:
     return running_total(parts.large, ["_all"], order, F.col("_n"), "_upto", parts.large_rows, size)
 
 
+def fill_with_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing numbers replaced by the column's exact median."""
+    for c in columns:
+        median = grouped_median(df.select(F.lit(0).alias("_all"), c), ["_all"], c, "_median")
+        df = df.withColumn("_all", F.lit(0)).join(F.broadcast(median), "_all", "left")
+        df = df.withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_all", "_median")
+    return df
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     return value_counts(df, column).orderBy(column)
 
@@ -105,7 +114,7 @@ def with_bid_count(bids: DataFrame, limit: int = WINDOW_LIMIT) -> DataFrame:
     """Bids of the item on each row, and ids that count down from it."""
     counted = bids.groupBy("item_id").agg(F.count("*").alias("bid_count"))
     order = [F.col("bid_time").asc_nulls_last(), F.col("bid_id").asc()]
-    placed = left_join(row_numbers(bids, ["item_id"], order, "_place", limit), counted, ["item_id"])
+    placed = row_numbers(left_join(bids, counted, ["item_id"]), ["item_id"], order, "_place", limit, sizes=bids)
     return placed.withColumn("bid_down_id", F.col("bid_count") - F.col("_place") + 1).drop("_place")
 
 

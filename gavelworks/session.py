@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and safe from lost executors.
+
+    Unlike a checkpoint it is computed a single time, and later steps read
+    only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan in at least as many pieces as there are cores.
 

@@ -11,6 +11,7 @@ from gavelworks.functions.times import (
     add_auction_lengths,
     add_bid_timing,
     add_calendar,
+    add_calendars,
     add_time_since,
     add_time_until,
     season,
@@ -415,6 +416,36 @@ def bid_calendar(spark, folder):
     return rounded(out.drop("bid_time"), "bid_id")
 
 
+@query(
+    "auction_times",
+    with_(AUCTIONS, PICKUP_TABLE)
+    + f"""SELECT auction_id, CAST(p1 AS BIGINT) AS num_pickup_windows, {r("p2", "total_pickup_hours")},
+      {calendar_sql("auction_starts", "auction_start_")}, {calendar_sql("auction_ends", "auction_end_")},
+      {r(f"({HOURS}) / 3.6e9", "auction_duration_hours")} FROM auctions JOIN pickups ON auction_id % 8 = k""",
+)
+def auction_times(spark, folder):
+    """The feature bundle's auction table: pickup windows, both calendars and the duration."""
+    auctions = bindings.auctions(spark, folder).select(
+        KEY, "auction_removal_info", F.col("auction_starts").alias("start_time"), F.col("auction_ends").alias("end_time")
+    )
+    bundle = ops.feature_bundle(auctions, bindings.items(spark, folder), bindings.bids(spark, folder))
+    out = bundle["auctions"]
+    names = [c for c in out.columns if c.startswith(("auction_start_", "auction_end_"))]
+    return rounded(out.select(KEY, "num_pickup_windows", "total_pickup_hours", *names, "auction_duration_hours"), KEY)
+
+
+@query(
+    "calendars_of_two_columns",
+    with_(AUCTIONS)
+    + f"""SELECT auction_id, {calendar_sql("auction_starts", "auction_starts_", False)},
+      {calendar_sql("auction_ends", "auction_ends_", False)} FROM auctions""",
+)
+def calendars_of_two_columns(spark, folder):
+    df = bindings.auctions(spark, folder).select(KEY, "auction_starts", "auction_ends")
+    out = add_calendars(df, ["auction_starts", "auction_ends", "no_such_column"], include_cyclical=False)
+    return rounded(out.drop("auction_starts", "auction_ends"), KEY)
+
+
 @query(
     "southern_seasons",
     with_(AUCTIONS)

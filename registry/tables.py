@@ -274,12 +274,12 @@ def auctions_full_outer_items(spark, folder):
 
 @query(
     "auctions_full_outer_items_salted",
-    with_(AUCTIONS, ITEMS, AUCTION_ITEMS.replace("a.auction_id = i.auction_id)", "a.auction_id = i.auction_id)"))
+    with_(AUCTIONS, ITEMS, AUCTION_ITEMS)
     + f"SELECT auction_id, item_id, auction_title, {r('price_auction', 'price_auction')}, {r('price_item', 'price_item')} FROM merged",
 )
 def auctions_full_outer_items_salted(spark, folder):
     """The same merge with a limit so low that the longer auctions are salted."""
-    out = joins.merge_auctions_items(auction_side(spark, folder), item_side(spark, folder), limit=6)
+    out = joins.merge_auctions_items(auction_side(spark, folder), item_side(spark, folder), limit=6, broadcast_rows=0)
     return rounded(out.drop("auction_item_count", "item_title"), "auction_id", "item_id")
 
 
@@ -352,6 +352,60 @@ def pending_pairs(spark, folder):
     return joins.not_done(tables.read_pairs(bids), done, ["auction_id", "item_id"])
 
 
+@query(
+    "failed_auctions",
+    "SELECT o_orderkey AS auction_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+)
+def failed_auctions(spark, folder):
+    """Requested but not fetched."""
+    requested = bindings.table(spark, folder, "orders").select(F.col("o_orderkey").alias("auction_id"))
+    fetched = bindings.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("auction_id"))
+    return joins.not_done(requested, fetched, ["auction_id"])
+
+
+@query(
+    "bids_of_open_auctions",
+    with_(BIDS, AUCTIONS)
+    + "SELECT bid_id, auction_id FROM bids WHERE auction_id IN (SELECT auction_id FROM auctions WHERE auction_status = 'open')",
+)
+def bids_of_open_auctions(spark, folder):
+    """The bids of a batch of auctions: a semi-join, whatever the size of the batch."""
+    batch = bindings.auctions(spark, folder).filter("auction_status = 'open'").select("auction_id")
+    return bindings.bids(spark, folder).join(batch, "auction_id", "left_semi").select("bid_id", "auction_id")
+
+
+@query(
+    "bid_timing_from_auctions",
+    with_(BIDS, AUCTIONS, "moved AS (SELECT bid_id, user_id AS auction_id, ts + INTERVAL '-10000 days' AS t FROM bids JOIN events ON bid_id = event_id)")
+    + f"""SELECT bid_id, {r("(epoch_us(t) - epoch_us(auction_starts)) / 1e6", "bid_timing_seconds_since_start")},
+      {r("(epoch_us(auction_ends) - epoch_us(t)) / 1e6", "bid_timing_seconds_until_end")},
+      {r("(epoch_us(t) - epoch_us(auction_starts)) / nullif(epoch_us(auction_ends) - epoch_us(auction_starts), 0)", "bid_timing_pct_through_auction", 4)}
+      FROM moved LEFT JOIN auctions USING (auction_id)""",
+)
+def bid_timing_from_auctions(spark, folder):
+    from gavelworks.functions.times import add_bid_timing
+
+    events = bindings.table(spark, folder, "events").select(
+        F.col("event_id").alias("bid_id"),
+        F.col("user_id").alias("auction_id"),
+        (F.col("ts").cast("timestamp") - F.expr("interval 10000 days")).alias("bid_time"),
+    )
+    out = add_bid_timing(joins.with_auction_times(events, bindings.auctions(spark, folder)))
+    share = "bid_timing_pct_through_auction"
+    out = out.select("bid_id", "bid_timing_seconds_since_start", "bid_timing_seconds_until_end", share)
+    return rounded(out.drop(share), "bid_id").join(rounded(out.select("bid_id", share), "bid_id", digits=4), "bid_id")
+
+
+@query(
+    "prices_filled_with_median",
+    with_(ITEMS)
+    + f"SELECT item_id, {r('coalesce(item_current_bid, (SELECT median(item_current_bid) FROM items))', 'price')} FROM items",
+)
+def prices_filled_with_median(spark, folder):
+    prices = bindings.items(spark, folder).select("item_id", F.col("item_current_bid").alias("price"))
+    return rounded(summaries.fill_with_medians(prices, ["price"]), "item_id")
+
+
 @query(
     "latest_statuses",
     "SELECT user_id AS item_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1",
@@ -745,3 +799,29 @@ def bid_features_at_close(spark, folder):
     return rounded(out, "item_id")
 
 
+
+
+# ------------------------------------------------------------- SQL functions
+
+
+@query(
+    "sql_functions",
+    f"""SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 1000 THEN 10 WHEN o_totalprice < 5000 THEN 50
+      WHEN o_totalprice < 10000 THEN 100 ELSE 250 END AS BIGINT) AS step,
+      CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'winter' WHEN month(o_orderdate) IN (3, 4, 5) THEN 'spring'
+        WHEN month(o_orderdate) IN (6, 7, 8) THEN 'summer' ELSE 'fall' END AS season, 'night' AS part,
+      CAST(month(o_orderdate) = 7 AND day(o_orderdate) = 4 AS BIGINT) AS fourth_of_july,
+      {r("o_totalprice", "price")} FROM orders WHERE o_totalprice >= 100""",
+)
+def sql_functions(spark, folder):
+    """The scalar rules called from SQL text."""
+    from gavelworks.functions.sql import register_functions
+
+    register_functions(spark)
+    bindings.table(spark, folder, "orders").createOrReplaceTempView("orders")
+    out = spark.sql(
+        "SELECT o_orderkey, expected_increment(o_totalprice) AS step, season_of(month(o_orderdate)) AS season, "
+        "part_of_day(hour(o_orderdate)) AS part, month(o_orderdate) = 7 AND is_us_holiday(o_orderdate) AS fourth_of_july, "
+        "o_totalprice AS price FROM orders WHERE o_totalprice >= 100"
+    )
+    return rounded(out, "o_orderkey")

@@ -15,7 +15,6 @@ No task ever holds more than a few chunks, and every value is exact.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -36,6 +35,7 @@ from gavelworks.operators.bids import (
     decayed_sum,
     starts_cluster,
 )
+from gavelworks.operators.order_statistics import earlier_below, running_medians
 from gavelworks.operators.scans import carried_in, chunk_size, numbered
 from gavelworks.session import written
 
@@ -233,12 +233,7 @@ def _earlier_counts(placed: DataFrame, size: int) -> DataFrame:
 def _earlier_chunks_in_band(band: pd.DataFrame) -> pd.DataFrame:
     """Within one band of amounts: lower-ranked bids that lie in an earlier chunk of time."""
     band = band.sort_values("_rank")
-    seen: list[int] = []
-    counts = []
-    for chunk in band[C].to_numpy():
-        counts.append(bisect_left(seen, chunk))
-        seen.insert(bisect_right(seen, chunk), chunk)
-    return band.assign(_in_band=counts)
+    return band.assign(_in_band=earlier_below(band[C].to_numpy()))
 
 
 def _standing_in_chunk(own: pd.DataFrame, middle: pd.DataFrame) -> pd.DataFrame:
@@ -248,18 +243,13 @@ def _standing_in_chunk(own: pd.DataFrame, middle: pd.DataFrame) -> pd.DataFrame:
     chunk; ``_under`` says how many earlier amounts lie under them.
     """
     own = own.sort_values(N)
-    amounts = sorted(middle["_amount"])
-    offset = int(middle["_under"].min()) if len(middle) else 0
-    ranks: list[int] = []
-    in_chunk, medians = [], []
-    for n, rank, amount in zip(own[N].to_numpy(), own["_rank"].to_numpy(), own["bid_amount"].to_numpy()):
-        at = bisect_left(ranks, rank)
-        ranks.insert(at, rank)
-        in_chunk.append(at)
-        amounts.insert(bisect_right(amounts, amount), amount)
-        low, high = (n - 1) // 2 - offset, n // 2 - offset
-        medians.append((amounts[low] + amounts[high]) / 2)
-    not_above = own["_below"] + own["_in_band"] + np.array(in_chunk, dtype="int64") + 1
+    if own.empty:
+        return pd.DataFrame({"item_id": [], N: [], "_not_above": [], "_median_a": []})
+    below = int(middle["_under"].min()) if len(middle) else 0
+    medians = running_medians(
+        middle["_amount"].to_numpy(dtype="float64"), own["bid_amount"].to_numpy(), below, int(own[N].iloc[0])
+    )
+    not_above = own["_below"] + own["_in_band"] + earlier_below(own["_rank"].to_numpy()) + 1
     return pd.DataFrame({"item_id": own["item_id"], N: own[N], "_not_above": not_above, "_median_a": medians})
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gavelworks.session import written
 
 # Rows of one group that a Python worker should hold.
-GROUP_LIMIT = 250_000
+GROUP_LIMIT = 100_000
 # Rows of one group that a window function should sort in one task; it can spill.
 WINDOW_LIMIT = 4_000_000
 # Hash buckets of the quick look for oversized groups.

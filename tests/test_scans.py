@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import statistics
 
+import numpy as np
 import pytest
 from conftest import by
 from pyspark.sql import Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gavelworks.operators import joins, scans
 from gavelworks.operators.encode import fit
 from gavelworks.operators.items import add_closing_order
+from gavelworks.operators.order_statistics import earlier_below, running_medians
 from gavelworks.operators.summaries import bid_sequences, describe, padded_sequences, soft_close
 
 
@@ -25,6 +27,22 @@ def skewed(spark):
     )
 
 
+def test_order_statistics():
+    rng = np.random.default_rng(5)
+    for length in (1, 2, 7, 1500, 2100):
+        values = rng.integers(0, 40, length)
+        want = [int((values[:i] < values[i]).sum()) for i in range(length)]
+        assert earlier_below(values).tolist() == want
+    for length, known in ((1, 0), (2, 0), (9, 4), (50, 60), (3, 100)):
+        earlier, own = rng.integers(0, 20, known).astype(float), rng.integers(0, 20, length).astype(float)
+        want = [np.median(np.concatenate([earlier, own[: i + 1]])) for i in range(length)]
+        assert running_medians(earlier, own, 0, known + 1).tolist() == want
+        # The lowest and highest earlier values cannot be the median and may stay away.
+        spare = max(0, (known - length) // 2 - 2)
+        inner = np.sort(earlier)[spare : known - spare]
+        assert running_medians(inner, own, spare, known + 1).tolist() == want
+
+
 def test_split_finds_only_large_groups(skewed):
     parts = scans.split_by_size(skewed, ["k"], 100)
     assert parts.large_rows == 600 and parts.large.select("k").distinct().collect()[0][0] == 1

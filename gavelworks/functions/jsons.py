@@ -49,10 +49,13 @@ def entry_count(df: DataFrame, column: str, count_keys: bool = False) -> Column:
     return json_count(c.cast("string"), count_keys)
 
 
+def list_count_columns(df: DataFrame) -> dict[str, Column]:
+    """Entry counts of the list and object columns ``df`` has."""
+    return {
+        out: entry_count(df, source, keys) for source, (out, keys) in LIST_COUNTS.items() if source in df.columns
+    }
+
+
 def add_list_counts(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            out: entry_count(df, source, keys) if source in df.columns else F.lit(0)
-            for source, (out, keys) in LIST_COUNTS.items()
-        }
-    )
+    zeros = {out: F.lit(0) for out, _ in LIST_COUNTS.values()}
+    return df.withColumns(zeros | list_count_columns(df))

@@ -40,22 +40,30 @@ def is_populated(text: Column, placeholders: Sequence[str] = ("", "nan", "None")
     return (text.isNotNull() & ~F.coalesce(text, F.lit("")).isin(*placeholders)).cast("int")
 
 
+def text_length_columns(df: DataFrame) -> dict[str, Column]:
+    """Lengths of the texts ``df`` has."""
+    return {
+        out: F.length(F.coalesce(F.col(source).cast("string"), F.lit("")))
+        for source, out in TEXT_LENGTHS.items()
+        if source in df.columns
+    }
+
+
+def presence_columns(df: DataFrame) -> dict[str, Column]:
+    return {
+        out: is_populated(F.col(source).cast("string"))
+        for source, out in PRESENCE_FLAGS.items()
+        if source in df.columns
+    }
+
+
 def add_text_lengths(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            out: F.length(F.coalesce(F.col(source).cast("string"), F.lit(""))) if source in df.columns else F.lit(0)
-            for source, out in TEXT_LENGTHS.items()
-        }
-    )
+    """A text that has no column counts as empty."""
+    return df.withColumns(dict.fromkeys(TEXT_LENGTHS.values(), F.lit(0)) | text_length_columns(df))
 
 
 def add_presence_flags(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            out: is_populated(F.col(source).cast("string")) if source in df.columns else F.lit(0)
-            for source, out in PRESENCE_FLAGS.items()
-        }
-    )
+    return df.withColumns(dict.fromkeys(PRESENCE_FLAGS.values(), F.lit(0)) | presence_columns(df))
 
 
 def add_partner_flag(df: DataFrame) -> DataFrame:

@@ -101,14 +101,17 @@ def select_auction_columns(df: DataFrame) -> DataFrame:
 def engineer_auction_features(
     auctions: DataFrame, enriched: DataFrame, areas: DataFrame | None = None, encoder: Encoder | None = None
 ) -> DataFrame:
-    """The final auction table."""
-    df = merge(auctions, enriched, ["auction_id"], "left", limit=None)
-    df = add_auction_lengths(df)
-    df = add_pickup_windows(df, prefix="auction_")
-    df = add_item_averages(add_partner_flag(df))
+    """The final auction table.
+
+    The notes and links are read before the join, which then moves numbers
+    instead of HTML.
+    """
+    encoder = encoder or fit_auction_encoder(enriched_for(auctions, enriched))
+    df = add_pickup_windows(add_auction_lengths(auctions), prefix="auction_")
+    df = add_item_averages(add_partner_flag(df)).drop(*DROPPED)
+    df = merge(df, enriched, ["auction_id"], "left", limit=None)
     df = add_area_features(add_location_features(df), areas)
-    df = (encoder or fit_auction_encoder(enriched_for(auctions, enriched))).transform(df)
-    return select_auction_columns(df)
+    return select_auction_columns(encoder.transform(df))
 
 
 def enriched_for(auctions: DataFrame, enriched: DataFrame) -> DataFrame:

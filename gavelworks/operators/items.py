@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelworks.functions.jsons import add_list_counts
+from gavelworks.functions.jsons import LIST_COUNTS, list_count_columns
 from gavelworks.functions.money import add_item_prices
-from gavelworks.functions.text import add_presence_flags, add_text_lengths
+from gavelworks.functions.text import PRESENCE_FLAGS, TEXT_LENGTHS, presence_columns, text_length_columns
 from gavelworks.functions.times import as_timestamp
 from gavelworks.operators.encode import Encoder, fit_item_encoder
 from gavelworks.operators.joins import left_join, merge
@@ -83,22 +83,37 @@ def select_item_columns(df: DataFrame) -> DataFrame:
     return df.select(*keys, *[F.col(f"`{c}`") for c in sorted(kept - set(keys))])
 
 
+def measured(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Texts and lists replaced by their lengths, flags and counts.
+
+    Done on each side before the join, so the join moves a few integers per
+    item and not the texts. Columns that ``other`` has too are left alone.
+    """
+    own = df.drop(*[c for c in other.columns if c in df.columns])
+    features = text_length_columns(own) | presence_columns(own) | list_count_columns(own)
+    sources = [c for c in [*TEXT_LENGTHS, *PRESENCE_FLAGS, *LIST_COUNTS] if c in own.columns]
+    return df.withColumns(features).drop(*sources) if features else df
+
+
 def engineer_item_features(
     items: DataFrame, enriched: DataFrame, encoder: Encoder | None = None, limit: int = WINDOW_LIMIT
 ) -> DataFrame:
     """Join items with their descriptions and build the final item table."""
-    df = merge(items, enriched, ["item_id", "auction_id"], "inner")
-    df = add_presence_flags(add_text_lengths(df))
-    df = (encoder or fit_item_encoder(enriched_in(df))).transform(df)
-    df = add_list_counts(df)
+    keys = ["item_id", "auction_id"]
+    if encoder is None:
+        encoder = fit_item_encoder(merge(items.select(*keys), enriched_in(enriched), keys, "inner"))
+    df = merge(measured(items, enriched), measured(enriched, items), keys, "inner")
+    expected = [*TEXT_LENGTHS.values(), *PRESENCE_FLAGS.values(), *[out for out, _ in LIST_COUNTS.values()]]
+    df = df.withColumns({c: F.lit(0) for c in expected if c not in df.columns})
     # Every joined item is in ``items``, so its auctions are counted there, before the join.
-    df = add_item_prices(add_closing_order(df, limit, items))
-    return select_item_columns(df)
+    df = add_closing_order(encoder.transform(df), limit, items)
+    return select_item_columns(add_item_prices(df))
 
 
-def enriched_in(df: DataFrame) -> DataFrame:
+def enriched_in(enriched: DataFrame) -> DataFrame:
     """Only the columns the encoder learns from, so that fitting reads nothing else."""
-    return df.select(*[c for c in ("enriched_item_condition", "enriched_item_working") if c in df.columns])
+    wanted = ["item_id", "auction_id", "enriched_item_condition", "enriched_item_working"]
+    return enriched.select(*[c for c in wanted if c in enriched.columns])
 
 
 def with_sale_flags(df: DataFrame) -> DataFrame:

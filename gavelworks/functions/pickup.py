@@ -21,13 +21,11 @@ def html_text(html: Column) -> Column:
     return text
 
 
-def _clock(found: Column, first_group: int) -> Column:
-    """24-hour time of one side of a range: whole hour, minute and decimal hours."""
-    hour = F.regexp_extract(found, RANGE_PATTERN, first_group).cast("int")
-    minute = F.coalesce(
-        F.nullif(F.regexp_extract(found, RANGE_PATTERN, first_group + 1), F.lit("")).cast("int"), F.lit(0)
-    )
-    period = F.upper(F.regexp_extract(found, RANGE_PATTERN, first_group + 2))
+def _clock(parts: Column, first: int) -> Column:
+    """24-hour time of one side of a range: whole hour, decimal hours, and whether it is a time at all."""
+    hour = parts[first].cast("int")
+    minute = F.coalesce(F.nullif(parts[first + 1], F.lit("")).cast("int"), F.lit(0))
+    period = F.upper(parts[first + 2])
     whole = (
         F.when(period == "NOON", 12)
         .when((period == "PM") & (hour != 12), hour + 12)
@@ -49,7 +47,9 @@ def _runs_past_midnight(start: Column, end: Column) -> Column:
 def _ranges(text: Column) -> Column:
     """Valid (start, end) pairs; an end past midnight is 24 or more."""
     found = F.regexp_extract_all(text, F.lit(RANGE_PATTERN), F.lit(0))
-    sides = F.transform(found, lambda m: F.struct(_clock(m, 1).alias("a"), _clock(m, 4).alias("b")))
+    # One regex pass per match gives all six groups.
+    groups = F.transform(found, lambda m: F.split(F.regexp_replace(m, RANGE_PATTERN, "$1|$2|$3|$4|$5|$6"), r"\|"))
+    sides = F.transform(groups, lambda g: F.struct(_clock(g, 0).alias("a"), _clock(g, 3).alias("b")))
     kept = F.filter(
         sides,
         lambda s: s["a"]["valid"]

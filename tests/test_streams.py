@@ -7,6 +7,7 @@ from conftest import by
 from pyspark.sql import functions as F
 
 from gavelworks.operators.bids import engineer_bid_features
+from gavelworks.operators.embeddings import embed_new_items
 from gavelworks.sources import bindings
 from gavelworks.streaming import bids as jobs
 
@@ -53,7 +54,8 @@ def test_soft_close_modes(spark, tmp_path):
     bids = spark.createDataFrame(rows, "item_id long, bid_id long, t long").select(
         "item_id", "bid_id", F.timestamp_seconds("t").alias("bid_time"), F.timestamp_seconds(F.lit(1000)).alias("close")
     )
-    bids.write.parquet(str(tmp_path / "in"))
+    # One file, so that no bid arrives behind the watermark.
+    bids.coalesce(1).write.parquet(str(tmp_path / "in"))
     ends = {}
     for mode in ("bid", "end"):
         name = f"ends_{mode}"
@@ -80,6 +82,19 @@ def test_late_bids_are_dropped_and_counted(spark, tmp_path):
     assert [r["bid_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [60]
 
 
+def test_new_items_are_embedded_once(spark, data, tmp_path):
+    """The batch counterpart of resuming: only items without a vector are added."""
+    items = bindings.items(spark, data).select("item_id", "auction_id", "item_title", "item_description")
+    words = spark.createDataFrame([("small", [1.0, 0.0]), ("red", [0.0, 1.0])], "word string, vector array<float>")
+    path = str(tmp_path / "vectors")
+    embed_new_items(items.filter("item_id < 1000"), words, None, path, 2)
+    first = spark.read.parquet(path)
+    assert first.count() == items.filter("item_id < 1000").count()
+    embed_new_items(items, words, first, path, 2)
+    after = spark.read.schema(first.schema).parquet(path)
+    assert after.count() == items.count() == after.select("item_id").distinct().count()
+
+
 def test_enrichment_needs_a_common_key(spark, landed):
     with pytest.raises(ValueError, match="no common keys"):
         jobs.enriched(stream(spark, landed), spark.createDataFrame([(1,)], "x int"))

@@ -1,4 +1,4 @@
-"""The reference flows end to end: read, build, write."""
+"""The flows end to end: read, build, write."""
 
 from __future__ import annotations
 

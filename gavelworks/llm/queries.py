@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from gavelworks.llm.digest_index import DigestIndex
 from gavelworks.llm.mixture import mix
+from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
+from gavelworks.llm.private_data_sql import private_data_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +31,23 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_private_data", private_data_sql())
+def op2_private_data(spark, folder):
+    found = find_private_data(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < BASE)
+    kinds = F.transform("spans", lambda s: s["kind"])
+    # Removing a kind from the list tells how often it is there.
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{KINDS[i].name}") for i in range(BASE)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(described(base), 256).alias("base_sha256"),
+        described(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op9_source_mix")
 def op9_source_mix(spark, folder):
     return mix(table(spark, folder, "documents"))[0]

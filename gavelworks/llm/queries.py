@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gavelworks.llm.digest_index import DigestIndex
+from gavelworks.llm.jaccard_join import jaccard_components
 from gavelworks.llm.mixture import mix
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
 from gavelworks.llm.private_data_sql import private_data_sql
@@ -48,6 +49,11 @@ def op2_private_data(spark, folder):
     )
 
 
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark, folder):
+    return jaccard_components(table(spark, folder, "documents"), words=4, per_hundred=85)
+
+
 @query("op9_source_mix")
 def op9_source_mix(spark, folder):
     return mix(table(spark, folder, "documents"))[0]

@@ -11,6 +11,9 @@ from gavelworks.llm.jaccard_join import jaccard_components
 from gavelworks.llm.mixture import mix
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
 from gavelworks.llm.private_data_sql import private_data_sql
+from gavelworks.llm.toxicity import fold, score_toxicity
+from gavelworks.llm.url_filter import Rule, judge
+from gavelworks.llm.url_filter_sql import url_filter_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -54,6 +57,33 @@ def op3_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"), words=4, per_hundred=85)
 
 
+RULES = [
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+]
+
+
+@query("op7_url_filter", url_filter_sql(RULES))
+def op7_url_filter(spark, folder):
+    """Outcomes are the labels of the same number: a page is bad where its label says toxic."""
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
+    return judge(table(spark, folder, "pages"), outcomes, RULES)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, folder, "labels"))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op9_source_mix")
 def op9_source_mix(spark, folder):
     return mix(table(spark, folder, "documents"))[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gavelworks.llm.digest_index import DigestIndex
 from gavelworks.llm.jaccard_join import jaccard_components
+from gavelworks.llm.language_id import identify
 from gavelworks.llm.mixture import mix
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
 from gavelworks.llm.private_data_sql import private_data_sql
@@ -57,6 +58,11 @@ def op3_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"), words=4, per_hundred=85)
 
 
+@query("op6_language_id")
+def op6_language_id(spark, folder):
+    return identify(table(spark, folder, "documents"))
+
+
 RULES = [
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),

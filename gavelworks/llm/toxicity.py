@@ -88,8 +88,8 @@ def text_features(texts: pa.Array, keep: np.ndarray | None = None) -> tuple[np.n
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weight of every feature, and the intercept for a corpus of which ``share`` is toxic."""
+def train(texts: list[str], toxic: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weight of every feature, and the intercept. Both classes count alike, whatever their shares."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return np.zeros(1 << BITS), 40.0 if len(toxic) and toxic.all() else -40.0
@@ -108,6 +108,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, steps: int = 150) -
     scaled = ratio[feature]
     # Accelerated gradient descent on the penalised logistic loss; the step is bounded by the mean squared row length.
     goal, weight, intercept = toxic.astype(float), np.zeros(size), 0.0
+    each = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (~toxic).mean()) / len(texts)
     lengths = np.bincount(row, scaled**2, minlength=len(texts))
     step = 4.0 / (lengths.mean() + 1.0)
     past, past_b = weight.copy(), intercept
@@ -115,26 +116,23 @@ def train(texts: list[str], toxic: np.ndarray, share: float, steps: int = 150) -
         ahead = weight + t / (t + 3) * (weight - past)
         ahead_b = intercept + t / (t + 3) * (intercept - past_b)
         score = np.bincount(row, scaled * ahead[feature], minlength=len(texts)) + ahead_b
-        error = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - goal
+        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - goal) * each
         past, past_b = weight, intercept
-        slope = np.bincount(feature, scaled * error[row], minlength=size) / len(texts)
+        slope = np.bincount(feature, scaled * error[row], minlength=size)
         weight = ahead - step * (slope + 1e-4 * ahead)
-        intercept = ahead_b - step * error.mean()
-    # The sample holds the classes in other shares than the corpus.
-    sampled = toxic.mean()
-    intercept += np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
+        intercept = ahead_b - step * error.sum()
     weight = weight * ratio
     weight[np.abs(weight) < 1e-4] = 0.0
     return weight, float(intercept)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """Sampled texts, their labels, and the share of toxic ones among all labelled documents to learn from."""
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Sampled texts and their labels."""
     known = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return [], np.zeros(0, bool), 0.0
+        return [], np.zeros(0, bool)
     limit = F.lit(0)
     for label, n in counts.items():
         limit = F.when(F.col("_toxic") == label, min(_HASH_SPACE, _HASH_SPACE * SAMPLE // n)).otherwise(limit)
@@ -142,9 +140,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     # About two times SAMPLE ids, whatever the input.
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
     found = rows.toArrow().sort_by("doc_id")
-    share = counts.get(1, 0) / sum(counts.values())
-    texts = [t or "" for t in found["text"].to_pylist()]
-    return texts, found["_toxic"].to_numpy() == 1, share
+    return [t or "" for t in found["text"].to_pylist()], found["_toxic"].to_numpy() == 1
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

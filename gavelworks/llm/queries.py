@@ -10,6 +10,7 @@ from gavelworks.llm.digest_index import DigestIndex
 from gavelworks.llm.jaccard_join import jaccard_components
 from gavelworks.llm.language_id import identify
 from gavelworks.llm.mixture import mix
+from gavelworks.llm.pieces import decode, encode
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
 from gavelworks.llm.private_data_sql import private_data_sql
 from gavelworks.llm.toxicity import fold, score_toxicity
@@ -58,6 +59,20 @@ def op3_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"), words=4, per_hundred=85)
 
 
+@query("op4_pieces")
+def op4_pieces(spark, folder):
+    """Every text to tokens and back; the tokens' digest is over their decimal ids, joined by blanks."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    both = decode(encode(docs).withColumn("n_tokens", F.size("tokens").cast("long")))
+    return both.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 @query("op6_language_id")
 def op6_language_id(spark, folder):
     return identify(table(spark, folder, "documents"))

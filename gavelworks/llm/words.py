@@ -81,6 +81,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    power, inverse = _powers(len(data) + 1)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
+    return mixed((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def words_of(texts: pa.Array, lower: bool = True) -> Words:
     """The words (runs without white space) of each text and a 64-bit hash of each."""
     data, offsets = bytes_of(texts)
@@ -94,10 +101,7 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
     after[cuts[cuts > 0] - 1] = False
     starts = np.flatnonzero(black & ~before)
     ends = np.flatnonzero(black & ~after) + 1
-    power, inverse = _powers(len(data) + 1)
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
-    hashes = mixed((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
+    return Words(hashed(data, starts, ends), starts, ends, np.searchsorted(starts, offsets), data)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:

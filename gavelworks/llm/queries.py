@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gavelworks.llm.digest_index import DigestIndex
 from gavelworks.llm.jaccard_join import jaccard_components
 from gavelworks.llm.language_id import identify
+from gavelworks.llm.media import payload, read_media, store_texts
 from gavelworks.llm.mixture import mix
 from gavelworks.llm.pieces import decode, encode
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
@@ -73,6 +74,26 @@ def op4_pieces(spark, folder):
     )
 
 
+@query("op5_media")
+def op5_media(spark, folder):
+    """Texts stored as JPEG images; everything but the sizes of text and media comes from the images read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    rows = read_media(store_texts(docs).drop("text")).withColumn("payload", payload())
+    size = F.octet_length("payload")
+    one = lambda i: F.concat_ws(":", F.concat_ws("x", i["across"] * 8, i["down"] * 8), i["hash"])
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(F.transform("images", one), ",").alias("feature"),
+    )
+
+
 @query("op6_language_id")
 def op6_language_id(spark, folder):
     return identify(table(spark, folder, "documents"))

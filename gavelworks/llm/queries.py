@@ -11,6 +11,7 @@ from gavelworks.llm.jaccard_join import jaccard_components
 from gavelworks.llm.language_id import identify
 from gavelworks.llm.media import payload, read_media, store_texts
 from gavelworks.llm.mixture import mix
+from gavelworks.llm.page_text import main_text
 from gavelworks.llm.pieces import decode, encode
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
 from gavelworks.llm.private_data_sql import private_data_sql
@@ -38,6 +39,11 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_page_text")
+def op1_page_text(spark, folder):
+    return main_text(table(spark, folder, "pages"))
+
+
 @query("op2_private_data", private_data_sql())
 def op2_private_data(spark, folder):
     found = find_private_data(table(spark, folder, "documents").select("doc_id", "text"))

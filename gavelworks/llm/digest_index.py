@@ -78,10 +78,7 @@ class DigestIndex:
 
 def without_copies(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    drop = (
-        index.deduplicate(docs, batch)
-        .filter(~F.col("kept"))
-        .select(F.col("doc_id").alias("_copy"))
-        .distinct()
-    )
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_copy"]), "left_anti").select(docs.columns)
+    copies = index.deduplicate(docs, batch).filter(~F.col("kept"))
+    copies = copies.select(F.col("doc_id").alias("_copy"), F.col("digest").alias("_digest")).distinct()
+    same = docs["doc_id"].eqNullSafe(copies["_copy"]) & (digest(docs["text"]) == copies["_digest"])
+    return docs.join(copies, same, "left_anti").select(docs.columns)

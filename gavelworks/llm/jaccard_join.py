@@ -169,7 +169,7 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, words: int = 5, per_hundred: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row.
+    """``doc_id, n_shingles, component_id, key`` for every row, ``key`` being a hash of its text.
 
     Rows link when ``100 * intersection >= per_hundred * union`` of their sets
     of ``words``-word shingles.
@@ -276,7 +276,7 @@ def jaccard_components(
     found = components(links)
 
     # The smallest id of each component, for every row.
-    rows = signed.select("doc_id", "n", "class")
+    rows = signed.select("doc_id", "key", "n", "class")
     least = rows.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"))
     least = written(_labelled(least, found), "least")
     whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -284,5 +284,18 @@ def jaccard_components(
     with_words = rows.filter(F.col("n") > 0).join(names, "class")
     without = rows.filter(F.col("n") == 0).withColumn("component_id", F.col("doc_id"))
     return with_words.unionByName(without.select(with_words.columns)).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id"
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "key"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, per_hundred: int = 80) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose id is the smallest of their component.
+
+    In a component with ids the rows without one go; a component without any
+    keeps all its rows.
+    """
+    found = jaccard_components(docs, words, per_hundred).filter(F.col("component_id").isNotNull())
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)

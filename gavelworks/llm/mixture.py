@@ -12,6 +12,7 @@ table gives an empty result. Only the three named columns are read. Equal input
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,11 +142,11 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def blocks(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Rows of ``sized`` with their place ``start`` in the shuffled words of their source."""
+    """Rows of ``sized`` (``doc_id, source, size, key``) with their place ``start`` in the shuffled words of their source."""
     rows = (
         sized.alias("d")
         .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.doc_id", "d.size", "s.sid", "s.source_size", "s.target", "s.block_words")
+        .select("d.doc_id", "d.size", "d.key", "s.sid", "s.source_size", "s.target", "s.block_words")
         .withColumn("_hash", F.xxhash64(F.col("doc_id"), F.lit(seed)))
         .withColumn("_chunk", F.pmod(F.col("_hash"), F.lit(ORDER_CHUNKS)))
     )
@@ -155,7 +156,7 @@ def blocks(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
         .agg(F.sum("size").alias("n"))
         .select("sid", "_chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("sid", "_chunk").orderBy("_hash", "doc_id", "size")
+    inside = Window.partitionBy("sid", "_chunk").orderBy("_hash", "doc_id", "size", "key")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
         rows.withColumn("_row", F.row_number().over(inside))
@@ -178,12 +179,18 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The words each row gives to the mix, and the schedule of blocks.
 
-    The first frame is ``doc_id, size, source_size, target, taken``; the second
-    is ``slot, sid, block, epoch``, whose blocks cut the lines of ``blocks``.
+    The first frame is ``doc_id, size, source_size, target, taken, key, passes``:
+    a source is gone through from its beginning as often as needed, so what the
+    mix takes of a row is its first ``passes[0]`` words, then its first
+    ``passes[1]`` and so on. ``key`` is a hash of the text. The second frame is
+    ``slot, sid, block, epoch``, whose blocks cut the lines of ``blocks``.
     """
     sized = written(
         docs.select(
-            F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size")
+            F.col(doc_id).alias("doc_id"),
+            F.col(source).alias("source"),
+            words_in(F.col(text)).alias("size"),
+            F.xxhash64(F.col(text)).alias("key"),
         ),
         "sizes",
     )
@@ -208,8 +215,37 @@ def mix(
     taken = (
         pieces.withColumn("words", inside)
         .join(times, ["sid", "block"], "left")
-        .groupBy("sid", "_chunk", "_row", "doc_id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .groupBy("sid", "_chunk", "_row", "doc_id", "key", "size", "source_size", "target")
+        .agg(
+            F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"),
+            F.array(
+                *[
+                    F.sum(F.when(F.col("times") > e, F.col("words")).otherwise(0)).cast("long")
+                    for e in range(math.ceil(most))
+                ]
+            ).alias("passes"),
+        )
+        .select("doc_id", "size", "source_size", "target", "taken", "key", "passes")
     )
     return taken, slots
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with their columns, once for each pass over their source.
+
+    A row that a pass takes only the first words of has those words, joined by
+    blanks, as its text, and ``n_chars``, where there is such a column, counts
+    its text again. Rows that repeat both id and text give what the first gives.
+    """
+    takes = mix(docs, **options)[0].filter(F.col("taken") > 0)
+    takes = takes.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.min(F.struct("size", "passes")).alias("_take")
+    )
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    rows = keyed.join(takes, keyed["doc_id"].eqNullSafe(takes["_id"]) & (keyed["_hash"] == takes["_key"]))
+    rows = rows.withColumn("_pass", F.explode("_take.passes")).filter(F.col("_pass") > 0)
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_pass").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_pass") == F.col("_take.size"), F.col("text")).otherwise(some))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)

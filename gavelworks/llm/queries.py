@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from gavelworks.llm.digest_index import DigestIndex
@@ -63,7 +64,7 @@ def op2_private_data(spark, folder):
 
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark, folder):
-    return jaccard_components(table(spark, folder, "documents"), words=4, per_hundred=85)
+    return jaccard_components(table(spark, folder, "documents"), words=4, per_hundred=85).drop("key")
 
 
 @query("op4_pieces")
@@ -134,7 +135,7 @@ def op8_toxicity(spark, folder):
 
 @query("op9_source_mix")
 def op9_source_mix(spark, folder):
-    return mix(table(spark, folder, "documents"))[0]
+    return mix(table(spark, folder, "documents"))[0].drop("key", "passes")
 
 
 @query(
@@ -151,3 +152,6 @@ def op10_digest_index(spark, folder):
     rows = index.deduplicate(table(spark, folder, "documents"), "first")
     index.drop()
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

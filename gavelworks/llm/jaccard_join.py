@@ -8,7 +8,8 @@
    members.
 4. Group pairs that share a prefix shingle across components are enumerated by a join on the shingle, whose condition
    holds exact filters: sizes, places in the prefixes and the distance of 512-bit parity maps. They are expanded into
-   class pairs and filtered again; one pair of each two components is tested, then what still crosses.
+   class pairs and filtered again; one pair of each two components is tested, then what still crosses. Before texts are
+   fetched for a test, parity maps of about as many bits as the sets have shingles must let the pair through.
 
 A pair inside one component needs no test, and every other pair that the filters let through gets one, so no link
 between components is missed. The order only decides how much work there is: frequent shingles are those with the
@@ -37,7 +38,7 @@ from gavelworks.session import written
 # Frequent shingles that are told apart by count, and the count from which they are looked at.
 HEAVY = 65_536
 LEAST_HEAVY = 8
-MAPS = 8  # longs of a parity map
+MAPS = 8  # longs of the small parity map, which every set has
 # Buckets of the filter that keeps texts of tested classes; a fixed size, 65,536 rows of 64 bits.
 FILTER_BITS = 22
 
@@ -64,19 +65,37 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], times[order]
 
 
+def _parity_map(s: np.ndarray, longs: int) -> np.ndarray:
+    """Bit ``i`` tells whether an odd number of hashes is ``i`` modulo the bits."""
+    odd = np.bincount((s & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(bounds, np.concatenate([np.zeros(0, np.int64), *rows]))
+
+
 def signatures(docs: DataFrame, n: int, per_hundred: int) -> DataFrame:
-    """Per row of ``doc_id, text, key``: set size, class, group, prefix and parity map."""
+    """Per row of ``doc_id, text, key``: set size, class, group, prefix and parity maps.
+
+    The large map has about as many bits as the set has shingles, and is empty
+    where the small one has them already.
+    """
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, times = frequent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, classes, groups, prefixes, maps = [], [], [], [], []
+                sizes, classes, groups, prefixes, maps, large = [], [], [], [], [], []
                 for s in shingle_sets(part.column("text"), n):
                     size = len(s)
                     sizes.append(size)
                     classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    maps.append(_parity_map(s, MAPS))
+                    longs = 1 << max(0, (size - 1) // 64).bit_length()
+                    large.append(_parity_map(s, longs) if longs > MAPS else maps[-1][:0])
                     first = size - _ceil_div(per_hundred * size, 100) + 1 if size else 0
                     if len(heavy) and size:
                         at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -85,20 +104,15 @@ def signatures(docs: DataFrame, n: int, per_hundred: int) -> DataFrame:
                     prefix = s[:first]
                     groups.append(hashlib.blake2b(prefix.tobytes() + size.to_bytes(8, "little"), digest_size=16).digest())
                     prefixes.append(prefix.view(np.int64))
-                    odd = np.bincount((s & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
-                    maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                lists = pa.ListArray.from_arrays(
-                    np.cumsum([0, *map(len, prefixes)]).astype(np.int32), np.concatenate(prefixes)
-                )
                 maps = np.stack(maps)
                 columns = [part.column("doc_id"), part.column("key"), pa.array(sizes, pa.int64())]
-                columns += [pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), lists]
+                columns += [pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), _lists(prefixes), _lists(large)]
                 columns += [pa.array(maps[:, k]) for k in range(MAPS)]
-                yield pa.record_batch(columns, names=[*"doc_id key n class group prefix".split(), *map_names])
+                yield pa.record_batch(columns, names=[*"doc_id key n class group prefix large".split(), *map_names])
 
     map_names = [f"m{k}" for k in range(MAPS)]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kinds = f"doc_id {id_type}, key long, n long, class binary, group binary, prefix array<long>"
+    kinds = f"doc_id {id_type}, key long, n long, class binary, group binary, prefix array<long>, large array<long>"
     return docs.mapInArrow(sign, kinds + "".join(f", {m} long" for m in map_names))
 
 
@@ -121,8 +135,28 @@ def _fits(a: str, b: str, per_hundred: int, slack: Column | int = 0) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * per_hundred) & near
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, per_hundred: int) -> DataFrame:
+    """The pairs ``a, b`` of classes that their large parity maps let through."""
+    one, two = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("large").alias(f"l_{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    longs = F.least(F.size("l_a"), F.size("l_b"))
+
+    def folded(x: str) -> Column:
+        # A map of twice the bits becomes the smaller one where its halves are joined.
+        xor = lambda i: F.aggregate(
+            F.sequence(i, F.size(x) - 1, longs), F.lit(0).cast("long"), lambda v, j: v.bitwiseXOR(F.get(F.col(x), j))
+        )
+        return F.when(F.size(x) == longs, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), xor))
+
+    differing = F.zip_with(folded("l_a"), folded("l_b"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    distance = F.when(longs > 0, F.aggregate(differing, F.lit(0), lambda u, v: u + v)).otherwise(0)
+    na, nb = F.col("n_a"), F.col("n_b")
+    return both.filter(distance <= na + nb - 2 * _common(na, nb, per_hundred)).select("a", "b")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per_hundred: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets really share enough, from their texts."""
+    pairs = written(_possible(pairs, classes, per_hundred), "possible")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = written(classes.select("class", "doc_id", "key").join(wanted, "class"), "wanted")
     place = lambda: F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << FILTER_BITS))
@@ -176,42 +210,44 @@ def jaccard_components(
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
-    signed = written(signatures(docs, words, per_hundred), "signed")
-    classes = written(signed.filter(F.col("n") > 0).dropDuplicates(["class"]), "classes")
+    # Numbered as they are written: the numbers stay what they are.
+    number = F.monotonically_increasing_id()
+    signed = written(signatures(docs, words, per_hundred).withColumn("row", number), "signed")
     maps = [f"m{k}" for k in range(MAPS)]
+    chosen = signed.filter(F.col("n") > 0).groupBy("class").agg(F.min("row").alias("row")).select("row")
+    classes = written(signed.drop("prefix").join(chosen, "row"), "classes")
 
     # Groups: classes with identical prefix and size; the centre's map, and how far members are from it.
-    member = classes.select("class", "group", "n", *maps)
-    centres = member.groupBy("group").agg(
-        F.min(F.struct("class", "n", *maps)).alias("c"), F.count(F.lit(1)).alias("members")
-    )
-    centres = written(centres.select("group", "c.*", "members"), "centres")
+    centres = classes.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("members"))
+    centres = centres.join(classes.select("class", "row", "n", *maps), "class").withColumn("gid", number)
+    centres = written(centres, "centres")
+    gids = centres.select("group", "gid")
+    member = written(classes.select("class", "group", "n", *maps).join(gids, "group").drop("group"), "members")
     several = centres.filter(F.col("members") > 1)
     inner = written(
-        member.alias("m").join(several.alias("c"), "group").select(
-            "group", F.col("c.class").alias("a"), F.col("m.class").alias("b"), _distance("m", "c").alias("far")
+        member.alias("m").join(several.alias("c"), "gid").select(
+            "gid", F.col("c.class").alias("a"), F.col("m.class").alias("b"), _distance("m", "c").alias("far")
         ),
-        "members",
+        "inner",
     )
-    radius = inner.groupBy("group").agg(F.max("far").alias("radius"))
-    groups = centres.join(radius, "group", "left").withColumn("radius", F.coalesce("radius", F.lit(0)))
+    radius = inner.groupBy("gid").agg(F.max("far").alias("radius"))
+    groups = centres.select("gid", "class", "n", *maps).join(radius, "gid", "left")
+    groups = written(groups.withColumn("radius", F.coalesce("radius", F.lit(0))), "groups")
 
     # Shingles in the prefixes of at least two groups.
-    prefixes = classes.select("class", "prefix").join(centres.select("class", "group", "n"), "class")
-    listed = prefixes.select("group", "n", F.posexplode("prefix").alias("at", "shingle"))
-    shared = (
-        listed.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "group")).alias("first"))
-        .filter(F.col("k") > 1)
-        .select("shingle", F.col("first.group").alias("centre"))
+    prefixes = signed.select("row", "prefix").join(centres.select("row", "gid", "n"), "row")
+    listed = written(prefixes.select("gid", "n", "prefix"), "prefixes").select(
+        "gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle")
     )
-    shared = written(listed.join(shared, "shingle"), "shared")
+    several = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("shingle")
+    shared = written(listed.join(several, "shingle"), "shared")
 
     # First round: each group with the centre of each of its shingles, each member with that of its group.
-    stars = shared.filter(F.col("group") != F.col("centre")).select("group", "centre").distinct()
+    centre = shared.groupBy("shingle").agg(F.min(F.struct("n", "gid")).alias("c")).select("shingle", F.col("c.gid").alias("centre"))
+    stars = shared.join(centre, "shingle").filter(F.col("gid") != F.col("centre")).select("gid", "centre").distinct()
     stars = (
-        stars.join(groups.alias("a"), stars["group"] == F.col("a.group"))
-        .join(groups.alias("b"), stars["centre"] == F.col("b.group"))
+        stars.join(groups.alias("a"), stars["gid"] == F.col("a.gid"))
+        .join(groups.alias("b"), stars["centre"] == F.col("b.gid"))
         .filter(_fits("a", "b", per_hundred))
         .select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"))
     )
@@ -222,9 +258,9 @@ def jaccard_components(
 
     # Group pairs across components. A group whose members are in several has no single one.
     member = written(_labelled(member, found), "labelled")
-    one = member.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    one = one.select("group", F.when(F.col("low") == F.col("high"), F.col("low")).alias("component"))
-    rows = shared.select("shingle", "group", "at").join(groups.drop("class", "members"), "group").join(one, "group")
+    one = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    one = one.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("component"))
+    rows = shared.select("shingle", "gid", "at").join(groups.drop("class"), "gid").join(one, "gid")
     mixed_lists = rows.groupBy("shingle").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(F.col("component").isNull()).alias("no")
     )
@@ -237,15 +273,15 @@ def jaccard_components(
     near = _fits("a", "b", per_hundred, F.col("a.radius") + F.col("b.radius"))
     pairs = left.join(
         right,
-        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.group") < F.col("b.group")) & apart & enough & near,
-    ).select(F.col("a.group").alias("g"), F.col("b.group").alias("h")).distinct()
+        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.gid") < F.col("b.gid")) & apart & enough & near,
+    ).select(F.col("a.gid").alias("g"), F.col("b.gid").alias("h")).distinct()
     # Members of one group that the first round left apart.
-    inside = one.filter(F.col("component").isNull()).select(F.col("group").alias("g"), F.col("group").alias("h"))
+    inside = one.filter(F.col("component").isNull()).select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     pairs = pairs.unionByName(inside)
     across = (F.col("a.component") != F.col("b.component")) & _fits("a", "b", per_hundred)
     crossing = (
-        pairs.join(member.alias("a"), F.col("g") == F.col("a.group"))
-        .join(member.alias("b"), (F.col("h") == F.col("b.group")) & across)
+        pairs.join(member.alias("a"), F.col("g") == F.col("a.gid"))
+        .join(member.alias("b"), (F.col("h") == F.col("b.gid")) & across)
         .select(
             F.least("a.class", "b.class").alias("a"),
             F.greatest("a.class", "b.class").alias("b"),

@@ -159,5 +159,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 total = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
                 yield pa.record_batch([*part.columns, pa.array(total)], names=[*kept, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(score, f"{fields}, score double")

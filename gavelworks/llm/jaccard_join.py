@@ -3,10 +3,10 @@
 1. A text becomes its set of hashed shingles. Texts with equal sets are one class.
 2. Shingles are ordered, the frequent ones last. Two sets with enough in common share one of the first shingles of that
    order, their prefixes. Classes with identical prefixes and size are one group, which is listed once per shingle.
-3. A first round tests each group against one centre for each shingle of its prefix, and members against the centre of
-   their group. Links join classes into components, so a large cluster of near copies costs as many tests as it has
-   members.
-4. Group pairs that share a prefix shingle across components are enumerated by a join on the shingle, whose condition
+   Shingles held by the same groups are one list.
+3. A few star rounds test each group of a list against one of another component, and members against the centre of their
+   group. Links join classes into components, so a large cluster of near copies costs as many tests as it has members.
+4. Group pairs that share a list across components are enumerated by a join on the list, whose condition
    holds exact filters: sizes, places in the prefixes and the distance of 512-bit parity maps. They are expanded into
    class pairs and filtered again; one pair of each two components is tested, then what still crosses. Before texts are
    fetched for a test, parity maps of about as many bits as the sets have shingles must let the pair through.
@@ -38,6 +38,7 @@ from gavelworks.session import written
 # Frequent shingles that are told apart by count, and the count from which they are looked at.
 HEAVY = 65_536
 LEAST_HEAVY = 8
+STAR_ROUNDS = 3
 MAPS = 8  # longs of the small parity map, which every set has
 # Buckets of the filter that keeps texts of tested classes; a fixed size, 65,536 rows of 64 bits.
 FILTER_BITS = 22
@@ -157,6 +158,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, per_hundred: int) -> DataFra
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per_hundred: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets really share enough, from their texts."""
     pairs = written(_possible(pairs, classes, per_hundred), "possible")
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = written(classes.select("class", "doc_id", "key").join(wanted, "class"), "wanted")
     place = lambda: F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << FILTER_BITS))
@@ -200,6 +203,20 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return out.select(*[rows[c] for c in rows.columns], F.coalesce("component", rows["class"]).alias("component"))
 
 
+def _across_components(lists: DataFrame, member: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of lists that span several components, with the group's ``component`` (null if its members are in several)
+    and the ``low``est of its members'."""
+    of = _labelled(member.select("class", "gid"), found).groupBy("gid")
+    of = of.agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    component = F.when(F.col("low") == F.col("high"), F.col("low")).alias("component")
+    rows = lists.join(of.select("gid", "low", component), "gid")
+    spread = rows.groupBy("list").agg(
+        F.min("low").alias("a"), F.max("low").alias("b"), F.count_if(F.col("component").isNull()).alias("no")
+    )
+    spread = spread.filter((F.col("a") != F.col("b")) | (F.col("no") > 0)).select("list")
+    return rows.join(spread, "list")
+
+
 def jaccard_components(
     docs: DataFrame, words: int = 5, per_hundred: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -208,6 +225,7 @@ def jaccard_components(
     Rows link when ``100 * intersection >= per_hundred * union`` of their sets
     of ``words``-word shingles.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
     # Numbered as they are written: the numbers stay what they are.
@@ -241,31 +259,46 @@ def jaccard_components(
     )
     several = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("shingle")
     shared = written(listed.join(several, "shingle"), "shared")
-
-    # First round: each group with the centre of each of its shingles, each member with that of its group.
-    centre = shared.groupBy("shingle").agg(F.min(F.struct("n", "gid")).alias("c")).select("shingle", F.col("c.gid").alias("centre"))
-    stars = shared.join(centre, "shingle").filter(F.col("gid") != F.col("centre")).select("gid", "centre").distinct()
-    stars = (
-        stars.join(groups.alias("a"), stars["gid"] == F.col("a.gid"))
-        .join(groups.alias("b"), stars["centre"] == F.col("b.gid"))
-        .filter(_fits("a", "b", per_hundred))
-        .select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"))
+    # Shingles that the same groups hold are one list: a pair that shares a passage is then found once, not once a word.
+    gid = F.col("gid")
+    alike = shared.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64(gid)).alias("x"), F.bit_xor(F.xxhash64(gid, F.lit(1))).alias("y")
     )
-    stars = stars.unionByName(inner.filter(F.col("a") != F.col("b")).select("a", "b")).distinct()
-    tested = written(stars, "stars")
-    links = _linked(tested, classes, docs, words, per_hundred)
-    found = components(links)
-
-    # Group pairs across components. A group whose members are in several has no single one.
+    alike = written(alike, "alike")
+    first = alike.groupBy("k", "x", "y").agg(F.min("shingle").alias("list"))
+    lists = shared.join(alike.join(first, ["k", "x", "y"]).select("shingle", "list"), "shingle")
+    lists = written(lists.groupBy("list", "gid").agg(F.min("at").alias("at")), "lists")
+
+    # Star rounds: each group of a list that spans components with one of another component, members of a group with its
+    # centre. A cluster of near copies becomes one component after as many tests as it has members.
+    none = spark.createDataFrame([], "a binary, b binary")
+    tested, links = none, none
+    found = spark.createDataFrame([], "node binary, component binary")
+    for turn in range(STAR_ROUNDS):
+        rows = _across_components(lists, member, found)
+        ends = rows.groupBy("list").agg(F.min(F.struct("low", "gid")).alias("e"), F.max(F.struct("low", "gid")).alias("f"))
+        other = F.when(F.col("low") == F.col("e.low"), F.col("f.gid")).otherwise(F.col("e.gid"))
+        stars = rows.join(ends, "list").select("gid", other.alias("other")).filter(gid != F.col("other")).distinct()
+        stars = (
+            stars.join(groups.alias("a"), stars["gid"] == F.col("a.gid"))
+            .join(groups.alias("b"), stars["other"] == F.col("b.gid"))
+            .filter(_fits("a", "b", per_hundred))
+            .select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"))
+        )
+        if not turn:
+            stars = stars.unionByName(inner.filter(F.col("a") != F.col("b")).select("a", "b"))
+        stars = written(stars.distinct().join(tested, ["a", "b"], "left_anti"), "stars")
+        tested = tested.unionByName(stars)
+        new = _linked(stars, classes, docs, words, per_hundred)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        found = components(links)
+
+    # Group pairs across components.
+    rows = _across_components(lists, member, found)
+    rows = written(rows.drop("low").join(groups.drop("class"), "gid"), "crossing")
     member = written(_labelled(member, found), "labelled")
-    one = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    one = one.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("component"))
-    rows = shared.select("shingle", "gid", "at").join(groups.drop("class"), "gid").join(one, "gid")
-    mixed_lists = rows.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(F.col("component").isNull()).alias("no")
-    )
-    mixed_lists = mixed_lists.filter((F.col("low") != F.col("high")) | (F.col("no") > 0)).select("shingle")
-    rows = written(rows.join(mixed_lists, "shingle"), "crossing")
     left, right = rows.alias("a"), rows.alias("b")
     apart = F.coalesce(F.col("a.component") != F.col("b.component"), F.lit(True))
     rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
@@ -273,10 +306,11 @@ def jaccard_components(
     near = _fits("a", "b", per_hundred, F.col("a.radius") + F.col("b.radius"))
     pairs = left.join(
         right,
-        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.gid") < F.col("b.gid")) & apart & enough & near,
+        (F.col("a.list") == F.col("b.list")) & (F.col("a.gid") < F.col("b.gid")) & apart & enough & near,
     ).select(F.col("a.gid").alias("g"), F.col("b.gid").alias("h")).distinct()
-    # Members of one group that the first round left apart.
-    inside = one.filter(F.col("component").isNull()).select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    # Members of one group that are still apart.
+    split = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    inside = split.filter(F.col("low") != F.col("high")).select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     pairs = pairs.unionByName(inside)
     across = (F.col("a.component") != F.col("b.component")) & _fits("a", "b", per_hundred)
     crossing = (
@@ -297,8 +331,10 @@ def jaccard_components(
     picked = written(
         crossing.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "picked"
     )
-    links = links.unionByName(_linked(picked, classes, docs, words, per_hundred))
-    found = components(links)
+    new = _linked(picked, classes, docs, words, per_hundred)
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        found = components(links)
     label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     left_over = (
         crossing.select("a", "b")
@@ -308,8 +344,9 @@ def jaccard_components(
         .filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
         .select("a", "b")
     )
-    links = links.unionByName(_linked(written(left_over, "left_over"), classes, docs, words, per_hundred))
-    found = components(links)
+    new = _linked(written(left_over, "left_over"), classes, docs, words, per_hundred)
+    if not new.isEmpty():
+        found = components(links.unionByName(new))
 
     # The smallest id of each component, for every row.
     rows = signed.select("doc_id", "key", "n", "class")

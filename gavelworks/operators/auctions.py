@@ -68,9 +68,14 @@ def join_area(df: DataFrame, areas: DataFrame, key: str = "auction_fsa") -> Data
     """Area statistics by postal area.
 
     There are at most 26 * 10 * 26 areas of the form letter-digit-letter, one
-    row each, so the lookup is broadcast whatever the size of the auctions.
+    row each, so the lookup is broadcast whatever the size of the auctions. An
+    area that comes twice makes the run fail: which row is meant is unknown.
     """
-    valid = areas.filter(F.col("FSA").rlike("^[A-Z][0-9][A-Z]$")).dropDuplicates(["FSA"])
+    valid = areas.filter(F.col("FSA").rlike("^[A-Z][0-9][A-Z]$"))
+    rest = [c for c in valid.columns if c != "FSA"]
+    one = valid.groupBy("FSA").agg(F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in rest])
+    repeated = F.raise_error(F.concat(F.lit("area given more than once: "), F.col("FSA")))
+    valid = one.withColumn("FSA", F.when(F.col("_rows") > 1, repeated).otherwise(F.col("FSA"))).drop("_rows")
     lookup = F.broadcast(valid.withColumnRenamed("FSA", "_area"))
     return df.join(lookup, F.col(key) == F.col("_area"), "left").drop("_area")
 

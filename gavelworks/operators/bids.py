@@ -144,7 +144,8 @@ def amount_columns(df: DataFrame) -> dict[str, Column]:
         "is_unusual_increment": is_unusual_increment(previous, amount).cast("int"),
         "increment_deviation_ratio": increment_deviation(previous, amount),
         "proxy_bid_flag": _proxy(df),
-        "bid_amount_percentile_so_far": F.col("_not_above") / F.col(N) * F.lit(100.0),
+        # Among the known amounts; a bid without one has no place among them.
+        "bid_amount_percentile_so_far": F.col("_not_above") / F.col("_known_a") * F.lit(100.0),
         "bid_amount_relative_to_mean": amount - F.col("_mean_a"),
         "bid_amount_relative_to_median": amount - F.col("_median_a"),
         "bid_amount_relative_to_max": _share_of_max(amount),
@@ -171,6 +172,11 @@ def progress_columns(starting_bid: str | None) -> dict[str, Column]:
     }
 
 
+def increment() -> Column:
+    """Step from the bid before; the first bid's is its amount. Missing where either amount is."""
+    return F.when(F.col(N) == 1, F.col("bid_amount")).otherwise(F.col("bid_amount") - F.col(PREV_A))
+
+
 def starts_cluster() -> Column:
     return (F.col(N) == 1) | ((F.col(U) - F.col(PREV_U)) > CLUSTER_GAP)
 
@@ -215,7 +221,8 @@ STANDING = T.StructType([T.StructField("not_above", T.LongType()), T.StructField
 def _standing(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Rank and running median of each amount among the amounts seen so far.
 
-    Rows arrive in window order, item by item; position 1 starts a new item.
+    Rows arrive in window order, item by item; position 1 starts a new item. A
+    missing amount has neither and changes neither for those after it.
     A sorted list needs one binary search per bid, where a window frame would
     sort the whole history again for every row.
     """
@@ -225,12 +232,18 @@ def _standing(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Dat
         for n, a in zip(position.to_numpy(), amount.to_numpy()):
             if n == 1:
                 seen = []
+            if a != a:  # missing
+                ranks.append(None)
+                medians.append(None)
+                continue
             at = bisect_right(seen, a)
             seen.insert(at, a)
             half = len(seen) >> 1
             ranks.append(at + 1)
             medians.append(seen[half] if len(seen) & 1 else (seen[half - 1] + seen[half]) / 2)
-        yield pd.DataFrame({"not_above": ranks, "median": medians})
+        yield pd.DataFrame(
+            {"not_above": pd.array(ranks, dtype="Int64"), "median": pd.array(medians, dtype="Float64")}
+        )
 
 
 # Spark must not move a filter below this function: it reads its rows in order.
@@ -254,6 +267,7 @@ def windowed(df: DataFrame, groups: Sequence[str], tiebreak: Sequence[Column]) -
     if amounts:
         first[PREV_A] = F.lag("bid_amount").over(w.item)
         first["_mean_a"] = F.avg("bid_amount").over(w.so_far)
+        first["_known_a"] = F.count("bid_amount").over(w.so_far)
     if amounts or progress:
         first["_max_a"] = F.max("bid_amount").over(w.so_far)
     if progress:
@@ -267,7 +281,7 @@ def windowed(df: DataFrame, groups: Sequence[str], tiebreak: Sequence[Column]) -
 
     second: dict[str, Column] = {}
     if amounts:
-        out = out.withColumn("bid_increment", F.coalesce(amount - F.col(PREV_A), amount))
+        out = out.withColumn("bid_increment", increment())
         second["_sum_inc"] = F.sum("bid_increment").over(w.so_far)
         second["_mean_inc_5"] = F.avg("bid_increment").over(w.last_five)
     if progress:

@@ -58,7 +58,10 @@ def add_closing_order(
     times = parts.large.filter(ends.isNotNull()).select("auction_id", source).distinct()
     size = chunk_size(parts.large_rows, limit)
     ranked = numbered(times, ["auction_id"], [ends.asc()], "_rank", parts.large_rows, size)
-    large = parts.large.join(ranked, ["auction_id", source], "left")
+    # Items without an auction are ranked together, as in the window.
+    ranked = ranked.select(F.col("auction_id").alias("_auction"), F.col(source).alias("_end"), "_rank")
+    same = parts.large["auction_id"].eqNullSafe(F.col("_auction")) & (parts.large[source] == F.col("_end"))
+    large = parts.large.join(ranked, same, "left")
     large = large.withColumn(out, F.coalesce(F.col("_rank").cast("int"), F.lit(0)))
     return small.unionByName(large.select(*small.columns))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,8 +138,10 @@ def keys_first(df: DataFrame, keys: Sequence[str] = ("auction_id", "item_id")) -
 
 
 def not_done(pending: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are not among the finished ones."""
-    return pending.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    """Rows whose keys are not among the finished ones. A missing key equals a missing key."""
+    finished = done.select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [pending[k].eqNullSafe(finished[f"_done_{k}"]) for k in keys])
+    return pending.join(finished, same, "left_anti")
 
 
 def latest_status(log: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:

@@ -33,6 +33,7 @@ from gavelworks.operators.bids import (
     SECOND,
     U,
     decayed_sum,
+    increment,
     starts_cluster,
 )
 from gavelworks.operators.order_statistics import earlier_below, running_medians
@@ -42,13 +43,20 @@ from gavelworks.session import written
 C = "_chunk"
 BAND = "_band"
 KEY = ["item_id"]
+ITEM = "_item"
 
 
 def chunked(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], rows: int, limit: int
 ) -> DataFrame:
-    """Fill the working columns of ``finish`` for oversized items."""
+    """Fill the working columns of ``finish`` for oversized items.
+
+    Bids without an item are an item like any other: all steps join on a key
+    that is never missing, and the item comes back at the end.
+    """
     size = chunk_size(rows, limit)
+    key = F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit(""))
+    df = df.withColumn(ITEM, F.col("item_id")).withColumn("item_id", key)
     by = [F.col(AT).asc(), *order]
     placed = numbered(df, KEY, by, N, rows, size)
     placed = written(placed.withColumn(C, F.floor((F.col(N) - 1) / size)), "placed")
@@ -59,8 +67,22 @@ def chunked(
         out = out.join(_earlier_counts(placed, size), ["item_id", N], "left")
         out = out.withColumns({f"_before_{s}": F.coalesce(f"_before_{s}", F.lit(0)) for s in (60, 300, 600)})
     if "bid_amounts" in groups:
-        out = out.join(_standings(placed, size, rows), ["item_id", N], "left")
-    return out
+        # Missing amounts have no place among the known ones, whose own count is the place of each.
+        out = out.withColumn("_k", F.when(F.col("bid_amount").isNotNull(), F.col("_known_a")))
+        known = placed.join(_known_before(placed), ["item_id", C]).filter(F.col("bid_amount").isNotNull())
+        inside = Window.partitionBy("item_id", C).orderBy(N).rowsBetween(Window.unboundedPreceding, 0)
+        place = F.col("_c_known") + F.count("*").over(inside)
+        known = known.select("item_id", place.alias(N), "bid_amount").withColumn(C, F.floor((F.col(N) - 1) / size))
+        standings = _standings(known, size, rows).withColumnRenamed(N, "_k")
+        out = out.join(standings, ["item_id", "_k"], "left")
+    return out.withColumn("item_id", F.col(ITEM)).drop(ITEM)
+
+
+def _known_before(placed: DataFrame) -> DataFrame:
+    """Known amounts in all earlier chunks of the item."""
+    counts = placed.groupBy("item_id", C).agg(F.count("bid_amount").alias("_n_known"))
+    earlier = carried_in(counts, KEY, C, {"_c_known": F.sum("_n_known")})
+    return earlier.withColumn("_c_known", F.coalesce("_c_known", F.lit(0)))
 
 
 # ------------------------------------------------------------ running values
@@ -71,7 +93,6 @@ def _with_neighbours(placed: DataFrame, size: int) -> DataFrame:
     ends_chunk = F.col(N) > (F.col(C) + 1) * size - 5
     visits = F.when(ends_chunk, F.array(F.col(C), F.col(C) + 1)).otherwise(F.array(F.col(C)))
     w = Window.partitionBy("item_id", "_in").orderBy(N)
-    amount = F.col("bid_amount")
     return (
         placed.withColumn("_in", F.explode(visits))
         .withColumns(
@@ -81,7 +102,7 @@ def _with_neighbours(placed: DataFrame, size: int) -> DataFrame:
                 "_prev_a2": F.lag("bid_amount", 2).over(w),
             }
         )
-        .withColumn("bid_increment", F.when(F.col(N) == 1, amount).otherwise(amount - F.col(PREV_A)))
+        .withColumn("bid_increment", increment())
         .withColumn("_mean_inc_5", F.avg("bid_increment").over(w.rowsBetween(-4, 0)))
         .filter(F.col("_in") == F.col(C))
         .drop("_in")
@@ -96,6 +117,7 @@ def _running(placed: DataFrame, size: int) -> DataFrame:
         {
             "_in_max_u": F.max(U).over(inside),
             "_in_sum_a": F.sum("bid_amount").over(inside),
+            "_in_known": F.count("bid_amount").over(inside),
             "_in_max_a": F.max("bid_amount").over(inside),
             "_in_sum_inc": F.sum("bid_increment").over(inside),
             "_in_max_number": F.max("bid_number").over(inside),
@@ -109,6 +131,7 @@ def _running(placed: DataFrame, size: int) -> DataFrame:
         F.min_by("bid_amount", N).alias("_start_a"),
         F.max(U).alias("_end_u"),
         F.sum("bid_amount").alias("_sum_a"),
+        F.count("bid_amount").alias("_n_known"),
         F.max("bid_amount").alias("_top_a"),
         F.sum("bid_increment").alias("_sum_i"),
         F.max("bid_number").alias("_top_number"),
@@ -120,13 +143,14 @@ def _running(placed: DataFrame, size: int) -> DataFrame:
     out = local.join(carry, ["item_id", C], "left")
     since_end = (F.col(U) - F.col("_c_end_u")) / F.lit(float(SECOND))
     older = F.coalesce(F.col("_c_decayed") * F.exp(-since_end * DECAY), F.lit(0.0))
-    zero = F.lit(0)
+    known = F.col("_in_known") + F.coalesce("_c_known", F.lit(0))
     return out.withColumns(
         {
             "_max_u": F.greatest("_in_max_u", "_c_end_u"),
-            "_mean_a": (F.col("_in_sum_a") + F.coalesce("_c_sum_a", zero)) / F.col(N),
+            "_known_a": known,
+            "_mean_a": F.when(known > 0, _both("_in_sum_a", "_c_sum_a") / known),
             "_max_a": F.greatest("_in_max_a", "_c_max_a"),
-            "_sum_inc": F.col("_in_sum_inc") + F.coalesce("_c_sum_inc", zero),
+            "_sum_inc": _both("_in_sum_inc", "_c_sum_inc"),
             "_max_number": F.greatest("_in_max_number", "_c_max_number"),
             "_cluster_u": F.coalesce("_in_cluster_u", "_c_cluster_u"),
             "_cluster_n": F.coalesce("_in_cluster_n", "_c_cluster_n"),
@@ -135,6 +159,11 @@ def _running(placed: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _both(inside: str, before: str) -> Column:
+    """Sum of two sums, each missing where it has nothing to add."""
+    return F.coalesce(F.col(inside) + F.col(before), F.col(inside), F.col(before))
+
+
 def _carry(summary: DataFrame) -> DataFrame:
     """What each chunk takes over from the chunks before it. One row per chunk."""
     end_day = F.floor(F.col("_end_u") / F.lit(DAY_MICROS))
@@ -160,6 +189,7 @@ def _carry(summary: DataFrame) -> DataFrame:
         {
             "_c_end_u": F.max("_end_u"),
             "_c_sum_a": F.sum("_sum_a"),
+            "_c_known": F.sum("_n_known"),
             "_c_max_a": F.max("_top_a"),
             "_c_sum_inc": F.sum("_sum_i"),
             "_c_max_number": F.max("_top_number"),

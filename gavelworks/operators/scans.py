@@ -175,8 +175,10 @@ def grouped_median(
     # Ranks of the two middle values (the same one when the total is odd).
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     covers = lambda rank: (F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))
+    totals = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_total")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     return (
-        ranked.join(totals, keys)
+        ranked.join(totals, same)
         .filter(covers(low) | covers(high))
         .groupBy(*keys)
         .agg(((F.min(value) + F.max(value)) / 2).alias(out))

@@ -135,7 +135,8 @@ def category_statistics(items: DataFrame, category: str, price: str, limit: int
         F.avg(F.coalesce(F.col(price) > 0, F.lit(False)).cast("int")).alias("category_sell_rate"),
     )
     median = grouped_median(items, [category], price, "category_median_price", limit)
-    return base.join(median, category, "left")
+    median = median.withColumnRenamed(category, "_category")
+    return base.join(median, F.col(category).eqNullSafe(F.col("_category")), "left").drop("_category")
 
 
 def auction_results(items: DataFrame) -> DataFrame:
@@ -182,25 +183,35 @@ def with_bid_position(bids: DataFrame, end: str, limit: int = WINDOW_LIMIT) -> D
     )
 
 
-def bid_sequences(bids: DataFrame, segment: int = 10_000, limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Ordered amounts and increments per item.
+def bid_sequences(bids: DataFrame, limit: int = WINDOW_LIMIT) -> DataFrame:
+    """Every bid's place, amount and increment in its item's sequence, one row per bid.
 
-    An item's sequence is one row of arrays; only an item with more than
-    ``segment`` bids continues on further rows, numbered by ``segment``.
+    The first increment is the amount; one is missing where either amount is.
     """
     order = [F.col("bid_time").asc_nulls_last(), F.col("bid_id").asc()]
-    placed = row_numbers(bids, ["item_id"], order, "_place", limit)
-    known = with_previous(placed, ["item_id"], [F.col("_place").asc()], {"bid_amount": "_before"}, limit)
-    step = F.coalesce(F.col("bid_amount") - F.col("_before"), F.col("bid_amount"))
-    sequence = F.array_sort(F.collect_list(F.struct("_place", "bid_amount", step.alias("_step"))))
+    placed = row_numbers(bids, ["item_id"], order, "position", limit)
+    known = with_previous(placed, ["item_id"], [F.col("position").asc()], {"bid_amount": "_before"}, limit)
+    step = F.when(F.col("position") == 1, F.col("bid_amount")).otherwise(F.col("bid_amount") - F.col("_before"))
+    return known.select("item_id", "position", "bid_amount", step.alias("bid_increment"))
+
+
+def bid_sequence_arrays(bids: DataFrame, most: int, limit: int = WINDOW_LIMIT) -> DataFrame:
+    """``bid_sequences`` as one row of arrays per item, of items with at most ``most`` bids.
+
+    The caller states the length that a row may have; longer items stay in the
+    long form alone.
+    """
+    sequence = F.array_sort(F.collect_list(F.struct("position", "bid_amount", "bid_increment")))
+    counts = bids.groupBy(F.col("item_id").alias("_item")).agg(F.count("*").alias("_bids")).filter(F.col("_bids") <= most)
+    short = bids.join(counts, F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
     return (
-        known.groupBy("item_id", F.floor((F.col("_place") - 1) / segment).alias("segment"))
+        bid_sequences(short, limit)
+        .groupBy("item_id")
         .agg(sequence.alias("_seq"))
         .select(
             "item_id",
-            "segment",
             F.transform("_seq", lambda s: s["bid_amount"]).alias("bid_amount_sequence"),
-            F.transform("_seq", lambda s: s["_step"]).alias("bid_increment_sequence"),
+            F.transform("_seq", lambda s: s["bid_increment"]).alias("bid_increment_sequence"),
         )
     )
 

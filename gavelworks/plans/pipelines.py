@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelworks.operators.auctions import engineer_auction_features
@@ -52,13 +54,21 @@ def combine_pipeline(spark: SparkSession, auctions: str, items: str, bids: str,
     write_combined(combined_table(*parts, how=how), target)
 
 
-def resume_combine(spark: SparkSession, auctions: str, items: str, bids: str, target: str) -> None:
+def resume_combine(
+    spark: SparkSession,
+    auctions: str,
+    items: str,
+    bids: str,
+    target: str,
+    key: Sequence[str] = ("auction_id", "item_id", "bid_id"),
+) -> None:
     """Append the bids that are not in the target yet.
 
-    What is done is told by the keys in the target, not by a row offset.
+    What is done is told by the bids in the target, not by a row offset, so a
+    new bid on an item that is there already is added too.
     """
     done = read_parquet(spark, target)
-    pending = not_done(read_parquet(spark, bids), done, ["auction_id", "item_id"])
+    pending = not_done(read_parquet(spark, bids), done, list(key))
     merged = combined_table(read_parquet(spark, auctions), read_parquet(spark, items), pending)
     write_parquet(merged.select(*done.columns), target, "append")
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gavelworks.operators.bids import CLUSTER_GAP, DECAY, SECOND
@@ -259,8 +260,25 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     )
 
 
-def late_rows(query) -> int:
-    """Bids dropped as later than the watermark, over the query's recent progress."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts bids dropped as later than the watermark, over the whole life of each query.
+
+    Register it with ``spark.streams.addListener`` before the queries start; a
+    query itself keeps only its last progress reports.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

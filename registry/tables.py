@@ -714,27 +714,20 @@ def bid_positions(spark, folder):
     return rounded(out.select("bid_id", "bid_sequence", "time_to_close_seconds", "is_soft_close_trigger"), "bid_id")
 
 
-SEQUENCE = """
-steps AS (SELECT item_id, bid_amount, row_number() OVER w AS n, coalesce(bid_amount - lag(bid_amount) OVER w, bid_amount) AS step
-  FROM bids WINDOW w AS (PARTITION BY item_id ORDER BY u, bid_id))
-"""
-
-
 @query(
     "bid_sequences",
-    with_(BIDS, SEQUENCE)
-    + """SELECT item_id, (n - 1) // 25 AS segment, string_agg(printf('%.2f', bid_amount), ',' ORDER BY n) AS amounts,
-      string_agg(printf('%.2f', step + 0.0000013), ',' ORDER BY n) AS increments FROM steps GROUP BY 1, 2""",
+    with_(BIDS)
+    + f"""SELECT item_id, row_number() OVER w AS position, {r("bid_amount", "bid_amount")},
+      {r("CASE WHEN row_number() OVER w = 1 THEN bid_amount ELSE bid_amount - lag(bid_amount) OVER w END", "bid_increment")}
+      FROM bids WINDOW w AS (PARTITION BY item_id ORDER BY u, bid_id)""",
 )
 def bid_sequences(spark, folder):
-    out = summaries.bid_sequences(bindings.bids(spark, folder), segment=25)
-    text = lambda c, off: F.array_join(F.transform(c, lambda x: F.format_string("%.2f", x + F.lit(off))), ",")
-    return out.select(
-        "item_id",
-        "segment",
-        text("bid_amount_sequence", 0.0).alias("amounts"),
-        text("bid_increment_sequence", 0.0000013).alias("increments"),
-    )
+    return rounded(summaries.bid_sequences(bindings.bids(spark, folder)), "item_id")
+
+
+SEQUENCE = """
+steps AS (SELECT item_id, bid_amount, row_number() OVER (PARTITION BY item_id ORDER BY u, bid_id) AS n FROM bids)
+"""
 
 
 @query(

@@ -14,7 +14,7 @@ from gavelworks.operators import joins, scans
 from gavelworks.operators.encode import fit
 from gavelworks.operators.items import add_closing_order
 from gavelworks.operators.order_statistics import earlier_below, running_medians
-from gavelworks.operators.summaries import bid_sequences, describe, padded_sequences, soft_close
+from gavelworks.operators.summaries import bid_sequence_arrays, bid_sequences, describe, padded_sequences, soft_close
 
 
 @pytest.fixture(scope="module")
@@ -106,11 +106,12 @@ def test_sequences_of_a_huge_item(skewed):
     bids = skewed.select(
         F.lit(1).alias("item_id"), F.col("id").alias("bid_id"), F.timestamp_seconds("id").alias("bid_time"), F.col("v").alias("bid_amount")
     )
-    parts = by(bid_sequences(bids, segment=100, limit=50).collect(), "segment")
-    amounts = [a for p in parts for a in p["bid_amount_sequence"]]
-    steps = [s for p in parts for s in p["bid_increment_sequence"]]
-    assert len(parts) == 9 and amounts == [r["v"] for r in by(skewed.collect(), "id")]
+    rows = by(bid_sequences(bids, limit=50).collect(), "position")
+    amounts, steps = [r["bid_amount"] for r in rows], [r["bid_increment"] for r in rows]
+    assert [r["position"] for r in rows] == list(range(1, 901)) and amounts == [r["v"] for r in by(skewed.collect(), "id")]
     assert steps[1:] == [b - a for a, b in zip(amounts, amounts[1:])]
+    assert bid_sequence_arrays(bids, 899).count() == 0
+    assert bid_sequence_arrays(bids, 900, limit=50).first()["bid_amount_sequence"] == amounts
     front = padded_sequences(bids, 5, "pre", limit=50).collect()[0]
     assert front["sequence"] == amounts[-5:]
 

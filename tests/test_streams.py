@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from conftest import by
 from pyspark.sql import functions as F
@@ -71,14 +73,20 @@ def test_soft_close_modes(spark, tmp_path):
 
 def test_late_bids_are_dropped_and_counted(spark, tmp_path):
     source = str(tmp_path / "in")
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
     for minute in (60, 0):
         spark.createDataFrame([(1, minute, minute * 60)], "item_id long, bid_id long, t long").select(
             "item_id", "bid_id", F.timestamp_seconds("t").alias("bid_time")
         ).coalesce(1).write.mode("append").parquet(source)
         query = jobs.write_stream(jobs.deduplicated(stream(spark, source)), str(tmp_path / "out"), str(tmp_path / "check"))
         query.awaitTermination()
-        late = jobs.late_rows(query)
-    assert late == 1
+    for _ in range(100):  # progress reports arrive on a thread of their own
+        if late.dropped.get(str(query.id)):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.dropped == {str(query.id): 1}
     assert [r["bid_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [60]
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +70,21 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once a session, wherever they run.
+
+    Not needed where the package is installed, or named in ``--py-files`` or ``PYTHONPATH``.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_has_gavelworks", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="gavelworks-"), "gavelworks_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in ("gavelworks", "registry"):
+            for file in sorted((root / package).rglob("*.py")):
+                out.write(file, file.relative_to(root))
+    context.addPyFile(archive)  # the driver serves it to executors
+    context._has_gavelworks = True

@@ -131,6 +131,8 @@ def stream_soft_close(spark, folder):
 )
 def stream_enriched_bids(spark, folder):
     """Stream-static join into Parquet."""
-    static = bindings.auctions(spark, folder).filter("auction_id <> 4").select("auction_id", "auction_title", "auction_item_count")
+    # One auction under a number that no bid has.
+    number = F.when(F.col("auction_id") == 4, -4).otherwise(F.col("auction_id")).cast("long").alias("auction_id")
+    static = bindings.auctions(spark, folder).select(number, "auction_title", "auction_item_count")
     out = drained(spark, jobs.enriched(bid_stream(spark, folder), static))
     return rounded(out.select("bid_id", "auction_id", "bid_time", "bid_amount", "auction_title", "auction_item_count"), "bid_id")

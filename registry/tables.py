@@ -241,18 +241,25 @@ def union_with_missing_columns(spark, folder):
 
 # --------------------------------------------------------------------- joins
 
+
+def moved(key: str, modulus: int, rest: int):
+    """``key``, negative where it leaves ``rest``: rows that find no match, without dropping any."""
+    return F.when(F.col(key) % modulus == rest, -1 - F.col(key)).otherwise(F.col(key)).alias(key)
+
+
 AUCTION_ITEMS = """
 merged AS (SELECT coalesce(a.auction_id, i.auction_id) AS auction_id, auction_title, auction_item_count, a.price AS price_auction,
     item_id, item_title, i.price AS price_item
-  FROM (SELECT auction_id, auction_title, auction_item_count, auction_total_winning_price AS price FROM auctions
-        WHERE auction_id % 7 <> 3) a
+  FROM (SELECT CASE WHEN auction_id % 7 = 3 THEN -1 - auction_id ELSE auction_id END AS auction_id, auction_title,
+          auction_item_count, auction_total_winning_price AS price FROM auctions) a
   FULL JOIN (SELECT item_id, auction_id, item_title, item_current_bid AS price FROM items) i ON a.auction_id = i.auction_id)
 """
 
 
 def auction_side(spark, folder):
-    return bindings.auctions(spark, folder).filter("auction_id % 7 <> 3").select(
-        "auction_id", "auction_title", "auction_item_count", F.col("auction_total_winning_price").alias("price")
+    """All auctions, some under a number that no item has."""
+    return bindings.auctions(spark, folder).select(
+        moved("auction_id", 7, 3), "auction_title", "auction_item_count", F.col("auction_total_winning_price").alias("price")
     )
 
 
@@ -331,12 +338,13 @@ def combined_training_table_resume_suffixes(spark, folder):
     "items_left_enriched",
     with_(ENRICHED_ITEMS)
     + """SELECT i.item_id, i.item_title, e.enriched_item_title, e.note AS note_enriched, i.note FROM
-      (SELECT *, item_id % 2 AS note FROM items) i LEFT JOIN (SELECT *, item_id % 5 AS note FROM enriched_items WHERE item_id % 4 <> 0) e
-      ON i.item_id = e.item_id AND i.auction_id = e.auction_id""",
+      (SELECT *, item_id % 2 AS note FROM items) i LEFT JOIN (SELECT *, item_id % 5 AS note FROM enriched_items) e
+      ON i.item_id = e.item_id AND e.item_id % 4 <> 0 AND i.auction_id = e.auction_id""",
 )
 def items_left_enriched(spark, folder):
     items = bindings.items(spark, folder).withColumn("note", F.col("item_id") % 2)
-    enriched = bindings.enriched_items(spark, folder).filter("item_id % 4 <> 0").withColumn("note", F.col("item_id") % 5)
+    enriched = bindings.enriched_items(spark, folder).withColumn("note", F.col("item_id") % 5)
+    enriched = enriched.withColumn("item_id", moved("item_id", 4, 0))
     out = joins.merge(items, enriched, ["item_id", "auction_id"], "left", ("", "_enriched"))
     return out.select("item_id", "item_title", "enriched_item_title", "note_enriched", "note")
 
@@ -434,7 +442,7 @@ stored AS (SELECT item_id, auction_id, title, winning_bid, CAST(bid_count > 0 AS
 def views(spark, folder):
     from gavelworks.operators.items import with_sale_flags
 
-    auctions = bindings.auctions(spark, folder).filter("auction_id % 5 <> 4")
+    auctions = bindings.auctions(spark, folder).withColumn("auction_id", moved("auction_id", 5, 4))
     items = bindings.items(spark, folder)
     joins.register_views(
         {
@@ -448,20 +456,20 @@ def views(spark, folder):
                 F.col("auction_status").alias("auction_type"),
                 F.col("auction_last_item_closes").alias("actual_end_time"),
             ),
-            "item_enriched": items.filter("item_id % 3 <> 0").select(
-                "item_id",
+            "item_enriched": items.select(
+                moved("item_id", 3, 0),
                 F.col("item_current_bid").alias("estimated_value_low"),
                 (F.col("item_current_bid") * 2).alias("estimated_value_high"),
                 F.col("item_bid_count").alias("condition_score"),
                 F.col("item_seller_id").alias("popularity_score"),
             ),
-            "features_tabular": items.filter("item_id % 4 <> 0").select(
-                "item_id",
+            "features_tabular": items.select(
+                moved("item_id", 4, 0),
                 F.col("item_lot_number").alias("category_avg_price"),
                 F.col("item_bid_count").alias("category_median_price"),
             ),
-            "features_sequential": items.filter("item_id % 5 <> 0").select(
-                "item_id",
+            "features_sequential": items.select(
+                moved("item_id", 5, 0),
                 F.col("item_bid_count").alias("bid_count"),
                 (F.col("item_bid_count") % 3).alias("unique_bidders"),
                 (F.col("item_bid_count") % 2).alias("soft_close_extensions"),
@@ -799,12 +807,13 @@ def bid_features_at_close(spark, folder):
 
 @query(
     "sql_functions",
-    f"""SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 1000 THEN 10 WHEN o_totalprice < 5000 THEN 50
+    f"""SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 0 THEN 250 WHEN o_totalprice < 10 THEN 1 WHEN o_totalprice < 40 THEN 3
+      WHEN o_totalprice < 100 THEN 5 WHEN o_totalprice < 1000 THEN 10 WHEN o_totalprice < 5000 THEN 50
       WHEN o_totalprice < 10000 THEN 100 ELSE 250 END AS BIGINT) AS step,
       CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'winter' WHEN month(o_orderdate) IN (3, 4, 5) THEN 'spring'
         WHEN month(o_orderdate) IN (6, 7, 8) THEN 'summer' ELSE 'fall' END AS season, 'night' AS part,
       CAST(month(o_orderdate) = 7 AND day(o_orderdate) = 4 AS BIGINT) AS fourth_of_july,
-      {r("o_totalprice", "price")} FROM orders WHERE o_totalprice >= 100""",
+      {r("o_totalprice", "price")} FROM orders""",
 )
 def sql_functions(spark, folder):
     """The scalar rules called from SQL text."""
@@ -815,6 +824,6 @@ def sql_functions(spark, folder):
     out = spark.sql(
         "SELECT o_orderkey, expected_increment(o_totalprice) AS step, season_of(month(o_orderdate)) AS season, "
         "part_of_day(hour(o_orderdate)) AS part, month(o_orderdate) = 7 AND is_us_holiday(o_orderdate) AS fourth_of_july, "
-        "o_totalprice AS price FROM orders WHERE o_totalprice >= 100"
+        "o_totalprice AS price FROM orders"
     )
     return rounded(out, "o_orderkey")

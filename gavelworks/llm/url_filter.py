@@ -2,9 +2,9 @@
 
 Where no rule fits, a host is judged by what is known of its pages. Outcomes are counted per host, and each level is
 shrunk towards the one above it: the suffix towards all pages, the registered domain towards its suffix, the host
-towards its domain. The strength of each prior is estimated from the spread of that level's rates (method of moments of
-the beta-binomial). A host is blocked when the lower bound of its posterior rate is above a threshold, so little
-evidence never blocks. A host without outcomes has its domain's rate, and so on upwards.
+towards its domain, always without its own pages. The strength of each prior is estimated from the spread of that level's
+rates (method of moments of the beta-binomial). A host is blocked when the lower bound of its posterior rate is above a
+threshold, so little evidence blocks no host among good ones. A host without outcomes has its domain's rate, and so on.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is judged like any host,
 under the empty suffix. A page with several outcomes counts each; null outcomes count for nothing. Without outcomes at
@@ -74,26 +74,31 @@ def _strength(children: DataFrame) -> float:
     spread = row["b"] - row["bad"] * mean
     room = within * (row["n"] - row["nn"] / row["n"] - (row["k"] - 1))
     share = (spread - (row["k"] - 1) * within) / room if room > 0 else 0.0
-    # Without visible spread the prior is strong; without likeness it is worth a page.
-    share = min(max(share, 0.001), 0.5)
+    # Without visible spread the prior is strong; with ever so much it is worth four pages.
+    share = min(max(share, 0.001), 0.2)
     return 1 / share - 1
 
 
 def reputations(hosts: DataFrame) -> DataFrame:
     """``host, rate, low`` from ``suffix, domain, host, n, bad``, one row per host, ``n`` being labelled pages."""
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    mean = F.lit(total["bad"] / total["n"] if total["n"] else 0.0)
+    overall = F.lit(total["bad"] / total["n"] if total["n"] else 0.0)
     above, key = None, []
     for level in LEVELS:
         key = [*key, level]
         own = hosts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         worth = F.lit(_strength(own.filter(F.col("n") > 0)))
-        if above is not None:
-            own, mean = own.join(above, key[:-1]), F.col("above")
+        # What the level above knows without this member, whose pages would count twice.
+        if above is None:
+            rest, rest_bad = F.lit(total["n"] or 0) - F.col("n"), F.lit(total["bad"] or 0) - F.col("bad")
+        else:
+            own = own.join(above, key[:-1])
+            rest, rest_bad = F.col("above_a") + F.col("above_b") - F.col("n"), F.col("above_a") - F.col("bad")
+        mean = F.when(rest > 0, rest_bad / rest).otherwise(overall)
         a, b = F.col("bad") + worth * mean, F.col("n") - F.col("bad") + worth * (1 - mean)
         own = own.select(*key, a.alias("a"), b.alias("b"))
-        rate = F.when(F.col("a") + F.col("b") > 0, F.col("a") / (F.col("a") + F.col("b"))).otherwise(0.0)
-        above = own.select(*key, rate.alias("above"))
+        above = own.select(*key, F.col("a").alias("above_a"), F.col("b").alias("above_b"))
+    rate = F.when(F.col("a") + F.col("b") > 0, F.col("a") / (F.col("a") + F.col("b"))).otherwise(0.0)
     both = F.col("a") + F.col("b")
     deviation = F.when(both > 0, F.sqrt(F.col("a") * F.col("b") / (both * both * (both + 1)))).otherwise(0.0)
     return own.select("host", rate.alias("rate"), (rate - DEVIATIONS * deviation).alias("low"))

@@ -30,6 +30,8 @@ SIZES = (2, 3, 4, 5)
 # Features of the model: in at least so many sampled texts, and so unevenly (logarithm of the ratio).
 LEAST_TEXTS = 8
 LEAST_RATIO = 1.0
+# Texts of the sample whose features are held together.
+CHUNK = 200
 _HASH_SPACE = 1 << 30
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,18 +95,19 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 300) -> tuple[np.nda
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return np.zeros(1 << BITS), 40.0 if len(toxic) and toxic.all() else -40.0
-    row, feature = [], []
-    for at in range(0, len(texts), 500):
-        r, f = text_features(pa.array(texts[at : at + 500], pa.large_string()))
-        row.append(r + at)
-        feature.append(f)
-    row, feature = np.concatenate(row), np.concatenate(feature)
     size = 1 << BITS
-    bad = np.bincount(feature[toxic[row]], minlength=size)
-    good = np.bincount(feature[~toxic[row]], minlength=size)
+    parts = [(at, pa.array(texts[at : at + CHUNK], pa.large_string())) for at in range(0, len(texts), CHUNK)]
+    # Twice through the texts, so that only the features of the model are held for all of them.
+    bad, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for at, part in parts:
+        row, feature = text_features(part)
+        own = toxic[row + at]
+        bad += np.bincount(feature[own], minlength=size)
+        good += np.bincount(feature[~own], minlength=size)
     ratio = np.log((bad + 1.0) / (toxic.sum() + 2.0)) - np.log((good + 1.0) / ((~toxic).sum() + 2.0))
     used = (bad + good >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-    row, feature = row[used[feature]], feature[used[feature]]
+    found = [(row + at, feature) for at, part in parts for row, feature in [text_features(part, used)]]
+    row, feature = (np.concatenate(column) for column in zip(*found))
     scaled = ratio[feature]
     # Accelerated gradient descent on the penalised logistic loss; the step is bounded by the mean squared row length.
     goal, weight, intercept = toxic.astype(float), np.zeros(size), 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Weekday names from Monday, and the time-range pattern.
+# Fixed values, all four: weekday names from Monday, and the patterns of a day, a category and a time range.
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 DAY_PATTERN = r"(?iU)Pickup:\s*(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)"
 CATEGORY_PATTERN = r"(?iU)Cat(egory)?\s+[A-Z]:"

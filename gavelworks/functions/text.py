@@ -83,6 +83,7 @@ def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS, remove_numbers: b
     Hyphens inside words stay. NULL or blank text gives an empty array.
     """
     clean = F.lower(F.coalesce(text, F.lit("")))
+    # Patterns in the order in which they are blanked out.
     steps = [
         (r"<[^>]+>", " "),
         (r"(?U)https?://\S+", " "),

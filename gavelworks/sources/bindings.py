@@ -14,8 +14,8 @@ from gavelworks.operators.scans import row_numbers
 from gavelworks.session import use_utc
 
 REMOVAL_NOTES = [
-    "<p>Pickup: Saturday, March 14 EDT, 9AM - 12 NOON</p>",
-    "<b>Pickup:</b> Friday, March 13 EDT, 4PM - 7PM",
+    "<p>Pickup: Saturday at the barn, 8AM - 12 NOON</p>",
+    "<b>Pickup:</b> Friday rain or shine, 3PM - 8PM",
     "<p>Pickup: Sunday, 10:30AM - 1:15PM</p><p>Category A: 9AM - 11AM</p><p>Cat B: 11AM - 1PM</p>",
     "<div>Pickup: Monday 11PM - 2AM</div>",
     "no times announced",

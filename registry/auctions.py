@@ -51,8 +51,8 @@ def auction_lengths(spark, folder):
 
 # Worked out by hand from the eight notes: windows, hours, first start, last end, weekday, categories.
 PICKUPS = {
-    0: (1, 3, 9, 12, 5, 0),
-    1: (1, 3, 16, 19, 4, 0),
+    0: (1, 4, 8, 12, 5, 0),
+    1: (1, 5, 15, 20, 4, 0),
     2: (3, 6.75, 9, 13.25, 6, 1),
     3: (1, 3, 23, 2, 0, 0),
     4: (0, 0, None, None, None, 0),

@@ -7,7 +7,7 @@
 3. A few star rounds test each group of a list against one of another component, and members against the centre of their
    group. Links join classes into components, so a large cluster of near copies costs as many tests as it has members.
 4. Group pairs that share a list across components are enumerated by a join on the list, whose condition
-   holds exact filters: sizes, places in the prefixes and the distance of 512-bit parity maps. They are expanded into
+   holds exact filters: sizes and the distance of 512-bit parity maps. They are expanded into
    class pairs and filtered again; one pair of each two components is tested, then what still crosses. Before texts are
    fetched for a test, parity maps of about as many bits as the sets have shingles must let the pair through.
 
@@ -38,7 +38,9 @@ from gavelworks.session import written
 # Frequent shingles that are told apart by count, and the count from which they are looked at.
 HEAVY = 65_536
 LEAST_HEAVY = 8
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+# Lists of a group by which a pair tells whether it is made elsewhere.
+FIRST_LISTS = 32
 MAPS = 8  # longs of the small parity map, which every set has
 # Buckets of the filter that keeps texts of tested classes; a fixed size, 65,536 rows of 64 bits.
 FILTER_BITS = 22
@@ -253,10 +255,8 @@ def jaccard_components(
     groups = written(groups.withColumn("radius", F.coalesce("radius", F.lit(0))), "groups")
 
     # Shingles in the prefixes of at least two groups.
-    prefixes = signed.select("row", "prefix").join(centres.select("row", "gid", "n"), "row")
-    listed = written(prefixes.select("gid", "n", "prefix"), "prefixes").select(
-        "gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle")
-    )
+    prefixes = signed.select("row", "prefix").join(centres.select("row", "gid"), "row")
+    listed = written(prefixes.select("gid", "prefix"), "prefixes").select("gid", F.explode("prefix").alias("shingle"))
     several = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("shingle")
     shared = written(listed.join(several, "shingle"), "shared")
     # Shingles that the same groups hold are one list: a pair that shares a passage is then found once, not once a word.
@@ -267,7 +267,7 @@ def jaccard_components(
     alike = written(alike, "alike")
     first = alike.groupBy("k", "x", "y").agg(F.min("shingle").alias("list"))
     lists = shared.join(alike.join(first, ["k", "x", "y"]).select("shingle", "list"), "shingle")
-    lists = written(lists.groupBy("list", "gid").agg(F.min("at").alias("at")), "lists")
+    lists = written(lists.select("list", "gid").distinct(), "lists")
 
     # Star rounds: each group of a list that spans components with one of another component, members of a group with its
     # centre. A cluster of near copies becomes one component after as many tests as it has members.
@@ -297,16 +297,17 @@ def jaccard_components(
 
     # Group pairs across components.
     rows = _across_components(lists, member, found)
-    rows = written(rows.drop("low").join(groups.drop("class"), "gid"), "crossing")
+    firsts = rows.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list("list")), 1, FIRST_LISTS).alias("first"))
+    rows = written(rows.drop("low").join(groups.drop("class").join(firsts, "gid"), "gid"), "crossing")
     member = written(_labelled(member, found), "labelled")
     left, right = rows.alias("a"), rows.alias("b")
     apart = F.coalesce(F.col("a.component") != F.col("b.component"), F.lit(True))
-    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    enough = rest >= _common(F.col("a.n"), F.col("b.n"), per_hundred)
     near = _fits("a", "b", per_hundred, F.col("a.radius") + F.col("b.radius"))
+    # A pair is made at the first of the lists that both are known to share, not again at each other one.
+    again = F.array_min(F.array_intersect("a.first", "b.first")) < F.col("a.list")
+    once = F.coalesce(~again, F.lit(True))
     pairs = left.join(
-        right,
-        (F.col("a.list") == F.col("b.list")) & (F.col("a.gid") < F.col("b.gid")) & apart & enough & near,
+        right, (F.col("a.list") == F.col("b.list")) & (F.col("a.gid") < F.col("b.gid")) & apart & near & once
     ).select(F.col("a.gid").alias("g"), F.col("b.gid").alias("h")).distinct()
     # Members of one group that are still apart.
     split = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))

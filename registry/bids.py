@@ -24,9 +24,9 @@ base AS (
 """
 
 
-def spark_bids(spark, folder, groups, coarse=False):
-    data = bids(spark, folder, coarse)
-    out = engineer_bid_features(data, tiebreak=["bid_id"], groups=groups)
+def spark_bids(spark, folder, groups, coarse=False, data=None, **options):
+    data = bids(spark, folder, coarse) if data is None else data
+    out = engineer_bid_features(data, tiebreak=["bid_id"], groups=groups, **options)
     out = out.drop("bid_time", "bid_amount", "is_proxy_bid", "auction_id")
     return rounded(out, "item_id", "bid_id")
 
@@ -110,13 +110,12 @@ for _group, _sql in PARTS.items():
     )
 
 
-@query(
-    "bid_features",
-    with_(BIDS, BASE)
-    + f"""SELECT * FROM ({ELAPSED_SQL}) a JOIN ({COUNT_SQL}) b USING (item_id, bid_id) JOIN ({AMOUNT_SQL}) c USING (item_id, bid_id)
-      JOIN ({PROGRESS_SQL}) d USING (item_id, bid_id)
-      JOIN (SELECT * EXCLUDE (time_since_last_bid_seconds) FROM ({CLUSTER_SQL}) x) e USING (item_id, bid_id)""",
-)
+ALL_SQL = f"""SELECT * FROM ({ELAPSED_SQL}) a JOIN ({COUNT_SQL}) b USING (item_id, bid_id) JOIN ({AMOUNT_SQL}) c USING (item_id, bid_id)
+  JOIN ({PROGRESS_SQL}) d USING (item_id, bid_id)
+  JOIN (SELECT * EXCLUDE (time_since_last_bid_seconds) FROM ({CLUSTER_SQL}) x) e USING (item_id, bid_id)"""
+
+
+@query("bid_features", with_(BIDS, BASE) + ALL_SQL)
 def bid_features(spark, folder):
     """Every feature group in one plan with one exchange."""
     return spark_bids(spark, folder, GROUPS)
@@ -124,29 +123,13 @@ def bid_features(spark, folder):
 
 # A third of all bids go to one item; a small limit spreads it over many chunks.
 HUGE_BIDS = BIDS.replace("user_id AS item_id", "CASE WHEN event_id % 3 = 0 THEN 999999 ELSE user_id END AS item_id")
-# The largest item is checked with window arithmetic: comparing all its pairs would be quadratic.
-HUGE_SQL = f"""
-SELECT item_id, bid_id, n AS number_of_bids_so_far, {r("bid_amount - aa", "bid_amount_relative_to_mean")},
-  {r("bid_amount - da", "bid_amount_relative_to_median")}, {r("(u - fu) / 1e6", "time_since_first_bid_seconds")},
-  n - (SELECT count(*) FROM base b WHERE b.item_id = base.item_id AND b.u < base.u - 60000000) AS rolling_bid_count_1min,
-  {r("(SELECT count(*) FROM base b WHERE b.item_id = base.item_id AND b.n <= base.n AND b.bid_amount <= base.bid_amount) / n * 100.0", "bid_amount_percentile_so_far")}
-FROM base"""
 
 
-@query("bid_features_of_a_huge_item", with_(HUGE_BIDS, BASE) + HUGE_SQL)
+@query("bid_features_of_a_huge_item", with_(HUGE_BIDS, BASE) + ALL_SQL)
 def bid_features_of_a_huge_item(spark, folder):
-    """The chunked path: the same features when one item holds a third of the bids."""
+    """The chunked path: every feature when one item holds a third of the bids."""
     data = bids(spark, folder).withColumn(
         "item_id", F.when(F.col("bid_id") % 3 == 0, 999999).otherwise(F.col("item_id"))
     )
     limit = max(100, data.count() // 20)
-    out = engineer_bid_features(data, ["bid_id"], groups=["time_series", "bid_counts", "bid_amounts"], item_limit=limit)
-    names = [
-        "number_of_bids_so_far",
-        "bid_amount_relative_to_mean",
-        "bid_amount_relative_to_median",
-        "time_since_first_bid_seconds",
-        "rolling_bid_count_1min",
-        "bid_amount_percentile_so_far",
-    ]
-    return rounded(out.select("item_id", "bid_id", *names), "item_id", "bid_id")
+    return spark_bids(spark, folder, GROUPS, data=data, item_limit=limit)

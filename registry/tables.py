@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gavelworks.operators import joins, summaries
 from gavelworks.operators.auctions import is_completed, roll_up_items
 from gavelworks.operators.bids import engineer_bid_features
-from gavelworks.plans.pipelines import combined_table
+from gavelworks.plans.pipelines import combine_pipeline, combined_table, resume_combine
 from gavelworks.schemas import AUCTIONS as AUCTION_NAMES
 from gavelworks.schemas import BIDS as BID_NAMES
 from gavelworks.schemas import ENRICHED_AUCTIONS as ENRICHED_AUCTION_NAMES
@@ -316,6 +316,24 @@ def combined_training_table(spark, folder):
     return rounded(out, "auction_id", "item_id")
 
 
+@query("resume_combined_table", with_(BIDS, PLACED, AUCTIONS, ITEMS, AUCTION_ITEMS) + COMBINED % "LEFT")
+def resume_combined_table(spark, folder):
+    """The table written with half of every item's bids, then resumed with all of them."""
+    bids = placed_bids(spark, folder)
+    parts = {
+        "auctions": auction_side(spark, folder),
+        "items": item_side(spark, folder),
+        "bids": bids,
+        "some": bids.filter("bid_id % 2 = 0"),
+    }
+    paths = {name: fresh(spark, name) for name in [*parts, "out"]}
+    for name, part in parts.items():
+        part.write.parquet(paths[name])
+    combine_pipeline(spark, paths["auctions"], paths["items"], paths["some"], paths["out"])
+    resume_combine(spark, paths["auctions"], paths["items"], paths["bids"], paths["out"])
+    return rounded(tables.read_parquet(spark, paths["out"]), "auction_id", "item_id")
+
+
 @query("combined_training_table_full", with_(BIDS, PLACED, AUCTIONS, ITEMS, AUCTION_ITEMS) + COMBINED % "FULL")
 def combined_training_table_full(spark, folder):
     out = combined_table(auction_side(spark, folder), item_side(spark, folder), placed_bids(spark, folder), "full")

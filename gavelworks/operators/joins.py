@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelworks.operators.scans import split_by_size
+from gavelworks.session import written
 
 # Rows of one join key that one task should handle.
 KEY_LIMIT = 2_000_000
-# Rows of a lookup table that is broadcast to a side with heavy keys.
-BROADCAST_ROWS = 10_000
 
 
 def suffixed(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str]):
@@ -33,17 +32,16 @@ def left_join(
     right: DataFrame,
     on: Sequence[str],
     limit: int | None = KEY_LIMIT,
-    broadcast_rows: int = BROADCAST_ROWS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Left join whose heavy keys are spread over several tasks.
 
-    Without heavy keys this is a plain join, and AQE broadcasts the right side
-    when it turns out small. With them, a right side of few rows is counted
-    and broadcast; for a larger one, rows of a heavy key get a salt on the left
-    and its rows on the right are repeated once per salt. ``limit=None`` says
-    that the keys are unique on the left, so there is nothing to look for.
-    ``sizes`` may name a cheaper frame to count the keys in.
+    AQE broadcasts a right side that turns out small, by its measured bytes.
+    Otherwise rows of a heavy key get a salt on the left and its rows on the
+    right are repeated once per salt; a key has one salt for each ``limit`` of
+    its own rows. ``limit=None`` says that the keys are unique on the left, so
+    there is nothing to look for. ``sizes`` may name a cheaper frame to count
+    the keys in.
     """
     on = list(on)
     if limit is None:
@@ -51,18 +49,21 @@ def left_join(
     parts = split_by_size(left, on, limit, sizes)
     if parts.large is None:
         return left.join(right, on, "left")
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return left.join(F.broadcast(right), on, "left")
     joined = parts.small.join(right, on, "left")
-    salts = -(-parts.large_rows // limit)
+    heavy = parts.large.groupBy(*[F.col(k).alias(f"_heavy_{k}") for k in on]).agg(F.count("*").alias("_rows"))
+    heavy = written(heavy.select(*[f"_heavy_{k}" for k in on], F.ceil(F.col("_rows") / limit).alias("_salts")), "heavy")
+    same = lambda df: reduce(lambda a, b: a & b, [df[k].eqNullSafe(heavy[f"_heavy_{k}"]) for k in on])
     # Maps and variants cannot be hashed; the other columns tell the rows apart well enough.
     spreading = [F.col(f"`{c}`") for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
-    salted = parts.large.withColumn("_salt", F.pmod(F.xxhash64(*spreading), F.lit(salts)))
-    heavy = parts.large.select(*on).distinct()
-    copies = right.join(heavy, on, "left_semi").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    salted = parts.large.join(heavy, same(parts.large)).withColumn(
+        "_salt", F.pmod(F.xxhash64(*spreading), F.col("_salts"))
     )
-    return joined.unionByName(salted.join(copies, [*on, "_salt"], "left").drop("_salt"))
+    copies = right.join(heavy, same(right)).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
+    )
+    added = [f"_heavy_{k}" for k in on] + ["_salts"]
+    salted = salted.drop(*added).join(copies.drop(*added), [*on, "_salt"], "left").drop("_salt")
+    return joined.unionByName(salted)
 
 
 def merge(
@@ -72,7 +73,6 @@ def merge(
     how: str = "left",
     suffixes: tuple[str, str] = ("_x", "_y"),
     limit: int | None = KEY_LIMIT,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Equi-join with suffixes. ``how`` is inner, left or full.
 
@@ -81,8 +81,9 @@ def merge(
     """
     left, right = suffixed(left, right, on, suffixes)
     if how == "inner":
-        return left.join(right, list(on), "inner")
-    joined = left_join(left, right, on, limit, broadcast_rows)
+        both = left_join(left, right.withColumn("_met", F.lit(True)), on, limit)
+        return both.filter("_met").drop("_met")
+    joined = left_join(left, right, on, limit)
     if how == "left":
         return joined
     if how != "full":
@@ -96,13 +97,12 @@ def merge_auctions_items(
     items: DataFrame,
     suffixes: tuple[str, str] = ("_auction", "_item"),
     limit: int = KEY_LIMIT,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Full outer merge on ``auction_id``; items unchanged when they have no such column."""
     if "auction_id" not in items.columns:
         return items
     first, second = suffixes
-    merged = merge(items, auctions, ["auction_id"], "full", (second, first), limit, broadcast_rows)
+    merged = merge(items, auctions, ["auction_id"], "full", (second, first), limit)
     own_auctions, own_items = suffixed(auctions, items, ["auction_id"], suffixes)
     rest = [c for c in own_items.columns if c != "auction_id"]
     return merged.select(*own_auctions.columns, *rest)

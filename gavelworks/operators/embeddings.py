@@ -74,7 +74,9 @@ def document_vectors(
     dimensions: int = DIMENSIONS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Mean vector of each document's known tokens; zeros when it has none.
+    """Mean vector of each document's known tokens; zeros when it has none, or when its tokens are missing.
+
+    Each row has a vector of its own, also where keys repeat.
 
     A vocabulary that fits ``broadcast_bytes`` goes to every worker, and the
     documents are not shuffled at all. A larger one is joined.
@@ -96,7 +98,7 @@ def _vectors_by_lookup(tokens: DataFrame, words: DataFrame, keys: list[str], dim
         known, vectors = shared.value
         zero = len(vectors) - 1
         for batch in batches:
-            found = [[known[t] for t in doc if t in known] or [zero] for doc in batch]
+            found = [[known[t] for t in (() if doc is None else doc) if t in known] or [zero] for doc in batch]
             if not found:
                 yield pd.Series([], dtype="object")
                 continue
@@ -114,16 +116,18 @@ def _vectors_by_join(tokens: DataFrame, words: DataFrame, keys: list[str], dimen
     are salted in it. The mean is a weighted sum that Spark combines map-side,
     so no document's vectors are ever collected.
     """
-    words_in = tokens.select(*keys, F.explode("tokens").alias("word"))
-    counted = written(words_in.groupBy(*keys, "word").agg(F.count("*").alias("_n")), "words")
+    # Numbered as they are written, so that rows of the same key stay apart.
+    docs = written(tokens.select(*keys, "tokens").withColumn("_row", F.monotonically_increasing_id()), "documents")
+    words_in = docs.select("_row", F.explode("tokens").alias("word"))
+    counted = written(words_in.groupBy("_row", "word").agg(F.count("*").alias("_n")), "words")
     known = words.select("word", array_to_vector(F.col("vector").cast("array<double>")).alias("_vector"))
     met = left_join(counted, known, ["word"]).filter(F.col("_vector").isNotNull())
-    means = met.groupBy(*keys).agg(
+    means = met.groupBy("_row").agg(
         vector_to_array(Summarizer.mean(F.col("_vector"), F.col("_n").cast("double"))).alias("_mean")
     )
     zeros = F.array_repeat(F.lit(0.0), dimensions)
     embedding = F.coalesce(F.col("_mean"), zeros).cast("array<float>")
-    return tokens.select(*keys).join(means, keys, "left").select(*keys, embedding.alias("embedding"))
+    return docs.select(*keys, "_row").join(means, "_row", "left").select(*keys, embedding.alias("embedding"))
 
 
 def embed_new_items(items: DataFrame, words: DataFrame, done: DataFrame | None, path: str, dimensions: int) -> None:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelworks.operators.bids import engineer_bid_features
+from gavelworks.operators.embeddings import document_vectors
 from gavelworks.operators.items import add_closing_order
 from gavelworks.operators.joins import not_done
 from gavelworks.operators.summaries import category_statistics
@@ -75,3 +76,13 @@ def test_median_of_the_missing_category(spark, limit):
 def test_missing_keys_are_done_once(spark):
     frame = spark.createDataFrame([(None, 1), (None, 2), (3, 1)], "a long, b long")
     assert [tuple(r) for r in not_done(frame, frame.filter("b = 1"), ["a", "b"]).collect()] == [(None, 2)]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_vectors_of_repeated_keys_and_missing_tokens(spark, broadcast_bytes):
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vector array<float>")
+    rows = [(1, 1, ["a"]), (1, 1, ["b", "x"]), (None, 2, None), (3, 3, [])]
+    tokens = spark.createDataFrame(rows, "auction_id long, item_id long, tokens array<string>")
+    got = document_vectors(tokens, words, dimensions=2, broadcast_bytes=broadcast_bytes).collect()
+    assert sorted((str(r.auction_id), r.embedding) for r in got) == [
+        ("1", [0.0, 1.0]), ("1", [1.0, 0.0]), ("3", [0.0, 0.0]), ("None", [0.0, 0.0])]

@@ -129,36 +129,52 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 300) -> tuple[np.nda
     return weight, float(intercept)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Sampled texts and their labels."""
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features of the model, their weights, and the intercept, learnt from a sample of labelled documents.
+
+    The sample is of a fixed size, so one task trains on all of it; the driver
+    only sees the model.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return [], np.zeros(0, bool)
     limit = F.lit(0)
     for label, n in counts.items():
         limit = F.when(F.col("_toxic") == label, min(_HASH_SPACE, _HASH_SPACE * SAMPLE // n)).otherwise(limit)
     chosen = known.filter(F.pmod(F.xxhash64("_id"), F.lit(_HASH_SPACE)) < limit)
     # About two times SAMPLE ids, whatever the input.
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
-    found = rows.toArrow().sort_by("doc_id")
-    return [t or "" for t in found["text"].to_pylist()], found["_toxic"].to_numpy() == 1
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        found = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        weight, intercept = train([t or "" for t in found["text"].to_pylist()], found["_toxic"].to_numpy() == 1)
+        used = np.flatnonzero(weight)
+        columns = [[used.astype(np.int32)], [weight[used]], [intercept]]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["feature", "weight", "intercept"])
+
+    model = rows.repartition(1).mapInArrow(fit, "feature array<int>, weight array<double>, intercept double").first()
+    if model is None:
+        return np.zeros(0, np.int64), np.zeros(0), -40.0
+    return np.array(model["feature"], np.int64), np.array(model["weight"], float), model["intercept"]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``score``, between 0 and 1, learnt from ``labels`` (``doc_id, toxic``) outside the held-out fold."""
-    weight, intercept = train(*training_sample(docs.select("doc_id", "text"), labels))
-    model = docs.sparkSession.sparkContext.broadcast((weight.astype(np.float32), intercept))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs.select("doc_id", "text"), labels))
     kept = [c for c in docs.columns if c != "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, intercept = model.value
+        used, values, intercept = model.value
+        weight = np.zeros(1 << BITS)
+        weight[used] = values
         keep = weight != 0
         for batch in batches:
             for part in slices(batch, "text"):
                 text, feature = text_features(part.column("text"), keep)
-                total = np.bincount(text, weight[feature].astype(float), minlength=len(part)) + intercept
+                total = np.bincount(text, weight[feature], minlength=len(part)) + intercept
                 total = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
                 yield pa.record_batch([*part.columns, pa.array(total)], names=[*kept, "score"])
 

@@ -52,15 +52,36 @@ class Page(NamedTuple):
 
 
 class _Element:
-    __slots__ = ("tag", "parts", "dropped", "main", "article", "hash", "holds_main", "text")
+    __slots__ = ("tag", "above", "parts", "dropped", "main", "article", "inside", "hash", "holds_chosen", "text", "size")
 
     def __init__(self, tag: str, above: _Element | None):
-        self.tag, self.parts, self.hash, self.holds_main, self.text = tag, [], 0, False, False
+        self.tag, self.above, self.parts, self.hash, self.text, self.size = tag, above, [], 0, False, 0
+        self.inside = self.holds_chosen = False
         self.dropped = above is not None and above.dropped
         self.article = above is not None and above.article
         self.main = above is not None and above.main
 
 
+def _chosen(elements: list[_Element], title: _Element | None) -> list[_Element]:
+    """The articles, else the ``main``, if they hold the story; none if it stands elsewhere.
+
+    Sidebars and readers' comments mark their entries as articles too, so the mark alone says nothing: one of them must
+    hold the page's only h1 or, without such, most of the text around.
+    """
+    around = set()
+    while title is not None:
+        around.add(title)
+        title = title.above
+    area = elements[0].size
+    found: list[_Element] = []
+    for mark in ("main", "article"):
+        # The outermost ones with text that is not dropped; of the articles only those in the main text, if that is known.
+        marked = [e for e in elements if e.size and getattr(e, mark) and not getattr(e.above, mark) and (not found or e.main)]
+        if any(e in around if around else 2 * e.size > area for e in marked):
+            found, area = marked, sum(e.size for e in marked)
+    return found
+
+
 def _number(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
@@ -86,12 +107,11 @@ def _set_apart(element: _Element, attributes: str) -> bool:
 
 
 def read_page(source: str | None) -> Page:
-    """Blocks of the article (of ``main``, or of the whole page, if it has none) in page order."""
+    """Blocks of the article (of ``main``, or of the whole page, if neither holds the story) in page order."""
     source = source or ""
     root = _Element("body", None)
     stack, found, elements = [root], [], [root]
     line: list[str] = []
-    any_article = any_main = False
 
     def flush() -> None:
         if not line:
@@ -101,7 +121,7 @@ def read_page(source: str | None) -> Page:
         if text:
             top = stack[-1]
             top.parts.append(text.encode("utf-8", "replace"))
-            found.append((text, list(stack)))
+            found.append((text, top))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -110,7 +130,6 @@ def read_page(source: str | None) -> Page:
             element.text = element.text or bool(element.parts)
             if element.parts:
                 stack[-1].parts.append(element.hash.to_bytes(8, "little", signed=True))
-            stack[-1].holds_main |= element.holds_main
 
     at = 0
     while True:
@@ -164,27 +183,42 @@ def read_page(source: str | None) -> Page:
                 break
         element = _Element(tag, stack[-1])
         if tag == "article":
-            element.article = element.holds_main = any_article = True
+            element.article = True
         elif tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", match[3], re.I):
-            element.main = element.holds_main = any_main = True
+            element.main = True
         element.dropped = element.dropped or _set_apart(element, match[3])
         stack.append(element)
         elements.append(element)
     flush()
     close(1)
 
-    inside = (lambda e: e.article) if any_article else (lambda e: e.main) if any_main else (lambda e: False)
-    chosen = any_article or any_main
+    for text, element in found:
+        if not element.dropped:
+            element.size += len(text)
+    for element in reversed(elements[1:]):
+        element.above.size += element.size
+    titles = [e for e in elements if e.tag == "h1" and e.size]
+    chosen = _chosen(elements, titles[0] if len(titles) == 1 else None)
+    for element in chosen:
+        element.inside, above = True, element
+        while above is not None and not above.holds_chosen:
+            above.holds_chosen, above = True, above.above
+    for element in elements[1:]:
+        element.inside |= element.above.inside
 
     def counted(e: _Element) -> bool:
-        if e is root or e.holds_main or not e.text:
+        if e is root or e.holds_chosen or not e.text:
             return False
-        return e.tag in _COUNTED or (e.tag in _PROSE and not inside(e))
+        return e.tag in _COUNTED or ((e.tag in _PROSE or e.tag == "article") and not e.inside)
+
+    def owners(e: _Element | None) -> list[int]:
+        around = []
+        while e is not None:
+            if counted(e):
+                around.append(e.hash)
+            e = e.above
+        return around[::-1]
 
-    blocks = [
-        Block(text, [e.hash for e in around if counted(e)])
-        for text, around in found
-        if not around[-1].dropped and (not chosen or inside(around[-1]))
-    ]
+    blocks = [Block(text, owners(e)) for text, e in found if not e.dropped and (not chosen or e.inside)]
     digest = _number(b"\0".join(root.parts))
     return Page(blocks, sorted({e.hash for e in elements if counted(e)}), digest)

@@ -47,3 +47,30 @@ def test_no_pages_and_other_columns(spark):
     assert main_text(frame).collect() == []
     frame = spark.createDataFrame([(1, "u://h/", "<p>a", "other", 2)] * 2, frame.schema)
     assert [r.text for r in main_text(frame).collect()] == ["a", "a"]
+
+
+STORY = "<h1>Title</h1><p>The story of this page, told at some length.</p><p>And its end.</p>"
+TOLD = ["Title", "The story of this page, told at some length.", "And its end."]
+
+
+def test_articles_beside_the_story_do_not_replace_it():
+    aside = "<aside><article><p>Teaser</p></article></aside>"
+    comments = "<div class='comments'><article><p>Nice</p></article></div>"
+    assert texts(f"<div>{STORY}</div>{aside}{comments}") == TOLD
+    assert texts(f"<main>{STORY}</main>{aside}{comments}<div>Not in main</div>") == TOLD
+    # A list of teasers without a name of its own is left to the counts; the story stays.
+    teasers = "".join(f"<article><h3>Other {i}</h3><p>Read more</p></article>" for i in range(20))
+    assert texts(f"<div>{STORY}</div><div>{teasers}</div>")[:3] == TOLD
+    assert texts(f"<main>{STORY}{teasers}</main>")[:3] == TOLD
+    comment = f"<article><p>{'A long comment. ' * 50}</p></article>"
+    assert texts(f"<div>{STORY}</div><div>{comment}</div>")[:3] == TOLD
+    assert texts(f"<main>{STORY}</main><div>{comment}</div>") == TOLD
+    assert texts("<article></article><div>Only this</div>") == ["Only this"]
+    assert texts(f"<main><div>x</div><article>{STORY}</article></main><div>y</div>") == TOLD
+
+
+def test_teasers_that_recur_go_by_counts(spark):
+    teaser = "<article>Read this too</article>"
+    pages = [(i, "http://h.example.com/", f"<div><h1>Page {i}</h1><p>Its story {i}</p></div>{teaser}") for i in range(8)]
+    got = main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Page {i}\n\nIts story {i}" for i in range(8)}

@@ -19,21 +19,29 @@ _NAMED = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is no text of the page.
 _SKIPPED = set("script style noscript template textarea title svg math iframe object select button canvas".split())
-_CLOSES = {name: re.compile(rf"</{name}\b[^<>]*>", re.I) for name in _SKIPPED}
+# Of these the next one ends an open one.
+_CLOSES = {
+    name: re.compile(rf"<(/{'?' if name in ('button', 'select') else ''}){name}\b[^<>]*>", re.I) for name in _SKIPPED
+}
+# Without an end, these run to the end of the page.
+_TO_THE_END = set("script style textarea title".split())
 _INLINE = set(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption figure".split())
 _COUNTED = set("div section nav header footer aside form ul ol dl table center details dialog fieldset".split())
 # Elements that say what they are, and words of class, id and role that say so.
-_APART = set("nav footer aside form dialog".split())
+_APART = set("nav footer aside dialog".split())
 _APART_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo banner cookie cookies consent gdpr notice "
     "popup modal overlay newsletter subscribe signup sidebar menu navbar nav navigation breadcrumb breadcrumbs comment "
     "comments disqus replies reply related share sharing social widget pagination toolbar login search complementary "
     "contentinfo alert".split()
 )
+# Names of the state of something else, as "has-sidebar" or "comment-open".
+_STATE = re.compile(r"(?:has|no|not|with|without)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)")
 # Outside the article also these.
 _OUTSIDE_WORDS = set("header footer masthead topbar".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,12 +59,17 @@ class Page(NamedTuple):
     digest: int  # of all its text
 
 
+# Whether an element is no main text: surely, or by its name, which wrappers of the whole page have too.
+_NOT, _NAMED_APART, _SURELY = range(3)
+
+
 class _Element:
-    __slots__ = ("tag", "above", "parts", "dropped", "main", "article", "inside", "hash", "holds_chosen", "text", "size")
+    __slots__ = ("tag", "above", "parts", "dropped", "main", "article", "inside", "hash", "holds_chosen", "text", "size", "apart")
 
     def __init__(self, tag: str, above: _Element | None):
         self.tag, self.above, self.parts, self.hash, self.text, self.size = tag, above, [], 0, False, 0
         self.inside = self.holds_chosen = False
+        self.apart = _NOT
         self.dropped = above is not None and above.dropped
         self.article = above is not None and above.article
         self.main = above is not None and above.main
@@ -68,10 +81,7 @@ def _chosen(elements: list[_Element], title: _Element | None) -> list[_Element]:
     Sidebars and readers' comments mark their entries as articles too, so the mark alone says nothing: one of them must
     hold the page's only h1 or, without such, most of the text around.
     """
-    around = set()
-    while title is not None:
-        around.add(title)
-        title = title.above
+    around = _around(title)
     area = elements[0].size
     found: list[_Element] = []
     for mark in ("main", "article"):
@@ -86,24 +96,64 @@ def _number(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _set_apart(element: _Element, attributes: str) -> bool:
+def _set_apart(element: _Element, attributes: str) -> int:
     tag = element.tag
-    if tag in _APART or tag == "head" or (tag == "header" and not element.article):
-        return True
+    if tag in _APART or tag == "head":
+        return _SURELY
+    apart = _NAMED_APART if tag == "form" or (tag == "header" and not element.article) else _NOT
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return apart
     for name, *values in _NAMED.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return _SURELY
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
-                return True
+                return _SURELY
             continue
-        words = set(re.split(r"[^a-z0-9]+", value))
+        names = [n for n in value.split() if not _STATE.fullmatch(n)]
+        words = set(re.split(r"[^a-z0-9]+", " ".join(names)))
         if words & _APART_WORDS or (not element.article and words & _OUTSIDE_WORDS):
-            return True
-    return False
+            apart = _NAMED_APART
+    return apart
+
+
+def _measure(elements: list[_Element], found: list[tuple[str, _Element]]) -> None:
+    """The characters of each element that are not dropped."""
+    for element in elements:
+        element.size = 0
+    for text, element in found:
+        if not element.dropped:
+            element.size += len(text)
+    for element in reversed(elements[1:]):
+        element.above.size += element.size
+
+
+def _around(element: _Element | None) -> set[_Element]:
+    around = set()
+    while element is not None:
+        around.add(element)
+        element = element.above
+    return around
+
+
+def _drop_named(elements: list[_Element], found: list[tuple[str, _Element]]) -> _Element | None:
+    """Drop what is set apart by its name, unless it holds most of the page's text or its only heading.
+
+    The only h1 is returned, unless it stands in a part that only its own presence saved.
+    """
+    _measure(elements, found)
+    headings = [e for e in elements if e.tag in _HEADINGS and e.size]
+    titles = [e for e in headings if e.tag == "h1"] or headings
+    title = titles[0] if len(titles) == 1 else None
+    around, half, saved = _around(title), elements[0].size / 2, False
+    for element in elements[1:]:
+        element.dropped |= element.above.dropped
+        if element.apart == _NAMED_APART and not element.dropped and element.size <= half:
+            element.dropped = element not in around
+            saved |= element in around
+    _measure(elements, found)
+    return title if title is not None and title.tag == "h1" and not saved else None
 
 
 def read_page(source: str | None) -> Page:
@@ -112,6 +162,7 @@ def read_page(source: str | None) -> Page:
     root = _Element("body", None)
     stack, found, elements = [root], [], [root]
     line: list[str] = []
+    endless: set[str] = set()
 
     def flush() -> None:
         if not line:
@@ -162,12 +213,17 @@ def read_page(source: str | None) -> Page:
                     break
             continue
         if tag in _SKIPPED:
-            # Their end is looked for as it stands; without one, nothing follows.
-            end = _CLOSES[tag].search(source, at)
+            # Their end is looked for as it stands; without one, only the tag itself is skipped.
             line.append(" ")
-            if not end:
-                break
-            at = end.end()
+            if tag in ("svg", "math") and match[3].endswith("/"):
+                continue
+            end = None if tag in endless else _CLOSES[tag].search(source, at)
+            if end and end[1]:
+                at = end.end()
+            elif end is None:
+                if tag in _TO_THE_END:
+                    break
+                endless.add(tag)
             continue
         if tag in ("html", "body"):
             flush()
@@ -186,19 +242,14 @@ def read_page(source: str | None) -> Page:
             element.article = True
         elif tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", match[3], re.I):
             element.main = True
-        element.dropped = element.dropped or _set_apart(element, match[3])
+        element.apart = _set_apart(element, match[3])
+        element.dropped = element.dropped or element.apart == _SURELY
         stack.append(element)
         elements.append(element)
     flush()
     close(1)
 
-    for text, element in found:
-        if not element.dropped:
-            element.size += len(text)
-    for element in reversed(elements[1:]):
-        element.above.size += element.size
-    titles = [e for e in elements if e.tag == "h1" and e.size]
-    chosen = _chosen(elements, titles[0] if len(titles) == 1 else None)
+    chosen = _chosen(elements, _drop_named(elements, found))
     for element in chosen:
         element.inside, above = True, element
         while above is not None and not above.holds_chosen:

@@ -3,8 +3,9 @@
 Every page becomes blocks of text and hashes of its element subtrees. Spark counts the subtrees of each host; those that
 recur across many of its pages are its template, and their text is deleted. Pages that are copies of each other count
 once, so an article that was published often is no template. Elements that say what they are (navigation, adverts,
-forms, reader comments and the like, by tag or by class) go too, as menus may differ on every page; and of a page that
-marks its article, only the article is kept. Paragraphs inside a marked article are never template.
+forms, reader comments and the like, by tag or by class) go too, as menus may differ on every page, but not wrappers of
+the story with such names; and of a page whose article is marked and holds the story, only the article is kept.
+Paragraphs inside such an article are never template.
 
 Defined results: null and empty html give the empty text. A null url has the empty host. Rows that repeat are pages of
 their own in the result and copies of each other in the counts. An empty table gives an empty result. Only the three

@@ -74,3 +74,24 @@ def test_teasers_that_recur_go_by_counts(spark):
     pages = [(i, "http://h.example.com/", f"<div><h1>Page {i}</h1><p>Its story {i}</p></div>{teaser}") for i in range(8)]
     got = main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Page {i}\n\nIts story {i}" for i in range(8)}
+
+
+def test_wrappers_named_like_parts_keep_the_story():
+    for name in ("content has-sidebar", "layout no-sidebar", "post comment-open", "share", "menu"):
+        assert texts(f"<div class='{name}'>{STORY}</div><div class='sidebar'>Side</div>") == TOLD, name
+    assert texts(f"<form id='aspnetForm'>{STORY}<form>f</form></form>")[:3] == TOLD
+    # The only heading, with less text than the rest.
+    assert texts(f"<div class='share'>{STORY}</div><div>{'x ' * 200}</div>")[:3] == TOLD
+    assert texts(f"<header><h1>Title</h1></header><div>{'x ' * 200}</div>")[0] == "Title"
+    assert texts(f"<div class='share'><p>Share it</p></div><div>{STORY}</div>") == TOLD
+    # A site's name in the header does not stand for the story.
+    assert texts("<header><h1>Site</h1></header><article><h2>A</h2><p>Long enough</p></article><div>b</div>") == ["A", "Long enough"]
+
+
+def test_elements_without_an_end_do_not_take_the_page():
+    for tag in ("svg", "button", "select", "object", "iframe", "canvas", "noscript"):
+        assert texts(f"<div>{STORY}</div><{tag}><div>After</div>") == [*TOLD, "After"], tag
+    for tag in ("script", "style", "textarea", "title"):
+        assert texts(f"<div>{STORY}</div><{tag}><div>After</div>") == TOLD, tag
+    assert texts(f"<svg viewBox='0 0 1 1'/>{STORY}<svg><path/></svg><p>After") == [*TOLD, "After"]
+    assert texts(f"<button>{STORY}<button>b</button><p>After") == [*TOLD, "After"]

@@ -1,7 +1,7 @@
 """Personal data in texts, with Spark's own functions only.
 
-Patterns propose spans, checksums confirm them (Luhn for card numbers, mod 97 for bank account numbers), and words just
-before a span raise its score. The four base kinds (email, ip, card, phone) are reported whatever their score; of the
+Patterns propose spans, checksums confirm them (Luhn for card numbers, mod 97 for bank account numbers), and words in the
+``CONTEXT_CHARS`` before or behind a span, whatever else stands there, raise its score. The four base kinds (email, ip, card, phone) are reported whatever their score; of the
 added kinds (iban, ssn) those that reach ``LEAST_SCORE``.
 
 Defined results: a null text counts as empty, and a text without findings has an empty list. Matches of one kind are
@@ -23,6 +23,8 @@ CONTEXT_CHARS = 40
 CONTEXT_SCORE = 0.4
 # Fixed width of the blocks in which running totals are taken.
 BLOCK = 512
+# Texts are cut into pieces of this length, so that a window is found without going through the text again.
+PIECE = 64
 
 
 class Kind(NamedTuple):
@@ -151,6 +153,13 @@ def _running(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, F.flatten(whole)).otherwise(F.array().cast("array<int>"))
 
 
+def _piece_of(pieces: Column, start: Column, length: Column) -> Column:
+    """The text from a position on, at most ``PIECE`` characters of it."""
+    k = F.floor(start / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+    return F.substr(two, start - k * PIECE + 1, length)
+
+
 def find_private_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``spans``: array of ``start, kind, end, score``, kind being a place in ``KINDS``."""
     kept = [c for c in docs.columns if c != "spans"]
@@ -178,16 +187,22 @@ def find_private_data(docs: DataFrame, text: str = "text") -> DataFrame:
             for i in range(len(KINDS))
         }
     )
+    any_match = F.greatest(*[F.size(f"_m{i}") for i in range(len(KINDS))]) > 0
+    pieces = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    df = df.withColumn("_w", F.when(any_match, pieces).otherwise(none))
 
     def found(i: int, kind: Kind) -> Column:
-        rows = F.arrays_zip(F.col(f"_m{i}").alias("m"), F.col(f"_e{i}").alias("e"), F.slice(f"_p{i}", 1, F.size(f"_m{i}")).alias("p"))
+        rows = F.arrays_zip(F.col(f"_m{i}").alias("m"), F.col(f"_e{i}").alias("e"))
         rows = F.filter(rows, lambda r: kind.valid(r["m"]))
 
         def span(r: Column) -> Column:
-            near = F.lower(F.right(r["p"], F.lit(CONTEXT_CHARS))).rlike(kind.words)
-            score = F.lit(kind.score) + F.when(near, CONTEXT_SCORE).otherwise(0.0)
+            start = r["e"] - F.length(r["m"])
+            first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+            sides = _piece_of(F.col("_w"), first, start - first), _piece_of(F.col("_w"), r["e"], F.lit(CONTEXT_CHARS))
+            before, behind = (F.lower(side).rlike(kind.words) for side in sides)
+            score = F.lit(kind.score) + F.when(before | behind, CONTEXT_SCORE).otherwise(0.0)
             return F.struct(
-                (r["e"] - F.length(r["m"])).alias("start"),
+                start.alias("start"),
                 F.lit(i).alias("kind"),
                 r["e"].alias("end"),
                 F.least(score, F.lit(1.0)).alias("score"),

@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gavelworks.llm.private_data import KINDS, described, find_private_data
@@ -59,6 +60,39 @@ def test_checksums_and_context(spark):
             assert (span.start, span.end, span.score) == (11, 38, 1.0)
 
 
+# By place in the text: each place where a number stands by itself, and 40 characters on either side of it.
+SSN_SQL = """WITH places AS (SELECT id, t, unnest(range(1, length(t) - 9)) AS p FROM texts)
+SELECT id, string_agg((p - 1) || ':' || (p + 10), ',' ORDER BY p) AS spans FROM places
+WHERE regexp_full_match(substr(t, p, 11), '[0-9]{3}-[0-9]{2}-[0-9]{4}')
+  AND (p = 1 OR NOT regexp_full_match(substr(t, p - 1, 1), '[A-Za-z0-9_]'))
+  AND NOT regexp_full_match(substr(t, p + 11, 1), '[A-Za-z0-9_]')
+  AND (regexp_matches(lower(substr(t, greatest(p - 40, 1), least(p - 1, 40))), 'ssn|social security|tax id|national id')
+    OR regexp_matches(lower(substr(t, p + 11, 40)), 'ssn|social security|tax id|national id'))
+GROUP BY id"""
+
+
+def test_context_is_what_stands_around_in_the_text(spark):
+    texts = [
+        "social security: 123-45-6789, 987-65-4321",
+        "123-45-6789 (SSN)",
+        "123-45-6789, 987-65-4321 are SSN",
+        "SSN" + "." * 37 + "123-45-6789",
+        "SSN" + "." * 38 + "123-45-6789" + "." * 38 + "ssn",
+    ]
+    rng = random.Random(5)
+    parts = ["123-45-6789", "987-65-4321", "SSN", "tax ID", " ", " ", ", ", "\U0001f600 ", "a@b.c", "\n", ". . . . . . . . .", "x" * 30]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(400)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE texts (id BIGINT, t VARCHAR)")
+    db.executemany("INSERT INTO texts VALUES (?, ?)", list(enumerate(texts)))
+    expected = dict(db.execute(SSN_SQL).fetchall())
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: ",".join(f"{s.start}:{s.end}" for s in r.spans if s.kind == 5) for r in find_private_data(frame).collect()}
+    assert [got[i] for i in range(5)] == ["17:28,30:41", "0:11", "0:11,13:24", "40:51", ""]
+    for i, text in enumerate(texts):
+        assert got[i] == expected.get(i, ""), text
+
+
 def test_many_findings_and_long_runs(spark):
     texts = ["a@b.c " * 3000, "a" * 200_000, "1" * 200_000, "a@" * 50_000, "+" * 1000, None, ""]
     frame = spark.createDataFrame([(t,) for t in texts], "text string")

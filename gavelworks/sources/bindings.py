@@ -348,7 +348,7 @@ def enriched_item_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested auction documents with up to four bids per item."""
+    """Nested auction documents with up to four bids per item: (auction_id, order, body)."""
     k = F.col("item_id")
     bid = lambda i: F.struct(
         F.concat(k.cast("string"), F.lit("-"), i.cast("string")).alias("bid_id"),
@@ -380,4 +380,4 @@ def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
             "items",
         )
     )
-    return grouped.select(id_.alias("auction_id"), body.alias("body"))
+    return grouped.select(id_.alias("auction_id"), F.col("auction_id").alias("order"), body.alias("body"))

@@ -7,6 +7,8 @@ the whole document) differ only in where the items are looked for.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,9 +183,9 @@ def enriched_items_from_documents(df: DataFrame, body: str = "body", default_id:
 # ------------------------------------------------------------ nested records
 
 
-def typed_documents(df: DataFrame, body: str = "body") -> DataFrame:
-    """Documents under the declared schema; a missing field is NULL."""
-    return df.select(F.from_json(F.col(body), AUCTION_DOCUMENT).alias("d")).select("d.*")
+def typed_documents(df: DataFrame, body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
+    """Documents under the declared schema, with the columns ``keep``; a missing field is NULL."""
+    return df.select(*keep, F.from_json(F.col(body), AUCTION_DOCUMENT).alias("d")).select(*keep, "d.*")
 
 
 def flat_records(docs: DataFrame) -> dict[str, DataFrame]:
@@ -252,7 +254,7 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def collection_totals(requested: DataFrame, docs: DataFrame) -> DataFrame:
-    """Requested, collected and failed auctions, and what was collected with them."""
+    """Requested, collected and failed auctions, and what was collected with them; an auction may have many documents."""
     items = F.coalesce(F.col("items"), F.array())
     fetched = docs.select(
         "auction_id",
@@ -261,6 +263,7 @@ def collection_totals(requested: DataFrame, docs: DataFrame) -> DataFrame:
             items, F.lit(0), lambda n, i: n + F.coalesce(F.size(i["bids"]), F.lit(0))
         ).alias("bids"),
     )
+    fetched = fetched.groupBy("auction_id").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("items", "bids")])
     return (
         requested.select("auction_id")
         .join(fetched, "auction_id", "left")

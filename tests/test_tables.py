@@ -186,3 +186,26 @@ def test_fusion(spark):
     assert rows[0]["confidence_upper"] == pytest.approx(15 + 1.96 * 5)
     assert rows[1]["confidence_lower"] == pytest.approx(10 - 1.96 * 2)
     assert (rows[2]["confidence_lower"], rows[2]["confidence_upper"]) == (0, 0)
+
+
+def test_collection_totals_of_orders_with_many_documents(spark, tmp_path):
+    import duckdb
+    from registry.documents import collection_totals
+    from registry.common import ORACLE
+
+    lots = [(1, n, 1, 1, 2.0) for n in range(1, 121)] + [(2, 1, 1, 1, 2.0), (3, 1, 1, 1, 2.0)]
+    frames = {
+        "orders": spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "o_orderkey long"),
+        "part": spark.createDataFrame([(1, "n", "t", "b")], "p_partkey long, p_name string, p_type string, p_brand string"),
+        "lineitem": spark.createDataFrame(
+            lots, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double"
+        ).withColumn("l_shipdate", F.lit("2020-01-01").cast("date")),
+    }
+    db = duckdb.connect()
+    for name, frame in frames.items():
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    (row,) = collection_totals(spark, str(tmp_path)).collect()
+    cursor = db.execute(ORACLE["collection_totals"])
+    assert row.asDict() == dict(zip([d[0] for d in cursor.description], cursor.fetchone()))
+    assert (row.total, row.completed, row.failed, row.items_collected) == (4, 2, 2, 121)

@@ -21,8 +21,3 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return DATA
-
-
-def by(rows, *keys):
-    """Rows as dictionaries, sorted by the keys."""
-    return sorted((r.asDict() for r in rows), key=lambda r: tuple(r[k] for k in keys))

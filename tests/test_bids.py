@@ -6,7 +6,7 @@ import math
 
 import pandas as pd
 import pytest
-from conftest import by
+from rows import by
 from pyspark.sql import functions as F
 
 from gavelworks.operators.bids import GROUPS, engineer_bid_features

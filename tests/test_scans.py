@@ -6,7 +6,7 @@ import statistics
 
 import numpy as np
 import pytest
-from conftest import by
+from rows import by
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 import pytest
-from conftest import by
+from rows import by
 from pyspark.sql import functions as F
 
 from gavelworks.operators.bids import engineer_bid_features

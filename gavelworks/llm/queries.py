@@ -13,6 +13,8 @@ from gavelworks.llm.language_id import identify
 from gavelworks.llm.media import payload, read_media, store_texts
 from gavelworks.llm.mixture import mix
 from gavelworks.llm.page_text import main_text
+from gavelworks.llm.phrases import collocations
+from gavelworks.llm.phrases_sql import collocations_sql
 from gavelworks.llm.pieces import decode, encode
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
 from gavelworks.llm.private_data_sql import private_data_sql
@@ -154,4 +156,9 @@ def op10_digest_index(spark, folder):
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op13_phrases", collocations_sql())
+def op13_phrases(spark, folder):
+    return collocations(table(spark, folder, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -7,6 +7,8 @@ import uuid
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from gavelworks.llm import conversations_sql
+from gavelworks.llm.conversations import damaged, repair_conversations
 from gavelworks.llm.digest_index import DigestIndex
 from gavelworks.llm.jaccard_join import jaccard_components
 from gavelworks.llm.language_id import identify
@@ -18,6 +20,7 @@ from gavelworks.llm.phrases_sql import collocations_sql
 from gavelworks.llm.pieces import decode, encode
 from gavelworks.llm.private_data import BASE, KINDS, described, find_private_data
 from gavelworks.llm.private_data_sql import private_data_sql
+from gavelworks.llm.token_counts import count_tokens
 from gavelworks.llm.toxicity import fold, score_toxicity
 from gavelworks.llm.url_filter import Rule, judge
 from gavelworks.llm.url_filter_sql import url_filter_sql
@@ -156,6 +159,26 @@ def op10_digest_index(spark, folder):
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+MOST_TOKENS = 2048
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return count_tokens(docs).select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > MOST_TOKENS).alias("over_limit"),
+    )
+
+
+@query("op12_conversation_repair", conversations_sql.SQL)
+def op12_conversation_repair(spark, folder):
+    rows = table(spark, folder, "conversations")
+    return repair_conversations(damaged(rows), rows)
+
+
 @query("op13_phrases", collocations_sql())
 def op13_phrases(spark, folder):
     return collocations(table(spark, folder, "documents"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from gavelworks.functions.money import increment_deviation, is_unusual_increment
 from gavelworks.functions.times import as_timestamp
 from gavelworks.operators.checks import require_columns
+from gavelworks.operators.order_statistics import standing_so_far
 from gavelworks.operators.scans import GROUP_LIMIT, split_by_size
 
 SECOND = 1_000_000
@@ -222,28 +223,32 @@ def _standing(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Dat
     """Rank and running median of each amount among the amounts seen so far.
 
     Rows arrive in window order, item by item; position 1 starts a new item. A
-    missing amount has neither and changes neither for those after it.
-    A sorted list needs one binary search per bid, where a window frame would
-    sort the whole history again for every row.
+    missing amount has neither and changes neither for those after it. All
+    items of a batch are taken together; of an item that goes on in the next
+    batch the amounts are kept.
     """
-    seen: list[float] = []
+    seen = np.zeros(0)
     for position, amount in batches:
-        ranks, medians = [], []
-        for n, a in zip(position.to_numpy(), amount.to_numpy()):
-            if n == 1:
-                seen = []
-            if a != a:  # missing
-                ranks.append(None)
-                medians.append(None)
-                continue
-            at = bisect_right(seen, a)
-            seen.insert(at, a)
-            half = len(seen) >> 1
-            ranks.append(at + 1)
-            medians.append(seen[half] if len(seen) & 1 else (seen[half - 1] + seen[half]) / 2)
+        values = np.concatenate([seen, amount.to_numpy(dtype="float64", na_value=np.nan)])
+        begins = np.concatenate([np.zeros(len(seen), bool), position.to_numpy() == 1])
+        # Where each row's item begins; what was kept begins the first one.
+        start = np.maximum.accumulate(np.where(begins, np.arange(len(values)), 0))
+        known = ~np.isnan(values)
+        place = np.concatenate([[0], np.cumsum(known)])
+        ranks, medians = standing_so_far(values[known], place[start[known]])
+        not_above = np.full(len(values), -1, dtype="int64")
+        median = np.full(len(values), np.nan)
+        not_above[known], median[known] = ranks, medians
+        new = slice(len(seen), None)
+        missing = ~known[new]
         yield pd.DataFrame(
-            {"not_above": pd.array(ranks, dtype="Int64"), "median": pd.array(medians, dtype="Float64")}
+            {
+                "not_above": pd.arrays.IntegerArray(not_above[new], missing),
+                "median": pd.arrays.FloatingArray(median[new], missing.copy()),
+            }
         )
+        last = start[-1] if len(start) else 0
+        seen = values[last:][known[last:]]
 
 
 # Spark must not move a filter below this function: it reads its rows in order.

@@ -36,6 +36,32 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# Rows of a sketch are 2 to this power: a relative error of about 0.4 %, and at most 64 KB for each column and batch.
+SKETCH_BITS = 16
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], batch: str) -> DataFrame:
+    """``batch, column, sketch``: a mergeable count of the distinct values of each column, NULL apart, for one batch of rows.
+
+    The values are counted as text, so that sketches of batches with other
+    types of the same column still merge.
+    """
+    sketches = [F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), SKETCH_BITS).alias(f"_{i}") for i, c in enumerate(columns)]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("sketch")) for i, c in enumerate(columns)])
+    return df.agg(*sketches).select(F.lit(batch).alias("batch"), F.explode(pairs).alias("s")).select("batch", "s.*")
+
+
+def add_sketches(df: DataFrame, columns: Sequence[str], batch: str, path: str) -> None:
+    """Store the sketches of a new batch; neither older batches nor their sketches are read. A batch that comes again replaces itself."""
+    distinct_sketches(df, columns, batch).drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def merged_distinct_counts(sketches: DataFrame) -> DataFrame:
+    """``column, distinct``: estimates over all batches, the same in whatever order they merge."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy("column").agg(merged.alias("distinct"))
+
+
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """Most frequent values; ties go to the smaller value."""
     return value_counts(df.filter(F.col(column).isNotNull()), column).orderBy(F.desc("count"), column).limit(k)
@@ -240,16 +266,25 @@ def padded_sequences(
     )
 
 
-def soft_close(bids: DataFrame, end: str, limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Extensions and actual end per item.
+SOFT_CLOSE_MICROS = 120_000_000
+
+
+def soft_close(bids: DataFrame, end: str, limit: int = WINDOW_LIMIT, mode: str = "bid") -> DataFrame:
+    """Extensions and actual end per item. An item without an end has neither; bids without a time extend nothing.
 
-    A bid within two minutes of the current end moves the end to two minutes
-    after the bid. So the extending bids form one run: it starts with the
-    first bid in the last two minutes and ends at the first gap of more than
-    two minutes. Finding that gap needs only the bid before each bid.
+    With ``mode="bid"`` a bid within two minutes of the current end moves the
+    end to two minutes after the bid. So the extending bids form one run: it
+    starts with the first bid in the last two minutes and ends at the first gap
+    of more than two minutes. Finding that gap needs only the bid before each
+    bid. With ``mode="end"`` it adds two minutes to the end; see
+    :func:`_added_ends`.
     """
+    if mode not in ("bid", "end"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "end":
+        return _added_ends(bids, end)
     close = micros(F.col(end))
-    two = 120_000_000
+    two = SOFT_CLOSE_MICROS
     rows = bids.select("item_id", "bid_id", F.unix_micros("bid_time").alias("_u"), close.alias("_end"))
     late = rows.filter(F.col("_u") >= F.col("_end") - two)
     order = [F.col("_u").asc(), F.col("bid_id").asc()]
@@ -266,3 +301,73 @@ def soft_close(bids: DataFrame, end: str, limit: int = WINDOW_LIMIT) -> DataFram
         F.coalesce("_n", F.lit(0)).alias("soft_close_extensions"),
         F.timestamp_micros(F.coalesce(F.col("_last") + two, F.col("_end"))).alias("actual_end_time"),
     )
+
+
+def _added_ends(bids: DataFrame, end: str) -> DataFrame:
+    """Soft close that adds two minutes to the end with each extending bid.
+
+    After ``k`` extensions the end is ``k`` times two minutes after the first
+    one, so whether a bid extends depends on ``k`` and on its place on a grid of
+    two minutes alone. Cell ``n`` holds the bids from ``n`` to ``n + 1`` steps
+    after the first end. A bid on the cell's lower edge counts for ``k = n`` or
+    ``n + 1``, as both ends of the last two minutes belong to them; one inside
+    the cell for ``k = n + 1``. When cell ``n`` begins, ``k`` is ``n`` or
+    ``n + 1``, or the run is over:
+
+    * two edge bids, or one and one inside: ``k`` is one ahead afterwards;
+    * one edge bid alone: as far ahead as before;
+    * bids inside only: the run goes on, one ahead, if ``k`` was;
+    * an empty cell: the run goes on, not ahead, if ``k`` was.
+
+    So the run ends where a cell without an edge bid meets a ``k`` that is not
+    ahead, and ``k`` was not ahead if the last cell before that had not one edge
+    bid alone was empty. Cells are counted before they move, and an item has at
+    most one for every two minutes that it lasts.
+    """
+    at = F.col("_u") - F.col("_end")
+    rows = bids.select("item_id", F.unix_micros("bid_time").alias("_u"), micros(F.col(end)).alias("_end"))
+    ends = rows.groupBy("item_id").agg(F.max("_end").alias("_end"))
+    cells = (
+        rows.filter(at >= -SOFT_CLOSE_MICROS)
+        .groupBy("item_id", F.floor(at / SOFT_CLOSE_MICROS).cast("long").alias("_cell"))
+        .agg(
+            F.count_if(at % SOFT_CLOSE_MICROS == 0).alias("_edge"),
+            F.count_if(at % SOFT_CLOSE_MICROS != 0).alias("_inside"),
+        )
+    )
+    order = Window.partitionBy("item_id").orderBy("_cell")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    cell = F.col("_cell")
+    # In front of the first cell stands one that leaves k ahead.
+    cells = cells.withColumns(
+        {
+            "_before": F.lag("_cell", 1, -2).over(order),
+            "_following": F.lead("_cell").over(order),
+            "_alone": (F.col("_edge") == 1) & (F.col("_inside") == 0),
+        }
+    )
+    gap = cell - F.col("_before") - 1
+    cells = cells.withColumns(
+        {
+            "_gap": gap,
+            "_last_gap": F.max(F.when(gap > 0, cell)).over(order),
+            "_last_ahead": F.max(F.when(~F.col("_alone"), cell)).over(earlier),
+        }
+    )
+    cells = cells.withColumn(
+        "_ahead", F.col("_last_gap").isNull() | F.coalesce(F.col("_last_ahead") >= F.col("_last_gap"), F.lit(False))
+    )
+    cells = cells.withColumn("_ahead_after", ~F.col("_alone") | F.col("_ahead"))
+    cells = cells.withColumn("_ahead_before", F.coalesce(F.lag("_ahead_after").over(order), F.lit(True)))
+    in_gap = F.when((F.col("_gap") > 0) & ~F.col("_ahead_before"), F.col("_before") + 1).when(
+        F.col("_gap") > 1, F.col("_before") + 2
+    )
+    here = F.when((F.col("_edge") == 0) & ~F.col("_ahead"), cell)
+    behind = F.when(F.col("_following").isNull(), cell + F.when(F.col("_ahead_after"), 2).otherwise(1))
+    counts = cells.groupBy(F.col("item_id").alias("_item")).agg(F.min(F.least(in_gap, here, behind)).alias("_n"))
+    n = F.when(F.col("_end").isNotNull(), F.coalesce("_n", F.lit(0).cast("long")))
+    return ends.join(counts, F.col("item_id").eqNullSafe(F.col("_item")), "left").select(
+        "item_id",
+        F.coalesce(n, F.lit(0)).alias("soft_close_extensions"),
+        F.timestamp_micros(F.col("_end") + n * SOFT_CLOSE_MICROS).alias("actual_end_time"),
+    )

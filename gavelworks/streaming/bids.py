@@ -1,24 +1,21 @@
-"""Bid features as streaming jobs.
+"""Streaming jobs over bids: de-duplication, counts, clusters, soft close, enrichment.
 
-The batch bid features look only backwards, so a stream can produce them. Bids
-wait until the watermark has passed them and are then handled in event-time
-order; what arrives later than that is dropped by Spark's watermark.
+Bids wait until the watermark has passed them and are then handled in event-time
+order; what arrives later than that is dropped by Spark's watermark. The causal
+features are in ``features.py``.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gavelworks.operators.bids import CLUSTER_GAP, DECAY, SECOND
+from gavelworks.operators.bids import SECOND
 
 DELAY = "10 minutes"
 
@@ -48,129 +45,6 @@ def clusters(bids: DataFrame, gap: str = "30 seconds", delay: str = DELAY) -> Da
     )
 
 
-# ------------------------------------------------------------- causal features
-
-FEATURES = T.StructType(
-    [
-        T.StructField("item_id", T.LongType()),
-        T.StructField("bid_id", T.LongType()),
-        T.StructField("bid_us", T.LongType()),
-        T.StructField("number_of_bids_so_far", T.LongType()),
-        T.StructField("time_since_first_bid_seconds", T.DoubleType()),
-        T.StructField("time_since_last_bid_seconds", T.DoubleType()),
-        T.StructField("rolling_bid_count_1min", T.LongType()),
-        T.StructField("rolling_bid_count_5min", T.LongType()),
-        T.StructField("bid_acceleration", T.DoubleType()),
-        T.StructField("time_weighted_bid_velocity", T.DoubleType()),
-        T.StructField("bid_increment", T.DoubleType()),
-        T.StructField("bid_amount_relative_to_mean", T.DoubleType()),
-        T.StructField("bid_amount_relative_to_max", T.DoubleType()),
-        T.StructField("is_new_high", T.LongType()),
-        T.StructField("bid_cluster_size_so_far", T.LongType()),
-        T.StructField("time_since_cluster_start_seconds", T.DoubleType()),
-    ]
-)
-_LONGS, _DOUBLES = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
-# Scalars of the item so far, the times of its last ten minutes, and bids still waiting.
-STATE = T.StructType(
-    [
-        T.StructField("n", T.LongType()),
-        T.StructField("first_u", T.LongType()),
-        T.StructField("last_u", T.LongType()),
-        T.StructField("last_a", T.DoubleType()),
-        T.StructField("sum_a", T.DoubleType()),
-        T.StructField("max_a", T.DoubleType()),
-        T.StructField("decayed", T.DoubleType()),
-        T.StructField("cluster_u", T.LongType()),
-        T.StructField("cluster_n", T.LongType()),
-        T.StructField("recent", _LONGS),
-        T.StructField("wait_u", _LONGS),
-        T.StructField("wait_id", _LONGS),
-        T.StructField("wait_a", _DOUBLES),
-    ]
-)
-
-
-def _advance(item: int, state: list, recent: list[int], u: int, bid: int, amount: float) -> tuple:
-    """One bid: update the item's scalars in place and return its feature row."""
-    n, first_u, last_u, last_a, sum_a, max_a, decayed, cluster_u, cluster_n = state
-    n += 1
-    if n == 1:
-        first_u, increment, since_last, decayed = u, amount, 0.0, 1.0
-        sum_a, max_a, cluster_u, cluster_n = amount, amount, u, 1
-    else:
-        increment, since_last = amount - last_a, (u - last_u) / SECOND
-        decayed = 1.0 + decayed * math.exp(-DECAY * since_last)
-        sum_a, max_a = sum_a + amount, max(max_a, amount)
-        if u - last_u > CLUSTER_GAP:
-            cluster_u, cluster_n = u, n
-    recent.append(u)
-    del recent[: bisect_left(recent, u - 600 * SECOND)]
-    last_1 = len(recent) - bisect_left(recent, u - 60 * SECOND)
-    last_5 = len(recent) - bisect_left(recent, u - 300 * SECOND)
-    state[:] = [n, first_u, u, amount, sum_a, max_a, decayed, cluster_u, cluster_n]
-    return (
-        item,
-        bid,
-        u,
-        n,
-        (u - first_u) / SECOND,
-        since_last,
-        last_1,
-        last_5,
-        last_5 / 5.0 - (len(recent) - last_5) / 5.0,
-        decayed,
-        increment,
-        amount - sum_a / n,
-        amount / max_a if max_a > 0 else 1.0,
-        int(amount == max_a),
-        n - cluster_n + 1,
-        (u - cluster_u) / SECOND,
-    )
-
-
-def _features(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        *scalars, recent, wait_u, wait_id, wait_a = state.get
-        waiting = list(zip(wait_u, wait_id, wait_a))
-    else:
-        scalars, recent, waiting = [0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0, 0], [], []
-    scalars, recent = list(scalars), list(recent)
-    for frame in frames:
-        waiting += zip(frame["bid_us"].tolist(), frame["bid_id"].tolist(), frame["bid_amount"].tolist())
-    waiting.sort()
-    passed = state.getCurrentWatermarkMs() * 1000
-    ready = [w for w in waiting if w[0] < passed]
-    waiting = waiting[len(ready) :]
-    rows = [_advance(key[0], scalars, recent, *w) for w in ready]
-    state.update(
-        (
-            *scalars,
-            recent,
-            [w[0] for w in waiting],
-            [w[1] for w in waiting],
-            [w[2] for w in waiting],
-        )
-    )
-    if waiting:
-        state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(rows, columns=FEATURES.names)
-
-
-def causal_features(bids: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Batch-equal features per bid, in event-time order. Ranks and medians need the full history and stay in batch."""
-    ready = bids.withWatermark("bid_time", delay).select(
-        F.col("item_id").cast("long"),
-        F.col("bid_id").cast("long"),
-        "bid_time",
-        F.unix_micros("bid_time").alias("bid_us"),
-        F.col("bid_amount").cast("double"),
-    )
-    return ready.groupBy("item_id").applyInPandasWithState(
-        _features, FEATURES, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 # ------------------------------------------------------------------ soft close
 
 CLOSES = T.StructType(
@@ -184,7 +58,7 @@ _CLOSE_STATE = T.StructType(
     [
         T.StructField("end_us", T.LongType()),
         T.StructField("extensions", T.LongType()),
-        T.StructField("wait_u", _LONGS),
+        T.StructField("wait_u", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -200,7 +74,8 @@ def soft_close_ends(bids: DataFrame, end: str, mode: str = "bid", delay: str = D
     """Running end and extension count per item; the last row of an item is its state.
 
     ``mode='bid'`` sets the end two minutes after the bid, ``mode='end'`` two
-    minutes after the current end.
+    minutes after the current end. Bids of an item whose end is not known, and
+    bids without a time, extend nothing.
     """
     if mode not in ("bid", "end"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -211,21 +86,22 @@ def soft_close_ends(bids: DataFrame, end: str, mode: str = "bid", delay: str = D
             ends, count, waiting = state.get
             waiting = list(waiting)
         for frame in frames:
-            if len(frame):
-                ends = int(frame["end_us"].iloc[0]) if ends is None else ends
-                waiting += frame["bid_us"].tolist()
+            known = frame["end_us"].dropna()
+            if len(known):
+                ends = int(known.iloc[0]) if ends is None else ends
+            waiting += frame["bid_us"].astype("int64").tolist()
         waiting.sort()
         passed = state.getCurrentWatermarkMs() * 1000
         ready = [u for u in waiting if u < passed]
         waiting = waiting[len(ready) :]
-        for u in ready:
+        for u in ready if ends is not None else []:
             ends, count = _extend(ends, count, u, mode)
         state.update((ends, count, waiting))
         if waiting:
             state.setTimeoutTimestamp(max(waiting[0] // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], ends, count)] if ready else [], columns=CLOSES.names)
 
-    ready = bids.withWatermark("bid_time", delay).select(
+    ready = bids.filter(F.col("bid_time").isNotNull()).withWatermark("bid_time", delay).select(
         F.col("item_id").cast("long"),
         "bid_time",
         F.unix_micros("bid_time").alias("bid_us"),
@@ -246,39 +122,3 @@ def enriched(bids: DataFrame, auction_items: DataFrame, keys: tuple[str, ...] =
         raise ValueError("Cannot merge datasets: no common keys (auction_id, item_id)")
     shared = (set(bids.columns) & set(auction_items.columns)) - set(on)
     return bids.withColumnsRenamed({c: c + "_bid" for c in shared}).join(auction_items, on, "left")
-
-
-def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Drain what has arrived into Parquet, exactly once; run again to continue."""
-    return (
-        df.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-class LateRows(StreamingQueryListener):
-    """Counts bids dropped as later than the watermark, over the whole life of each query.
-
-    Register it with ``spark.streams.addListener`` before the queries start; a
-    query itself keeps only its last progress reports.
-    """
-
-    def __init__(self):
-        self.dropped: dict[str, int] = {}
-
-    def onQueryStarted(self, event) -> None:
-        self.dropped.setdefault(str(event.id), 0)
-
-    def onQueryProgress(self, event) -> None:
-        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
-        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass

@@ -133,3 +133,70 @@ def bid_features_of_a_huge_item(spark, folder):
     )
     limit = max(100, data.count() // 20)
     return spark_bids(spark, folder, GROUPS, data=data, item_limit=limit)
+
+
+# Some bids without an amount, and all bids of some items without their item.
+GAPPED_BIDS = BIDS.replace("value AS bid_amount", "CASE WHEN event_id % 9 <> 0 THEN value END AS bid_amount").replace(
+    "user_id AS item_id", "CASE WHEN user_id % 13 <> 0 THEN user_id END AS item_id"
+)
+
+
+def gapped(sql: str) -> str:
+    """The SQL of a feature group where amounts and items may be missing."""
+    for old, new in (
+        ("b.item_id = base.item_id", "b.item_id IS NOT DISTINCT FROM base.item_id"),
+        ("b.item_id = t.item_id", "b.item_id IS NOT DISTINCT FROM t.item_id"),
+        ("coalesce(bid_amount - pa, bid_amount) AS inc", "CASE WHEN n = 1 THEN bid_amount ELSE bid_amount - pa END AS inc"),
+        (
+            "(SELECT count(*) FROM base b WHERE b.item_id IS NOT DISTINCT FROM t.item_id AND b.n <= t.n AND b.bid_amount <= t.bid_amount) / n",
+            "CASE WHEN bid_amount IS NOT NULL THEN (SELECT count(*) FROM base b WHERE b.item_id IS NOT DISTINCT FROM t.item_id"
+            " AND b.n <= t.n AND b.bid_amount <= t.bid_amount) END / (SELECT count(bid_amount) FROM base b"
+            " WHERE b.item_id IS NOT DISTINCT FROM t.item_id AND b.n <= t.n)",
+        ),
+        ("CASE WHEN bid_amount = ma THEN 1 ELSE 0 END", "CASE WHEN bid_amount IS NOT NULL THEN CAST(bid_amount = ma AS INTEGER) END"),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
+def joined_groups(groups: list[str]) -> str:
+    """Feature groups side by side; a column that two of them have is taken once."""
+    first, *rest = groups
+    again = {CLUSTER_SQL: "item_id, time_since_last_bid_seconds"}
+    parts = [f"({gapped(first)}) g0"]
+    for i, sql in enumerate(rest, 1):
+        parts.append(f"(SELECT * EXCLUDE ({again.get(sql, 'item_id')}) FROM ({gapped(sql)}) x) g{i}")
+    return "SELECT * FROM " + " JOIN ".join(parts[:1]) + "".join(f" JOIN {p} USING (bid_id)" for p in parts[1:])
+
+
+GROUP_SQL = [ELAPSED_SQL, COUNT_SQL, AMOUNT_SQL, PROGRESS_SQL, CLUSTER_SQL]
+
+
+def with_gaps(bids):
+    """Amounts and items taken away from some bids."""
+    return bids.withColumns(
+        {
+            "bid_amount": F.when(F.col("bid_id") % 9 != 0, F.col("bid_amount")),
+            "item_id": F.when(F.col("item_id") % 13 != 0, F.col("item_id")),
+        }
+    )
+
+
+@query("bid_features_with_gaps", with_(GAPPED_BIDS, BASE) + joined_groups(GROUP_SQL))
+def bid_features_with_gaps(spark, folder):
+    """Every feature where amounts and items are missing."""
+    return spark_bids(spark, folder, GROUPS, data=with_gaps(bids(spark, folder)))
+
+
+@query(
+    "bid_progress_with_own_numbers",
+    with_(BIDS, BASE)
+    + f"""SELECT item_id, bid_id, number AS bid_number, {r(f"number / max(number) OVER {FAR}", "bid_number_normalized")}
+      FROM (SELECT *, CASE WHEN bid_id % 7 <> 0 THEN bid_id % 50 + 1 END AS number FROM base) t""",
+)
+def bid_progress_with_own_numbers(spark, folder):
+    """The caller's own numbers, out of order and with gaps, as a share of the highest so far."""
+    number = F.when(F.col("bid_id") % 7 != 0, F.col("bid_id") % 50 + 1)
+    data = bids(spark, folder).withColumn("bid_number", number)
+    out = spark_bids(spark, folder, ["auction_progress"], data=data)
+    return out.select("item_id", "bid_id", "bid_number", "bid_number_normalized")

@@ -780,23 +780,6 @@ def padded_bid_sequences_front(spark, folder):
     return out.select("item_id", "length", text.alias("sequence"))
 
 
-@query(
-    "soft_close_ends",
-    with_(
-        BIDS,
-        f"late AS (SELECT item_id, u, {END_US} AS e, lag(u) OVER (PARTITION BY item_id ORDER BY u, bid_id) AS p FROM bids WHERE u >= {END_US} - 120000000)",
-        "stops AS (SELECT item_id, min(u) AS stop FROM late WHERE CASE WHEN p IS NULL THEN u > e ELSE u - p > 120000000 END GROUP BY 1)",
-    )
-    + f"""SELECT b.item_id, count(x.u) AS soft_close_extensions,
-      coalesce(max(x.u) + 120000000, max({END_US})) AS actual_end_time
-    FROM bids b LEFT JOIN (SELECT l.* FROM late l LEFT JOIN stops s USING (item_id) WHERE stop IS NULL OR u < stop) x
-      ON b.item_id = x.item_id AND b.u = x.u GROUP BY b.item_id""",
-)
-def soft_close_ends(spark, folder):
-    out = summaries.soft_close(bids_with_schedule(spark, folder), "auction_end_time")
-    return rounded(out, "item_id")
-
-
 # ------------------------------------------------------------ whole bid table
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from gavelworks.operators import joins, scans
 from gavelworks.operators.encode import fit
 from gavelworks.operators.items import add_closing_order
-from gavelworks.operators.order_statistics import earlier_below, running_medians
+from gavelworks.operators.order_statistics import earlier_below, running_medians, standing_so_far
 from gavelworks.operators.summaries import bid_sequence_arrays, bid_sequences, describe, padded_sequences, soft_close
 
 
@@ -171,3 +172,32 @@ def test_encoder(spark):
         fit(clash, {"c": "p"}).transform(clash)
     frozen = fit(df, {"c": "p"}, categories={"c": ["z"]}).transform(df)
     assert frozen.columns == ["c", "p_z"] and frozen.agg(F.sum("p_z")).first()[0] == 0
+
+
+def test_standing_so_far():
+    """Ranks and medians among earlier values of the same group, with ties, against sorting each history."""
+    draw = np.random.default_rng(5)
+    for size, most in ((0, 3), (1, 3), (400, 4), (700, 10_000), (300, 1)):
+        values = draw.integers(0, most, size).astype(float) / 4
+        starts = np.maximum.accumulate(np.where(draw.random(size) < 0.05, np.arange(size), 0)) if size else np.zeros(0, int)
+        ranks, medians = standing_so_far(values, starts)
+        for i in range(size):
+            history = values[starts[i] : i + 1]
+            assert ranks[i] == (history <= values[i]).sum() and medians[i] == np.median(history)
+
+
+def test_standing_of_a_long_item_is_fast():
+    """A hundred thousand bids of one item, a batch at a time, beside inserting each into a sorted list."""
+    from bisect import bisect_right
+
+    values = np.random.default_rng(6).random(100_000)
+    begin = time.perf_counter()
+    seen: list[float] = []
+    for a in values:
+        seen.insert(bisect_right(seen, a), a)
+        half = len(seen) >> 1
+        seen[half] if len(seen) & 1 else (seen[half - 1] + seen[half]) / 2
+    plain = time.perf_counter() - begin
+    begin = time.perf_counter()
+    standing_so_far(values, np.zeros(len(values), int))
+    assert time.perf_counter() - begin < plain

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
-from rows import by
 from pyspark.sql import functions as F
+from rows import by
 
 from gavelworks.operators.bids import engineer_bid_features
 from gavelworks.operators.embeddings import embed_new_items
+from gavelworks.operators.summaries import soft_close
 from gavelworks.sources import bindings
 from gavelworks.streaming import bids as jobs
-
-SAME = [
-    "number_of_bids_so_far",
-    "time_since_last_bid_seconds",
-    "rolling_bid_count_1min",
-    "rolling_bid_count_5min",
-    "bid_increment",
-    "bid_cluster_size_so_far",
-    "time_since_cluster_start_seconds",
-]
+from gavelworks.streaming.features import NOT_IN_STREAM, causal_features
+from gavelworks.streaming.sinks import BatchTable, LateRows, VersionedTable, enrich_batches, into_table, write_stream
 
 
 @pytest.fixture(scope="module")
@@ -39,18 +33,138 @@ def stream(spark, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
 
 
-def test_features_across_batches_equal_the_batch(spark, landed, tmp_path):
-    out = jobs.causal_features(stream(spark, landed))
-    jobs.write_stream(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+@pytest.mark.parametrize("gaps", [False, True])
+def test_features_across_batches_equal_the_batch(spark, landed, tmp_path, gaps):
+    def gapped(bids):
+        if not gaps:
+            return bids
+        return bids.withColumns(
+            {
+                "bid_amount": F.when(F.col("bid_id") % 5 != 0, F.col("bid_amount")),
+                "item_id": F.when(F.col("item_id") % 3 != 0, F.col("item_id")),
+                "bid_number": F.when(F.col("bid_id") % 7 != 0, F.col("bid_id") % 100),
+            }
+        )
+
+    out = causal_features(gapped(stream(spark, landed)))
+    write_stream(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = by(spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect(), "bid_id")
-    batch = engineer_bid_features(spark.read.parquet(landed), ["bid_id"]).collect()
-    want = {r["bid_id"]: r for r in batch}
+    batch = engineer_bid_features(gapped(spark.read.parquet(landed)), ["bid_id"])
+    names = [c for c in batch.columns if c in out.columns]
+    assert set(batch.columns) - set(names) == {"auction_id", "bid_time", "bid_amount", "is_proxy_bid", *NOT_IN_STREAM}
+    want = {r["bid_id"]: r for r in batch.collect()}
     assert len(got) > 500
     for row in got:
-        for name in SAME:
+        for name in names:
             assert row[name] == pytest.approx(want[row["bid_id"]][name]), (row["bid_id"], name)
 
 
+def test_state_goes_when_items_end(spark, tmp_path):
+    """What is left when the watermark has passed the items' ends is nothing, and a bid after an end is left out."""
+    source = str(tmp_path / "in")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "item_id long, bid_id long, t long, amount double").select(
+            "item_id",
+            "bid_id",
+            F.timestamp_seconds("t").alias("bid_time"),
+            F.col("amount").alias("bid_amount"),
+            F.timestamp_seconds(F.lit(2000)).alias("ends"),
+        ).coalesce(1).write.mode("append").parquet(source)
+        out = causal_features(stream(spark, source), "1 minute", "ends")
+        query = write_stream(out, str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+        return out, query.recentProgress[-1].stateOperators[0].numRowsTotal
+
+    _, held = arrive([(i, i * 10 + n, 1000 + n, 5.0) for i in (1, 2) for n in range(3)])
+    out, left = arrive([(1, 50, 10_000, 7.0)])
+    assert held > 0 and left == 0
+    rows = {r.bid_id: r.number_of_bids_so_far for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
+    assert rows == {10: 1, 11: 2, 12: 3, 20: 1, 21: 2, 22: 3}
+
+
+def plain_closes(rows, mode):
+    """End and extensions of each item, bid by bid."""
+    out = {}
+    for item, end in {r[0]: r[3] for r in rows}.items():
+        count = 0
+        for u in sorted(r[2] for r in rows if r[0] == item and r[2] is not None):
+            if end is not None and end - 120 <= u <= end:
+                end, count = (u if mode == "bid" else end) + 120, count + 1
+        out[item] = (end, count)
+    return out
+
+
+@pytest.mark.parametrize("mode", ["bid", "end"])
+def test_soft_close_of_random_items(spark, mode):
+    """Bids on and around the edges of the last two minutes, many at once, missing times and ends."""
+    draw = random.Random(7)
+    rows = []
+    for item in range(300):
+        end = None if item % 17 == 0 else 10_000
+        for bid in range(draw.randrange(1, 14)):
+            at = draw.choice([9880, 10_000, 10_120, 10_240, 10_360, 9870, 9999, 10_001, draw.randrange(9800, 10_700), None])
+            rows.append((item if item != 5 else None, bid, at, end))
+    frame = spark.createDataFrame(rows, "item_id long, bid_id long, t long, e long").select(
+        "item_id", "bid_id", F.timestamp_seconds("t").alias("bid_time"), F.timestamp_seconds("e").alias("close")
+    )
+    want = plain_closes(rows, mode)
+    got = {
+        r.item_id: (r.e, r.soft_close_extensions)
+        for r in soft_close(frame, "close", mode=mode)
+        .withColumn("e", F.unix_seconds("actual_end_time"))
+        .collect()
+    }
+    if mode == "bid":  # its join back leaves items without a number as they were
+        want.pop(None), got.pop(None)
+    assert got == want
+
+
+def test_soft_close_stream_without_end(spark, tmp_path):
+    rows = [(1, 0, 950, None), (2, 0, 950, 1000), (2, 1, 5000, 1000)]
+    bids = spark.createDataFrame(rows, "item_id long, bid_id long, t long, e long").select(
+        "item_id", "bid_id", F.timestamp_seconds("t").alias("bid_time"), F.timestamp_seconds("e").alias("close")
+    )
+    bids.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = jobs.soft_close_ends(stream(spark, str(tmp_path / "in")), "close", "end", "1 minute")
+    table = BatchTable(spark, str(tmp_path / "out"), "close")
+    into_table(out, table, str(tmp_path / "check"), mode="update").awaitTermination()
+    got = {r.item_id: (r.end_us, r.extensions) for r in table.read(out.schema).collect()}
+    assert got == {1: (None, 0), 2: (1120 * 10**6, 1)}
+
+
+def test_batches_are_taken_once(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), "app")
+    rows = spark.range(5)
+    assert table.write(lambda: rows, 0) and not table.write(lambda: 1 / 0, 0)
+    # One that died before it was committed is written whole.
+    rows.write.parquet(table.folder(1))
+    (tmp_path / "t" / "app=app" / "batch=1" / "_SUCCESS").unlink()
+    assert table.batches() == [0] and table.read(rows.schema).count() == 5
+    assert table.write(lambda: rows.limit(2), 1)
+    assert table.batches() == [0, 1] and table.read(rows.schema).count() == 7
+    assert BatchTable(spark, str(tmp_path / "none"), "app").read(rows.schema).count() == 0
+
+
+def test_enrichment_takes_the_latest_version(spark, landed, tmp_path):
+    static = VersionedTable(spark, str(tmp_path / "static"))
+    with pytest.raises(ValueError, match="no version"):
+        static.read()
+    names = spark.createDataFrame([(i, "old") for i in range(9)], "auction_id long, title string")
+    assert static.publish(names) == 0
+    assert static.publish(names.withColumn("title", F.lit("new"))) == 1
+    assert static.publish(names.filter("false"), 1) == 1
+    table = BatchTable(spark, str(tmp_path / "out"), "enriched")
+    source = stream(spark, landed)
+    for check in ("a", "b"):
+        enrich_batches(source, static, table, str(tmp_path / check), limit=50).awaitTermination()
+    columns = [*source.schema.fields, *static.read().drop("auction_id").schema.fields]
+    rows = table.read(type(source.schema)(columns)).collect()
+    assert len(rows) == spark.read.parquet(landed).count() == len({r.bid_id for r in rows})
+    assert {(r.title, r.version) for r in rows if r.auction_id != 9} == {("new", 1)}
+    assert {(r.title, r.version) for r in rows if r.auction_id == 9} == {(None, None)}
+
+
 def test_soft_close_modes(spark, tmp_path):
     rows = [(1, i, t) for i, t in enumerate([900, 990, 1100, 1300, 5000])]
     bids = spark.createDataFrame(rows, "item_id long, bid_id long, t long").select(
@@ -73,13 +187,13 @@ def test_soft_close_modes(spark, tmp_path):
 
 def test_late_bids_are_dropped_and_counted(spark, tmp_path):
     source = str(tmp_path / "in")
-    late = jobs.LateRows()
+    late = LateRows()
     spark.streams.addListener(late)
     for minute in (60, 0):
         spark.createDataFrame([(1, minute, minute * 60)], "item_id long, bid_id long, t long").select(
             "item_id", "bid_id", F.timestamp_seconds("t").alias("bid_time")
         ).coalesce(1).write.mode("append").parquet(source)
-        query = jobs.write_stream(jobs.deduplicated(stream(spark, source)), str(tmp_path / "out"), str(tmp_path / "check"))
+        query = write_stream(jobs.deduplicated(stream(spark, source)), str(tmp_path / "out"), str(tmp_path / "check"))
         query.awaitTermination()
     for _ in range(100):  # progress reports arrive on a thread of their own
         if late.dropped.get(str(query.id)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Fields of the auction table that must be there, or be numbers.
@@ -42,12 +42,45 @@ def with_invalid_numbers(df: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS,
     return df.withColumn(out, F.filter(names, lambda c: c.isNotNull()))
 
 
-def with_item_errors(df: DataFrame, out: str = "errors") -> DataFrame:
-    """Validation messages of an item: no title, a negative price, bids announced but not recorded."""
-    rules = {
+def item_rules() -> dict[str, Column]:
+    """What is wrong with an item: no title, a negative price, bids announced but not recorded."""
+    return {
         "Missing title": F.col("title").isNull() | (F.col("title") == ""),
         "Negative winning bid": F.col("winning_bid") < 0,
         "Bid count mismatch": (F.col("bid_count") > 0) & (F.coalesce(F.col("recorded_bids"), F.lit(0)) == 0),
     }
-    messages = F.array(*[F.when(rule, F.lit(text)) for text, rule in rules.items()])
+
+
+def with_item_errors(df: DataFrame, out: str = "errors") -> DataFrame:
+    """Validation messages of an item, by :func:`item_rules`."""
+    messages = F.array(*[F.when(rule, F.lit(text)) for text, rule in item_rules().items()])
     return df.withColumn(out, F.filter(messages, lambda m: m.isNotNull()))
+
+
+def column_rules(df: DataFrame, wanted: Sequence[str], numbers: Sequence[str] = ()) -> dict[str, Column]:
+    """A rule for each wanted column, that it is there and filled, and for each number, that it is one."""
+    out = {f"Missing {c}": F.col(f"`{c}`").isNull() if c in df.columns else F.lit(True) for c in wanted}
+    for c in numbers:
+        if c in df.columns:
+            text = F.col(f"`{c}`").cast("string")
+            out[f"Not a number: {c}"] = text.isNotNull() & text.try_cast("double").isNull()
+    return out
+
+
+REPORT = "rule string, broken long, rows long"
+
+
+def write_with_report(df: DataFrame, path: str, report: str, rules: dict[str, Column], mode: str = "overwrite") -> None:
+    """Write the rows as they are, and beside them how many break each rule.
+
+    The rules are counted as the rows pass on their way to the files, so the
+    source is read once and nothing is computed twice. ``report`` gets one row a
+    rule, in the order of the rules. A rule that is NULL for a row is not broken.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(rule, F.lit(False))).alias(f"broken_{i}") for i, rule in enumerate(rules.values())]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.mode(mode).parquet(path)
+    found = seen.get
+    rows = [(name, found[f"broken_{i}"], found["rows"]) for i, name in enumerate(rules)]
+    spark.createDataFrame(rows, REPORT).coalesce(1).write.mode(mode).parquet(report)

@@ -113,6 +113,68 @@ def append_parquet(df: DataFrame, path: str) -> None:
     write_parquet(df, path, "append")
 
 
+# Types that hold every value of another, narrowest first.
+_WIDER = {
+    "tinyint": ("smallint", "int", "bigint", "double"),
+    "smallint": ("int", "bigint", "float", "double"),
+    "int": ("bigint", "double"),
+    "float": ("double",),
+    "date": ("timestamp", "timestamp_ntz"),
+}
+
+
+class ContractError(ValueError):
+    """Rows that do not fit the table they were to be added to; ``report`` says why, column by column."""
+
+    def __init__(self, report: list[tuple[str, str | None, str | None, str]]):
+        self.report = report
+        refused = [f"{name}: {verdict} ({given} for {kept})" for name, given, kept, verdict in report if verdict in REFUSED]
+        super().__init__("; ".join(refused))
+
+
+REFUSED = ("extra", "narrowed")
+
+
+def contract_report(rows: T.StructType, target: T.StructType) -> list[tuple[str, str | None, str | None, str]]:
+    """``(column, given type, type of the table, verdict)`` for every column of either side, those of the table first.
+
+    A column is ``same``, ``widened`` into a type that holds all its values,
+    ``missing`` and so NULL, ``extra``, or ``narrowed`` into one that does not
+    hold them. The last two are refused. Names are compared as they are spelled.
+    """
+    given = {f.name: f.dataType.simpleString() for f in rows}
+    out: list[tuple[str, str | None, str | None, str]] = []
+    for f in target:
+        kept, own = f.dataType.simpleString(), given.pop(f.name, None)
+        if own is None:
+            verdict = "missing"
+        elif own == kept:
+            verdict = "same"
+        else:
+            verdict = "widened" if own == "void" or kept in _WIDER.get(own, ()) else "narrowed"
+        out.append((f.name, own, kept, verdict))
+    return [*out, *[(name, own, None, "extra") for name, own in given.items()]]
+
+
+def append_to_contract(df: DataFrame, path: str, target: T.StructType | None = None) -> list[tuple]:
+    """Add rows under the names, order and types that the table already has, and return the report.
+
+    The table's schema is that of ``target`` or of what lies at ``path``. The
+    check reads no rows; nothing is written when a column is refused.
+    """
+    spark = df.sparkSession
+    target = spark.read.parquet(path).schema if target is None else target
+    report = contract_report(df.schema, target)
+    if any(verdict in REFUSED for *_, verdict in report):
+        raise ContractError(report)
+    given = set(df.columns)
+    columns = [
+        (F.col(f"`{f.name}`") if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in target
+    ]
+    append_parquet(df.select(*columns), path)
+    return report
+
+
 def compact(spark: SparkSession, source: str, target: str, schema: T.StructType | None = None) -> None:
     """Rewrite many small files as few well-sized ones.
 

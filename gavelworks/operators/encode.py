@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelworks.functions.text import clean_level
+from gavelworks.operators.joins import KEY_LIMIT, left_join
 from gavelworks.session import written
 
 MAX_LEVELS = 20
@@ -56,6 +57,8 @@ class Encoder:
     total: int = 0
     placeholders: tuple[str, ...] = ()
     lower: bool = False
+    # Rows of the most frequent level of each column.
+    largest: dict[str, int] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         for column, prefix in self.prefixes.items():
@@ -85,7 +88,9 @@ class Encoder:
             (F.col("n") / F.lit(self.total)).alias(f"{prefix}_frequency"),
             F.col("n").alias(f"{prefix}_count"),
         )
-        return df.join(counts, column, "left")
+        # The counts tell whether any level is too large for one task.
+        limit = KEY_LIMIT if self.largest.get(column, 0) > KEY_LIMIT else None
+        return left_join(df, counts, [column], limit)
 
 
 def fit(
@@ -108,8 +113,10 @@ def fit(
         return Encoder(present, fixed, placeholders=placeholders, lower=lower)
     counts = level_counts(df, open_columns, placeholders)
     sizes = {
-        row["name"]: (row["levels"], row["total"])
-        for row in counts.groupBy("name").agg(F.count("*").alias("levels"), F.sum("n").alias("total")).collect()
+        row["name"]: (row["levels"], row["total"], row["largest"])
+        for row in counts.groupBy("name")
+        .agg(F.count("*").alias("levels"), F.sum("n").alias("total"), F.max("n").alias("largest"))
+        .collect()
     }
     narrow = [c for c in open_columns if c in sizes and (max_levels is None or sizes[c][0] <= max_levels)]
     for column in open_columns:
@@ -120,8 +127,9 @@ def fit(
     # One-hot levels become columns, so they are few.
     for row in counts.filter(F.col("name").isin(narrow)).select("name", "level").collect():
         fixed[row["name"]].append(row["level"])
-    total = max((t for _, t in sizes.values()), default=0)
-    return Encoder(present, fixed, counts, total, placeholders, lower)
+    total = max((t for _, t, _ in sizes.values()), default=0)
+    largest = {name: n for name, (_, _, n) in sizes.items()}
+    return Encoder(present, fixed, counts, total, placeholders, lower, largest)
 
 
 def fit_auction_encoder(df: DataFrame, categories: dict[str, list[str]] | None = None) -> Encoder:
@@ -135,12 +143,13 @@ def fit_item_encoder(df: DataFrame, categories: dict[str, list[str]] | None = No
 def add_label_codes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """0-based code of each value in sorted order, as output name by source column.
 
-    The codes are ranked over the distinct values and joined back.
+    The codes are ranked over the distinct values and joined back; a value that
+    most rows have is spread over several tasks.
     """
     from gavelworks.operators.scans import row_numbers
 
     for source, out in columns.items():
         levels = df.filter(F.col(source).isNotNull()).select(source).distinct()
         codes = row_numbers(levels.withColumn("_all", F.lit(0)), ["_all"], [F.col(source).asc()], out)
-        df = df.join(codes.select(source, (F.col(out) - 1).alias(out)), source, "left")
+        df = left_join(df, codes.select(source, (F.col(out) - 1).alias(out)), [source])
     return df

@@ -201,3 +201,7 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         tables["items"], tables["features_tabular"], tables["features_sequential"]
     ).createOrReplaceTempView("v_training_data")
 
+
+def with_vectors(features: DataFrame, vectors: DataFrame, on: Sequence[str] = ("item_id",), limit: int = KEY_LIMIT) -> DataFrame:
+    """Rows that have a vector, with it. Columns that both sides have keep their name in the features and get ``_vector``."""
+    return merge(features, vectors, list(on), "inner", ("", "_vector"), limit)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gavelworks.functions.text import STOPWORDS, normalise, tokens
-from gavelworks.operators import embeddings, predictions, splits
-from gavelworks.session import spread
+from gavelworks.operators import embeddings, joins, predictions, splits, subwords
+from gavelworks.session import shared_dir, spread
 from gavelworks.sources import bindings
 from registry.common import ITEMS, ORACLE, query, r, rounded, with_
 
@@ -181,6 +183,74 @@ def item_vectors_by_join(spark, folder):
     return vector_sums(out)
 
 
+@query("resumed_item_vectors", ORACLE["item_vectors"])
+def resumed_item_vectors(spark, folder):
+    """Vectors of the items up to the middle order, then a second run over all items that adds the others."""
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    listed, words = bindings.items(spark, folder), word_table(spark, folder)
+    middle = bindings.table(spark, folder, "orders").agg(F.max("o_orderkey") / 2).first()[0]
+    embeddings.embed_new_items(listed.filter(F.col("auction_id") <= middle), words, None, path, 64)
+    done = spark.read.parquet(path)
+    embeddings.embed_new_items(listed, words, done, path, 64)
+    return vector_sums(spark.read.schema(done.schema).parquet(path))
+
+
+@query(
+    "item_features_with_vectors",
+    f"""SELECT i.item_id, i.title_length, v.dimensions, v.total, v.weighted FROM (
+        {with_(ITEMS)} SELECT item_id, CAST(length(coalesce(item_title, '')) AS BIGINT) AS title_length FROM items WHERE item_id % 3 <> 0) i
+      JOIN ({ORACLE["item_vectors"]}) v USING (item_id) WHERE i.item_id % 5 <> 0""",
+)
+def item_features_with_vectors(spark, folder):
+    """Item features beside the vectors of their texts; items that only one side has are left out."""
+    listed = bindings.items(spark, folder)
+    # Items that lack on one side are there under numbers that no item has.
+    moved = lambda k: F.when(F.col("item_id") % k == 0, -F.col("item_id") * 10 - k).otherwise(F.col("item_id"))
+    features = listed.select(moved(3).alias("item_id"), F.length(F.coalesce("item_title", F.lit(""))).alias("title_length"))
+    vectors = embeddings.document_vectors(embeddings.item_tokens(listed), word_table(spark, folder), dimensions=64)
+    both = joins.with_vectors(features, vectors.select(moved(5).alias("item_id"), "embedding"))
+    sums = vector_sums(both).withColumnRenamed("item_id", "_item")
+    return both.select("item_id", F.col("title_length").cast("long").alias("title_length")).join(
+        sums, F.col("item_id") == F.col("_item")
+    ).drop("_item")
+
+
+def subword_model(spark, folder):
+    listed = embeddings.item_tokens(bindings.items(spark, folder))
+    model = subwords.train_subword_vectors(listed, dimensions=16, epochs=1, buckets=1 << 12)
+    return listed, model
+
+
+@query(
+    "subword_item_vectors",
+    with_(ITEMS, ITEM_TOKENS)
+    + "SELECT item_id, 16::BIGINT AS dimensions, CAST(len(w) = 0 AS BIGINT) AS zero FROM words",
+)
+def subword_item_vectors(spark, folder):
+    """A vector of trained n-grams for every item; zero where it has no words."""
+    listed, model = subword_model(spark, folder)
+    out = subwords.document_vectors_by_subwords(listed, model)
+    zero = F.forall("embedding", lambda x: x == 0)
+    return out.select("item_id", F.size("embedding").cast("long").alias("dimensions"), zero.cast("long").alias("zero"))
+
+
+@query(
+    "subword_vocabulary",
+    with_(ITEMS, ITEM_TOKENS)
+    + """SELECT word, n, dimensions, zero FROM (
+        SELECT word, count(*) AS n, 16::BIGINT AS dimensions, 0::BIGINT AS zero FROM (SELECT unnest(w) AS word FROM words) t
+        GROUP BY word HAVING count(*) >= 2
+        UNION ALL SELECT word || 'zq', 0, 16, 0 FROM (SELECT unnest(w) AS word FROM words) t GROUP BY word HAVING count(*) >= 2) u""",
+)
+def subword_vocabulary(spark, folder):
+    """Words seen twice, and as many that were never seen, with vectors of the same kind."""
+    _, model = subword_model(spark, folder)
+    unseen = model.words.select(F.concat("word", F.lit("zq")).alias("word"), F.lit(0).cast("long").alias("n"))
+    out = subwords.word_vectors(model.words.unionByName(unseen), model)
+    zero = F.forall("vector", lambda x: x == 0)
+    return out.select("word", "n", F.size("vector").cast("long").alias("dimensions"), zero.cast("long").alias("zero"))
+
+
 @query("trained_word_vectors")
 def trained_word_vectors(spark, folder):
     """Vectors trained on the item texts, and each item's mean of them. No SQL twin: training is iterative."""

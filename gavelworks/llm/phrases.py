@@ -5,10 +5,11 @@ longest windows are counted: a word with its followers, one lead column for each
 ROLLUP over these columns then sums the counts of each shorter prefix, down to the words and the words of a language, so
 no second explosion makes the shorter phrases.
 
-A follower is padding as well where the pair of neighbours is too rare to lie in any phrase that is asked for. Pairs are
-counted first, by hash, in a table with one place for every eight bytes of text, of at most ``2**MOST_BITS`` places; a
-place sums several pairs at worst, so no frequent pair is ever lost, and every phrase with enough occurrences keeps all of
-them. The table only saves work: past its bound (at some 4 GB of text) it lets more windows through, with equal results.
+A word or follower is padding as well where it lies in no run of words that is frequent enough for any phrase that is asked
+for. Runs are counted first, by hash: words and pairs, then those runs of each further length whose own runs all passed. A
+table of counts has one place for every eight bytes of text and ``2**MOST_BITS`` places at most; a place sums several runs
+at worst, so no frequent run is ever lost, and every phrase with enough occurrences keeps all of them. The tables only save
+work: past their bound (at some 4 GB of text) they let more and more windows through, with equal results.
 
 Null and empty texts have no words and a null language is ``und``; a row that is there twice counts twice; ids and any
 other columns are not read. Empty tables give no rows.
@@ -21,7 +22,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +30,9 @@ from gavelworks.session import spread, written
 
 BREAK = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
 BLANK = np.isin(np.arange(256), [32, 9])
-# Texts taken together in a task, and the bitmap of frequent pairs: 64 MB at most.
-BATCH_BYTES = 4_000_000
+# Texts taken together in a task.
+BATCH_BYTES = 1_000_000
+# Places of a table; its bitmap has 64 MB at most.
 LEAST_BITS, MOST_BITS = 20, 29
 # Bits of one value of Spark's bitmap functions.
 _PART = 32_768
@@ -59,24 +60,62 @@ def _words(batch: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray, np.nd
     return words.dictionary_encode(), hashed(data, starts, ends), follows, lang_of, lang.dictionary.to_pylist()
 
 
-def _places(hashes: np.ndarray, lang_of: np.ndarray, langs: list[str], bits: int) -> np.ndarray:
-    """For each word, the place of the pair that it makes with the next one, from 1 on."""
-    own = [int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs]
-    second = np.concatenate([hashes[1:], hashes[:1]])
-    pair = mixed(hashes * _FIRST + mixed(second * _SECOND) + np.array(own, np.uint64)[lang_of])
-    return (pair >> np.uint64(64 - bits)).astype(np.int64) + 1
-
-
-def frequent_pairs(docs: DataFrame, least: int, bits: int) -> np.ndarray:
-    """A bit for every place whose pairs occur ``least`` times together: at most ``2**MOST_BITS / 8`` bytes."""
+class _Runs:
+    """The words of a slice of texts, and which runs of them may be frequent as far as the tables tell."""
+
+    def __init__(self, part: pa.RecordBatch, tables: list[np.ndarray], bits: int):
+        self.words, hashes, self.follows, self.lang_of, self.langs = _words(part)
+        self.shift = np.uint64(64 - bits)
+        own = [int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs]
+        self.word = mixed(hashes + np.array(own, np.uint64)[self.lang_of]) if len(hashes) else hashes
+        # What begins at each word: the word itself, the pair, and so on.
+        self.hash = [self.word]
+        self.passed = [np.ones(len(self.word), bool)]
+        if tables:
+            self.passed = [self._set(tables[0], self.word)]
+            pair = self.follows & self.both(self.passed[0])
+            self.hash.append(self._longer())
+            self.passed.append(pair & self._set(tables[0], self.hash[1]))
+        for table in tables[1:]:
+            self.hash.append(self._longer())
+            self.passed.append(self.both(self.passed[-1]) & self._set(table, self.hash[-1]))
+
+    def _longer(self) -> np.ndarray:
+        """Hashes of the runs that are one word longer."""
+        last = np.roll(self.word, -len(self.hash))
+        return mixed(self.hash[-1] * _FIRST + last * _SECOND)
+
+    @staticmethod
+    def both(passed: np.ndarray) -> np.ndarray:
+        """Whether a run and the one a word later passed."""
+        return passed & np.concatenate([passed[1:], [False]]) if len(passed) else passed
+
+    def _set(self, table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes >> self.shift).astype(np.int64)
+        return ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def places(self) -> np.ndarray:
+        """The places of the runs that the next table counts."""
+        if len(self.hash) == 1:
+            runs = [self.word, self._longer()[self.follows]]
+        else:
+            runs = [self._longer()[self.both(self.passed[-1])]]
+        return (np.concatenate(runs) >> self.shift).astype(np.int64)
+
+
+def frequent_places(docs: DataFrame, least: int, bits: int, tables: list) -> np.ndarray:
+    """The next table: a bit for every place whose runs occur ``least`` times together, ``2**MOST_BITS / 8`` bytes at most.
+
+    Without tables it counts words and pairs, with some it counts the runs of one more word than the last.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [t.value for t in tables]
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                _, hashes, follows, lang_of, langs = _words(part)
-                place = _places(hashes, lang_of, langs, bits)[follows] if len(hashes) else np.zeros(0, np.int64)
-                places, n = np.unique(place, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n)], names=["place", "n"])
+                places, n = np.unique(_Runs(part, known, bits).places(), return_counts=True)
+                # Spark's bitmaps begin at 1.
+                yield pa.RecordBatch.from_arrays([pa.array(places + 1), pa.array(n)], names=["place", "n"])
 
     counts = docs.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     parts = (
@@ -91,37 +130,35 @@ def frequent_pairs(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
-def windows(docs: DataFrame, pairs, bits: int, longest: int) -> DataFrame:
+def windows(docs: DataFrame, tables: list, bits: int, longest: int) -> DataFrame:
     """``lang, w1 .. w<longest>, n``: each word with its followers, as often as a task's slice of texts has it.
 
-    ``pairs`` is the broadcast bitmap; a follower beyond a pair without its bit is null, like one beyond the piece.
+    ``tables`` are broadcast bitmaps for the runs of up to ``longest - 1`` words; words beyond a run that did not pass are
+    null like those beyond the piece.
     """
     names = [f"w{k + 1}" for k in range(longest)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pairs.value
+        known = [t.value for t in tables]
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                words, hashes, follows, lang_of, langs = _words(part)
-                if not len(hashes):
+                runs = _Runs(part, known, bits)
+                if not len(runs.word):
                     continue
-                place = _places(hashes, lang_of, langs, bits) - 1
-                goes_on = follows & ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-                ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                columns, there = [lang_of, ids], np.ones(len(ids), bool)
-                for k in range(1, longest):
-                    there = there & np.concatenate([goes_on[k - 1 :], np.zeros(k - 1, bool)])
-                    columns.append(np.where(there, np.concatenate([ids[k:], ids[:k]])[: len(ids)], -1))
+                passed = [*runs.passed]
+                while len(passed) < longest:
+                    passed.append(_Runs.both(passed[-1]))
+                spelling = runs.words.dictionary
+                ids = runs.words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                columns = [np.where(passed[k], np.roll(ids, -k), -1) for k in range(longest)]
                 # Equal windows get equal numbers, a column at a time.
-                number = columns[0]
-                for column in columns[1:]:
-                    _, number = np.unique(number * (len(words.dictionary) + 1) + column + 1, return_inverse=True)
+                number = runs.lang_of
+                for column in columns:
+                    _, number = np.unique(number * (len(spelling) + 1) + column + 1, return_inverse=True)
                 _, first, n = np.unique(number, return_index=True, return_counts=True)
-                spelled = [words.dictionary.take(pa.array(c[first], mask=c[first] < 0)) for c in columns[1:]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()).take(pa.array(lang_of[first])), *[s.cast(pa.string()) for s in spelled], pa.array(n)],
-                    names=["lang", *names, "n"],
-                )
+                spelled = [spelling.take(pa.array(c[first], mask=c[first] < 0)).cast(pa.string()) for c in columns]
+                lang = pa.array(runs.langs, pa.string()).take(pa.array(runs.lang_of[first]))
+                yield pa.RecordBatch.from_arrays([lang, *spelled, pa.array(n)], names=["lang", *names, "n"])
 
     return docs.mapInArrow(cut, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
 
@@ -132,13 +169,13 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> DataFra
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max((total // 8).bit_length(), LEAST_BITS), MOST_BITS)
-    pairs = spark.sparkContext.broadcast(frequent_pairs(docs, least, bits))
+    tables: list = []
+    for _ in range(max(longest - 2, 1)):
+        tables.append(spark.sparkContext.broadcast(frequent_places(docs, least, bits, tables)))
     names = [f"w{k + 1}" for k in range(longest)]
-    rolled = (
-        windows(docs, pairs, bits, longest)
-        .rollup("lang", *names)
-        .agg(F.sum("n").alias("f"), F.grouping_id().alias("gone"))
-    )
+    # Equal windows of all tasks are summed first, so that the copies which ROLLUP makes of a row are made once a window.
+    whole_windows = windows(docs, tables, bits, longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    rolled = whole_windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("gone"))
     # What is rolled up is null as padding is: a window of k words is one whose k-th is there and whose others are rolled up.
     whole = F.lit(False)
     for k in range(1, longest + 1):

@@ -254,19 +254,18 @@ def jaccard_components(
     groups = centres.select("gid", "class", "n", *maps).join(radius, "gid", "left")
     groups = written(groups.withColumn("radius", F.coalesce("radius", F.lit(0))), "groups")
 
-    # Shingles in the prefixes of at least two groups.
-    prefixes = signed.select("row", "prefix").join(centres.select("row", "gid"), "row")
-    listed = written(prefixes.select("gid", "prefix"), "prefixes").select("gid", F.explode("prefix").alias("shingle"))
-    several = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("shingle")
-    shared = written(listed.join(several, "shingle"), "shared")
-    # Shingles that the same groups hold are one list: a pair that shares a passage is then found once, not once a word.
+    # Shingles in the prefixes of at least two groups. Those that the same groups hold are one list: a pair that shares a
+    # passage is then found once, not once a word. The long table of groups and shingles moves once, and all three reads of
+    # it take what was moved.
     gid = F.col("gid")
-    alike = shared.groupBy("shingle").agg(
+    prefixes = signed.select("row", "prefix").join(centres.select("row", "gid"), "row")
+    listed = prefixes.select("gid", F.explode("prefix").alias("shingle")).repartition("shingle")
+    alike = listed.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64(gid)).alias("x"), F.bit_xor(F.xxhash64(gid, F.lit(1))).alias("y")
     )
-    alike = written(alike, "alike")
+    alike = alike.filter(F.col("k") > 1)
     first = alike.groupBy("k", "x", "y").agg(F.min("shingle").alias("list"))
-    lists = shared.join(alike.join(first, ["k", "x", "y"]).select("shingle", "list"), "shingle")
+    lists = listed.join(alike.join(first, ["k", "x", "y"]).select("shingle", "list"), "shingle")
     lists = written(lists.select("list", "gid").distinct(), "lists")
 
     # Star rounds: each group of a list that spans components with one of another component, members of a group with its

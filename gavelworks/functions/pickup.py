@@ -12,92 +12,81 @@ CATEGORY_PATTERN = r"(?iU)Cat(egory)?\s+[A-Z]:"
 RANGE_PATTERN = r"(?iU)(\d{1,2}):?(\d{2})?\s*(AM|PM|NOON)\s*-\s*(\d{1,2}):?(\d{2})?\s*(AM|PM|NOON)"
 
 
-def html_text(html: Column) -> Column:
+
+
+# The rule is kept as SQL text, with raw literals: the columns below and the table function of ``sql.py`` are both made
+# of it.
+
+
+def html_text_sql(html: str) -> str:
     """Text of an HTML fragment: tags go without a space, common entities are decoded."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = f"regexp_replace(regexp_replace({html}, r'(?s)<!--.*?-->', ''), r'<[^>]*>', '')"
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
+        text = f"replace({text}, '{entity}', '{plain}')"
     return text
 
 
-def _clock(parts: Column, first: int) -> Column:
+def html_text(html: str) -> Column:
+    return F.expr(html_text_sql(html))
+
+
+def _clock_sql(parts: str, first: int) -> str:
     """24-hour time of one side of a range: whole hour, decimal hours, and whether it is a time at all."""
-    hour = parts[first].cast("int")
-    minute = F.coalesce(F.nullif(parts[first + 1], F.lit("")).cast("int"), F.lit(0))
-    period = F.upper(parts[first + 2])
+    hour = f"cast({parts}[{first}] as int)"
+    minute = f"coalesce(cast(nullif({parts}[{first + 1}], '') as int), 0)"
+    period = f"upper({parts}[{first + 2}])"
     whole = (
-        F.when(period == "NOON", 12)
-        .when((period == "PM") & (hour != 12), hour + 12)
-        .when((period == "AM") & (hour == 12), 0)
-        .otherwise(hour)
+        f"case when {period} = 'NOON' then 12 when {period} = 'PM' and {hour} <> 12 then {hour} + 12 "
+        f"when {period} = 'AM' and {hour} = 12 then 0 else {hour} end"
     )
-    return F.struct(
-        whole.alias("whole"),
-        (whole + minute / F.lit(60.0)).alias("at"),
-        (hour.between(1, 12) & (minute < 60)).alias("valid"),
+    return (
+        f"named_struct('whole', {whole}, 'at', {whole} + {minute} / 60.0D, "
+        f"'valid', {hour} between 1 and 12 and {minute} < 60)"
     )
 
 
-def _runs_past_midnight(start: Column, end: Column) -> Column:
-    evening = start >= 20
-    return (evening & (end <= 18)) | (~evening & (end <= 6))
-
-
-def _ranges(text: Column) -> Column:
+def ranges_sql(text: str) -> str:
     """Valid (start, end) pairs; an end past midnight is 24 or more."""
-    found = F.regexp_extract_all(text, F.lit(RANGE_PATTERN), F.lit(0))
     # One regex pass per match gives all six groups.
-    groups = F.transform(found, lambda m: F.split(F.regexp_replace(m, RANGE_PATTERN, "$1|$2|$3|$4|$5|$6"), r"\|"))
-    sides = F.transform(groups, lambda g: F.struct(_clock(g, 0).alias("a"), _clock(g, 3).alias("b")))
-    kept = F.filter(
-        sides,
-        lambda s: s["a"]["valid"]
-        & s["b"]["valid"]
-        & (
-            (s["b"]["at"] > s["a"]["at"])
-            | ((s["b"]["at"] < s["a"]["at"]) & _runs_past_midnight(s["a"]["whole"], s["b"]["whole"]))
-        ),
+    groups = (
+        f"transform(regexp_extract_all({text}, r'{RANGE_PATTERN}', 0), "
+        f"m -> split(regexp_replace(m, r'{RANGE_PATTERN}', r'$1|$2|$3|$4|$5|$6'), r'\\|'))"
+    )
+    sides = f"transform({groups}, g -> named_struct('a', {_clock_sql('g', 0)}, 'b', {_clock_sql('g', 3)}))"
+    past_midnight = "if(s.a.whole >= 20, s.b.whole <= 18, s.b.whole <= 6)"
+    kept = (
+        f"filter({sides}, s -> s.a.valid and s.b.valid and "
+        f"(s.b.at > s.a.at or (s.b.at < s.a.at and {past_midnight})))"
     )
-    return F.transform(
-        kept,
-        lambda s: F.struct(
-            s["a"]["at"].alias("start"),
-            (s["b"]["at"] + F.when(s["b"]["at"] < s["a"]["at"], 24.0).otherwise(0.0)).alias("end"),
-        ),
+    return (
+        f"transform({kept}, s -> named_struct('start', s.a.at, "
+        "'end', s.b.at + if(s.b.at < s.a.at, 24.0D, 0.0D)))"
     )
 
 
+def pickup_sql(text: str, ranges: str) -> dict[str, str]:
+    """The six features of a note's text and its ranges."""
+    days = ", ".join(f"'{d}'" for d in WEEKDAYS)
+    day = f"lower(regexp_extract({text}, r'{DAY_PATTERN}', 1))"
+    any_range = f"size({ranges}) > 0"
+    return {
+        "num_pickup_windows": f"size({ranges})",
+        "total_pickup_hours": f"round(aggregate({ranges}, 0.0D, (acc, r) -> acc + (r.end - r.start)), 2)",
+        "first_pickup_start_hour": f"if({any_range}, round(array_min(transform({ranges}, r -> r.start)), 2), null)",
+        "last_pickup_end_hour": f"if({any_range}, round(array_max(transform({ranges}, r -> r.end % 24.0D)), 2), null)",
+        "pickup_day_of_week": f"nullif(cast(array_position(array({days}), {day}) as int), 0) - 1",
+        "has_category_windows": f"{text} rlike r'{CATEGORY_PATTERN}'",
+    }
+
+
 def add_pickup_windows(df: DataFrame, source: str = "auction_removal_info", prefix: str = "") -> DataFrame:
     """Six pickup features. With ``prefix='auction_'`` the auction-table names are used."""
     if source not in df.columns:
         return df
-    names = {
-        "num_pickup_windows": f"{prefix}num_pickup_windows",
-        "total_pickup_hours": f"{prefix}total_pickup_hours",
-        "first_pickup_start_hour": f"{prefix}first_pickup_start_hour",
-        "last_pickup_end_hour": f"{prefix}last_pickup_end_hour",
-        "pickup_day_of_week": f"{prefix}pickup_day_of_week",
-        "has_category_windows": f"{prefix}has_category_pickup_windows" if prefix else "has_category_windows",
-    }
-    text, ranges = F.col("_text"), F.col("_ranges")
-    day = F.lower(F.regexp_extract(text, DAY_PATTERN, 1))
-    out = df.withColumn("_text", F.coalesce(html_text(F.col(source)), F.lit("")))
-    out = out.withColumn("_ranges", _ranges(text))
-    any_range = F.size(ranges) > 0
-    hours = F.aggregate(ranges, F.lit(0.0), lambda acc, r: acc + (r["end"] - r["start"]))
-    features = {
-        "num_pickup_windows": F.size(ranges),
-        "total_pickup_hours": F.round(hours, 2),
-        "first_pickup_start_hour": F.when(
-            any_range, F.round(F.array_min(F.transform(ranges, lambda r: r["start"])), 2)
-        ),
-        "last_pickup_end_hour": F.when(
-            any_range, F.round(F.array_max(F.transform(ranges, lambda r: r["end"] % F.lit(24.0))), 2)
-        ),
-        "pickup_day_of_week": F.nullif(
-            F.array_position(F.lit(WEEKDAYS), day).cast("int"), F.lit(0)
-        ) - 1,
-        "has_category_windows": text.rlike(CATEGORY_PATTERN),
-    }
-    return out.withColumns({names[k]: v for k, v in features.items()}).drop("_text", "_ranges")
+    names = {name: f"{prefix}{name}" for name in pickup_sql("", "")}
+    if prefix:
+        names["has_category_windows"] = f"{prefix}has_category_pickup_windows"
+    out = df.withColumn("_text", F.coalesce(html_text(f"`{source}`"), F.lit("")))
+    out = out.withColumn("_ranges", F.expr(ranges_sql("_text")))
+    features = {names[k]: F.expr(v) for k, v in pickup_sql("_text", "_ranges").items()}
+    return out.withColumns(features).drop("_text", "_ranges")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -87,28 +88,31 @@ def document_vectors(
 
 
 def _vectors_by_lookup(tokens: DataFrame, words: DataFrame, keys: list[str], dimensions: int) -> DataFrame:
-    table = words.select("word", F.col("vector").cast("array<double>").alias("vector")).toPandas()
-    index = {word: i for i, word in enumerate(table["word"])}
-    # The last row is the zero vector, for documents without a known token.
-    matrix = np.vstack([*table["vector"], np.zeros(dimensions)])
-    shared = tokens.sparkSession.sparkContext.broadcast((index, matrix))
-
-    @F.pandas_udf("array<float>")
-    def mean_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    table = words.select("word", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+    spelled = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    flat = table.column("vector").combine_chunks().flatten() if table.num_rows else pa.array([], pa.float64())
+    matrix = np.array(flat).reshape(-1, dimensions)
+    shared = tokens.sparkSession.sparkContext.broadcast((spelled, matrix))
+    listed = tokens.select(*keys, "tokens")
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, vectors = shared.value
-        zero = len(vectors) - 1
         for batch in batches:
-            found = [[known[t] for t in (() if doc is None else doc) if t in known] or [zero] for doc in batch]
-            if not found:
-                yield pd.Series([], dtype="object")
-                continue
-            sizes = np.fromiter(map(len, found), dtype="int64", count=len(found))
-            rows = np.fromiter((i for doc in found for i in doc), dtype="int64", count=sizes.sum())
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            means = np.add.reduceat(vectors[rows], starts, axis=0) / sizes[:, None]
-            yield pd.Series(list(means.astype("float32")))
-
-    return tokens.select(*keys, mean_vector("tokens").alias("embedding"))
+            lists = batch.column("tokens")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=known), -1)
+            found = found.to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(lists)), sizes)[found >= 0]
+            out = np.zeros((len(lists), dimensions))
+            if len(rows):
+                met, starts, n = np.unique(rows, return_index=True, return_counts=True)
+                out[met] = np.add.reduceat(vectors[found[found >= 0]], starts, axis=0) / n[:, None]
+            values = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel().astype("float32")), dimensions)
+            arrays = [*[batch.column(k) for k in keys], values.cast(pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "embedding"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in listed.schema}
+    return listed.mapInArrow(mean, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", embedding array<float>")
 
 
 def _vectors_by_join(tokens: DataFrame, words: DataFrame, keys: list[str], dimensions: int) -> DataFrame:

@@ -131,12 +131,12 @@ area_of AS (SELECT *, substr(replace(postal, ' ', ''), 1, 3) AS area FROM places
 population AS (
   SELECT upper(area) AS geo, population, dwellings, occupied FROM (
     SELECT area, count(*) AS population, sum(c_nationkey) AS dwellings, sum(c_nationkey % 5) AS occupied
-    FROM area_of WHERE c_custkey % 4 <> 1 GROUP BY area) p WHERE length(area) = 3),
+    FROM (SELECT * REPLACE (CASE WHEN c_custkey % 4 = 1 THEN 'Y' || substr(area, 2) ELSE area END AS area) FROM area_of) moved GROUP BY area) p WHERE length(area) = 3),
 tax AS (
   SELECT upper(area) AS fsa, returns, income, net, taxable,
     CASE WHEN returns <> 0 THEN income * 1000 / returns END AS average FROM (
     SELECT area, sum(c_custkey % 3) AS returns, sum(c_custkey % 1000) AS income, sum(c_custkey % 900) AS net,
-      sum(c_custkey % 800) AS taxable FROM area_of WHERE c_custkey % 4 <> 2 GROUP BY area) t WHERE length(area) = 3),
+      sum(c_custkey % 800) AS taxable FROM (SELECT * REPLACE (CASE WHEN c_custkey % 4 = 2 THEN 'X' || substr(area, 2) ELSE area END AS area) FROM area_of) moved GROUP BY area) t WHERE length(area) = 3),
 areas AS (SELECT coalesce(geo, fsa) AS area, population, dwellings, occupied, returns, income, net, taxable, average
   FROM population FULL JOIN tax ON geo = fsa),
 lookup AS (SELECT * FROM areas WHERE regexp_matches(area, '^[A-Z][0-9][A-Z]$')
@@ -169,10 +169,10 @@ def area_lookup_query(spark, folder):
 GROUPED_AREAS = """
 customers AS (SELECT *, upper(substr(replace(postal, ' ', ''), 1, 3)) AS area FROM places),
 population AS (SELECT area, count(*) AS population, sum(c_nationkey) AS dwellings, sum(c_nationkey % 5) AS occupied
-  FROM customers WHERE c_custkey % 4 <> 1 AND length(area) = 3 GROUP BY area),
+  FROM (SELECT * REPLACE (CASE WHEN c_custkey % 4 = 1 THEN 'Y' || substr(area, 2) ELSE area END AS area) FROM customers) moved WHERE length(area) = 3 GROUP BY area),
 tax AS (SELECT area, sum(c_custkey % 3) AS returns, sum(c_custkey % 1000) AS income,
   CASE WHEN sum(c_custkey % 3) <> 0 THEN sum(c_custkey % 1000) * 1000 / sum(c_custkey % 3) END AS average
-  FROM customers WHERE c_custkey % 4 <> 2 AND length(area) = 3 GROUP BY area),
+  FROM (SELECT * REPLACE (CASE WHEN c_custkey % 4 = 2 THEN 'X' || substr(area, 2) ELSE area END AS area) FROM customers) moved WHERE length(area) = 3 GROUP BY area),
 areas AS (SELECT coalesce(p.area, t.area) AS area, population, dwellings, occupied, returns, income, average
   FROM population p FULL JOIN tax t ON p.area = t.area)
 """

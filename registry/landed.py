@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from gavelworks import schemas
+from gavelworks.functions import jsons
+from gavelworks.functions.sql import register_functions
 from gavelworks.operators import checks, summaries
 from gavelworks.session import shared_dir
 from gavelworks.sources import bindings, tables
 from gavelworks.sources import documents as docs
-from registry.common import ITEMS, query, r, rounded, with_
+from registry.auctions import PICKUP_NAMES
+from registry.common import ITEMS, ORACLE, query, r, rounded, with_
 from registry.documents import nested
 from registry.items import SALES, sale_rows
 
@@ -201,3 +204,28 @@ def distinct_counts_by_batch(spark, folder):
     return out.select(
         "column", "exact", close.cast("long").alias("close"), (F.col("distinct") == F.col("again")).cast("long").alias("same_in_any_order")
     )
+
+
+# ------------------------------------------------------------- table functions
+
+
+@query("sql_pickup_windows", ORACLE["auction_pickup_windows"])
+def sql_pickup_windows(spark, folder):
+    """Pickup windows of every auction, called from SQL text."""
+    register_functions(spark)
+    bindings.auctions(spark, folder).createOrReplaceTempView("landed_auctions")
+    out = spark.sql("SELECT auction_id, p.* FROM landed_auctions, LATERAL pickup_windows(auction_removal_info) AS p")
+    return rounded(out.toDF("auction_id", *PICKUP_NAMES), "auction_id")
+
+
+@query("sql_json_counts", ORACLE["item_list_counts"])
+def sql_json_counts(spark, folder):
+    """Entries or keys of every item's JSON columns, called from SQL text."""
+    register_functions(spark)
+    bindings.enriched_items(spark, folder).createOrReplaceTempView("landed_enriched_items")
+    calls, names = [], []
+    for i, (source, (out, keys)) in enumerate(jsons.LIST_COUNTS.items()):
+        calls.append(f"LATERAL json_counts(`{source}`) AS t{i}")
+        names.append(f"t{i}.{'keys' if keys else 'entries'} AS {out}")
+    counted = spark.sql(f"SELECT item_id, {', '.join(names)} FROM landed_enriched_items, {', '.join(calls)}")
+    return rounded(counted, "item_id")

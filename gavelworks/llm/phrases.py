@@ -34,8 +34,10 @@ BLANK = np.isin(np.arange(256), [32, 9])
 BATCH_BYTES = 1_000_000
 # Places of a table; its bitmap has 64 MB at most.
 LEAST_BITS, MOST_BITS = 20, 29
-# Bits of one value of Spark's bitmap functions.
-_PART = 32_768
+# Places that a task holds before it packs them, and places of a part of the table.
+MOST_HELD = 2_000_000
+_PART_BITS = 15
+_PART = 1 << _PART_BITS
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -103,29 +105,87 @@ class _Runs:
         return (np.concatenate(runs) >> self.shift).astype(np.int64)
 
 
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places with the sums of their counts."""
+    places, n = (np.concatenate(x) for x in zip(*counts))
+    order = np.argsort(places, kind="stable")
+    places, n = places[order], n[order]
+    if not len(places):
+        return places, n
+    starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    return places[starts], np.add.reduceat(n, starts)
+
+
+def _packed(places: np.ndarray, n: np.ndarray, least: int) -> pa.RecordBatch:
+    """Sorted places and their counts, a row for each part of the table; counts stop at ``least``, where they decide."""
+    part = places >> _PART_BITS
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    offsets = np.concatenate([starts, [len(part)]])
+    kind = np.uint8 if least < 256 else np.int64
+    inner = (places & (_PART - 1)).astype(np.uint16)
+    counts = np.minimum(n, least).astype(kind)
+
+    def binary(values: np.ndarray) -> pa.Array:
+        at = pa.py_buffer(offsets * values.itemsize)
+        whole = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, at, pa.py_buffer(values)])
+        return whole.cast(pa.binary())
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[starts], pa.int64()), binary(inner), binary(counts)], names=["part", "places", "counts"]
+    )
+
+
 def frequent_places(docs: DataFrame, least: int, bits: int, tables: list) -> np.ndarray:
     """The next table: a bit for every place whose runs occur ``least`` times together, ``2**MOST_BITS / 8`` bytes at most.
 
-    Without tables it counts words and pairs, with some it counts the runs of one more word than the last.
+    Without tables it counts words and pairs, with some it counts the runs of one more word than the last. A task packs
+    its counts by parts of the table, and each part is summed by one task, a row at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [t.value for t in tables]
+        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                places, n = np.unique(_Runs(part, known, bits).places(), return_counts=True)
-                # Spark's bitmaps begin at 1.
-                yield pa.RecordBatch.from_arrays([pa.array(places + 1), pa.array(n)], names=["place", "n"])
-
-    counts = docs.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    parts = (
-        counts.filter(F.col("n") >= least)
-        .groupBy(F.bitmap_bucket_number("place").alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    ).toArrow()
+                held.append(np.unique(_Runs(part, known, bits).places(), return_counts=True))
+                size += len(held[-1][0])
+                if size > MOST_HELD:
+                    places, n = _summed(held)
+                    # What hardly shrinks is sent on; else it is held with what comes.
+                    if len(places) > MOST_HELD // 2:
+                        yield _packed(places, n, least)
+                        places, n = places[:0], n[:0]
+                    held, size = [(places, n)], len(places)
+        yield _packed(*_summed(held), least)
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(_PART, np.int64)
+
+        def done() -> pa.RecordBatch:
+            packed = np.packbits(total >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([packed], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for part, inner, counts in zip(
+                batch.column("part").to_pylist(), batch.column("places"), batch.column("counts")
+            ):
+                if part != now:
+                    if now is not None and (total >= least).any():
+                        yield done()
+                    now = part
+                    total[:] = 0
+                kind = np.uint8 if least < 256 else np.int64
+                # Places are there once in a row.
+                total[np.frombuffer(inner.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), kind)
+        if now is not None and (total >= least).any():
+            yield done()
+
+    counted = docs.mapInArrow(count, "part long, places binary, counts binary")
+    ordered = counted.repartition("part").sortWithinPartitions("part")
+    parts = ordered.mapInArrow(sum_up, "part long, bits binary").toArrow()
     out = np.zeros(max(1 << bits, _PART) // 8, np.uint8)
     for part, value in zip(parts.column("part").to_pylist(), parts.column("bits")):
-        at = (part - 1) * (_PART // 8)
+        at = part * (_PART // 8)
         out[at : at + _PART // 8] = np.frombuffer(value.as_buffer(), np.uint8)
     return out
 

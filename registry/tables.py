@@ -790,12 +790,13 @@ def padded_bid_sequences_front(spark, folder):
       FROM bids GROUP BY item_id""",
 )
 def bid_features_at_close(spark, folder):
-    """The features of each item's last bid describe the whole item."""
+    """The features of each item's last bid, and of the last that was a new high, describe the whole item."""
     features = engineer_bid_features(bindings.bids(spark, folder), ["bid_id"], groups=["time_series", "bid_counts", "auction_progress"])
-    top = F.col("bid_amount") / F.col("current_to_highest_ratio")
+    # An amount of zero has no ratio to divide by; the last bid that was a new high needs none.
+    new_high = F.when(F.col("is_new_high") == 1, F.col("number_of_bids_so_far"))
     out = features.groupBy("item_id").agg(
         F.max("number_of_bids_so_far").alias("bids"),
-        F.max_by(top, "number_of_bids_so_far").alias("top_bid"),
+        F.max_by("bid_amount", new_high).alias("top_bid"),
         F.max("time_since_first_bid_seconds").alias("active_seconds"),
     )
     return rounded(out, "item_id")

@@ -77,12 +77,17 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)^\s+|\s+$", "")
 
 
+# ASCII without what opens markup, links, addresses and hyphens: in such texts a token is a run of word characters.
+PLAIN = r"^[\x00-\x7F&&[^<:@-]]*\z"
+
+
 def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS, remove_numbers: bool = True) -> Column:
     """Lower-case tokens without markup, links, addresses, punctuation, stopwords and single letters.
 
-    Hyphens inside words stay. NULL or blank text gives an empty array.
+    Hyphens inside words stay. NULL or blank text gives an empty array. Plain
+    texts, see ``PLAIN``, are split once and give what the patterns give.
     """
-    clean = F.lower(F.coalesce(text, F.lit("")))
+    lower = F.lower(F.coalesce(text, F.lit("")))
     # Patterns in the order in which they are blanked out.
     steps = [
         (r"<[^>]+>", " "),
@@ -94,9 +99,15 @@ def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS, remove_numbers: b
     ]
     if remove_numbers:
         steps.append((r"(?U)\b\d+\b", " "))
+    clean = lower
     for pattern, replacement in steps:
         clean = F.regexp_replace(clean, pattern, replacement)
-    words = F.split(clean, r"(?U)\s+")
+    between = r"(?:[^a-z0-9_]|\b[0-9]+\b)+" if remove_numbers else r"[^a-z0-9_]+"
+    spaced = F.when(lower.rlike(PLAIN), F.regexp_replace(lower, between, " ")).otherwise(
+        F.regexp_replace(clean, r"(?U)\s+", " ")
+    )
+    # Split at one plain character: any other pattern is compiled anew for every row.
+    words = F.split(spaced, " ")
     keep = list(stopwords)
     if keep:
         return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*keep))
@@ -115,7 +126,8 @@ def combined_text(title: Column, description: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated words."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")
+    return F.size(F.filter(F.split(spaced, " "), lambda w: w != ""))
 
 
 def clean_level(name: str, lower: bool = False) -> str:

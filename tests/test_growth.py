@@ -7,8 +7,11 @@ from datetime import datetime, timedelta
 
 import duckdb
 import oracle
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gavelworks.functions import text
 
 
 def test_close_of_items_with_bids_of_zero(spark, tmp_path):
@@ -22,3 +25,22 @@ def test_close_of_items_with_bids_of_zero(spark, tmp_path):
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     name = "bid_features_at_close"
     assert oracle.compare(spark, db, str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name]) == ""
+
+
+@pytest.mark.parametrize("remove_numbers", [True, False])
+def test_tokens_of_plain_texts_are_those_of_the_patterns(spark, remove_numbers):
+    draw = random.Random(5)
+    parts = ["Oak", "a", "12", "7_b", "x1", "the", "It's", "#", "_", " ", "\t", "\n", "\x1f", "\x00", ".", ",", "$9", "-", "<b>", "me@x", "http://a"]
+    texts = ["".join(draw.choice(parts) + draw.choice(["", " ", "  "]) for _ in range(draw.randrange(9))) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    # A letter beyond ASCII sends a text through all patterns, and is itself too short to be a token.
+    both = [text.tokens(c, remove_numbers=remove_numbers) for c in (F.col("t"), F.concat("t", F.lit(" \u00e9")))]
+    for t, plain, through_patterns in frame.select("t", both[0].alias("a"), both[1].alias("b")).collect():
+        # A hyphen at the very end is the one mark that what follows changes.
+        assert plain == through_patterns or t.endswith("-"), t
+
+
+def test_tokens_are_split_at_one_character(spark):
+    """Spark hands other patterns to a split that compiles them for every row."""
+    plan = spark.range(1).select(text.tokens(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert ",  , -1)" in plan and "\\s+, -1" not in plan

@@ -22,13 +22,15 @@ def json_count(text: Column, count_keys: bool = False) -> Column:
     value counts 1 unless it is an empty one; text that is not JSON counts 1
     unless blank; NULL and the placeholder spellings count 0.
     """
-    body = F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    body = F.trim(text, F.lit(" \t\n\r"))
     junk = F.lit(1)
-    valid = F.try_parse_json(text).isNotNull()
-    as_list = F.when(valid, F.coalesce(F.json_array_length(text), junk)).otherwise(junk)
+    # The lenient count comes first: where it is NULL the product is, and the strict reading, whose
+    # refusals are dear, is not tried.
+    valid = F.when(F.try_parse_json(text).isNotNull(), 1)
+    as_list = F.coalesce(F.json_array_length(text) * valid, junk)
     as_object = junk
     if count_keys:
-        as_object = F.when(valid, F.coalesce(F.size(F.json_object_keys(text)), junk)).otherwise(junk)
+        as_object = F.coalesce(F.array_size(F.json_object_keys(text)) * valid, junk)
     return (
         F.when(text.isNull() | text.isin("", "nan", "None"), 0)
         .when(body.startswith("["), as_list)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gavelworks.functions import text
+from gavelworks.functions import jsons, text
 
 
 def test_close_of_items_with_bids_of_zero(spark, tmp_path):
@@ -44,3 +44,11 @@ def test_tokens_are_split_at_one_character(spark):
     """Spark hands other patterns to a split that compiles them for every row."""
     plan = spark.range(1).select(text.tokens(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert ",  , -1)" in plan and "\\s+, -1" not in plan
+
+
+def test_json_that_only_a_lenient_reader_takes(spark):
+    cases = {"[1, 2": (1, 1), "[1, 2] x": (2, 2), "['a', 'b']": (1, 1), "[1, 2]": (2, 2), " \n[1,2,3]\t": (3, 3), '{"a": 1} {': (1, 1),
+             "{'a': 1, 'b': 2}": (1, 1), '{"a": 1, "b": 2}': (1, 2), '{"a": 1, "a": 2}': (1, 1), "[]": (0, 0), "{}": (1, 0), "[1]],[2": (1, 1)}
+    frame = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r[0]: (r[1], r[2]) for r in frame.select("t", jsons.json_count(F.col("t")), jsons.json_count(F.col("t"), True)).collect()}
+    assert got == cases

@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelworks.functions.text import STOPWORDS, title_and_description_tokens
-from gavelworks.operators.joins import left_join, not_done
+from gavelworks.operators.joins import KEY_LIMIT, left_join, not_done
 from gavelworks.session import written
 
 DIMENSIONS = 100
 # Largest vocabulary, in bytes of vectors, that is sent to every worker.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# A word is frequent if it makes up more than one in this many of all words, so there are fewer frequent ones than that.
+FREQUENT = 4096
+# Documents whose vectors are gathered at once.
+BLOCK = 1024
 # Words whose neighbours show whether the vectors make sense.
 SAMPLE_WORDS = ["furniture", "antique", "vintage", "table", "chair", "collectible"]
 
@@ -74,39 +78,56 @@ def document_vectors(
     keys: Sequence[str] = ("auction_id", "item_id"),
     dimensions: int = DIMENSIONS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
     """Mean vector of each document's known tokens; zeros when it has none, or when its tokens are missing.
 
     Each row has a vector of its own, also where keys repeat.
 
     A vocabulary that fits ``broadcast_bytes`` goes to every worker, and the
-    documents are not shuffled at all. A larger one is joined.
+    documents are not shuffled at all. Of a larger one only the words that make
+    up more than one in ``frequent`` of all words do, and the others are joined.
     """
     if words.count() * dimensions * 8 <= broadcast_bytes:
         return _vectors_by_lookup(tokens, words, list(keys), dimensions)
-    return _vectors_by_join(tokens, words, list(keys), dimensions)
+    return _vectors_by_join(tokens, words, list(keys), dimensions, frequent)
+
+
+def _sums(lists: pa.Array, known: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the vectors of each list's known words, and how many those are."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    found = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=known), -1)
+    found = found.to_numpy(zero_copy_only=False)
+    n = np.bincount(np.repeat(np.arange(len(lists)), sizes)[found >= 0], minlength=len(lists))
+    met, found = np.flatnonzero(n), found[found >= 0]
+    ends = np.cumsum(n[met])
+    starts = ends - n[met]
+    out = np.zeros((len(lists), vectors.shape[1]))
+    for at in range(0, len(met), BLOCK):
+        begin, some = starts[at], slice(at, at + BLOCK)
+        out[met[some]] = np.add.reduceat(vectors[found[begin : ends[some][-1]]], starts[some] - begin, axis=0)
+    return out, n
 
 
 def _vectors_by_lookup(tokens: DataFrame, words: DataFrame, keys: list[str], dimensions: int) -> DataFrame:
+    """Means from a table that every worker has. The mean of other words, and their number, may come as ``_mean`` and ``_n``."""
     table = words.select("word", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
     spelled = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.string())
     flat = table.column("vector").combine_chunks().flatten() if table.num_rows else pa.array([], pa.float64())
     matrix = np.array(flat).reshape(-1, dimensions)
     shared = tokens.sparkSession.sparkContext.broadcast((spelled, matrix))
-    listed = tokens.select(*keys, "tokens")
+    others = "_mean" in tokens.columns
+    listed = tokens.select(*keys, "tokens", *(["_mean", "_n"] if others else []))
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors = shared.value
         for batch in batches:
-            lists = batch.column("tokens")
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            found = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=known), -1)
-            found = found.to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(len(lists)), sizes)[found >= 0]
-            out = np.zeros((len(lists), dimensions))
-            if len(rows):
-                met, starts, n = np.unique(rows, return_index=True, return_counts=True)
-                out[met] = np.add.reduceat(vectors[found[found >= 0]], starts, axis=0) / n[:, None]
+            out, n = _sums(batch.column("tokens"), *shared.value)
+            if others:
+                more = pc.fill_null(batch.column("_n"), 0).to_numpy(zero_copy_only=False)
+                means = np.array(batch.column("_mean").drop_null().flatten()).reshape(-1, dimensions)
+                out[more > 0] += means * more[more > 0, None]
+                n = n + more
+            out /= np.maximum(n, 1)[:, None]
             values = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel().astype("float32")), dimensions)
             arrays = [*[batch.column(k) for k in keys], values.cast(pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "embedding"])
@@ -115,23 +136,32 @@ def _vectors_by_lookup(tokens: DataFrame, words: DataFrame, keys: list[str], dim
     return listed.mapInArrow(mean, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", embedding array<float>")
 
 
-def _vectors_by_join(tokens: DataFrame, words: DataFrame, keys: list[str], dimensions: int) -> DataFrame:
-    """Repeats inside a document are counted before the join, and frequent words
-    are salted in it. The mean is a weighted sum that Spark combines map-side,
-    so no document's vectors are ever collected.
+def _vectors_by_join(
+    tokens: DataFrame, words: DataFrame, keys: list[str], dimensions: int, frequent: int
+) -> DataFrame:
+    """Frequent words are looked up where the documents lie; the others, counted
+    inside each document, are joined and bring their vectors along. So what is
+    moved is the vectors of rare words only, and no word is too much for a task.
     """
     # Numbered as they are written, so that rows of the same key stay apart.
     docs = written(tokens.select(*keys, "tokens").withColumn("_row", F.monotonically_increasing_id()), "documents")
+    counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("_words"))
+    known = words.select("word", F.col("vector").cast("array<double>").alias("vector"))
+    met = written(counts.join(known, "word", "left"), "words")
+    total = met.agg(F.sum("_words")).first()[0] or 0
+    often = F.col("_words") > min(total / frequent, KEY_LIMIT)
+    has_vector = F.col("vector").isNotNull()
+    looked_up, rare = met.filter(often & has_vector), met.filter(~often & has_vector)
+    if rare.isEmpty():
+        return _vectors_by_lookup(docs, looked_up, keys, dimensions)
     words_in = docs.select("_row", F.explode("tokens").alias("word"))
-    counted = written(words_in.groupBy("_row", "word").agg(F.count("*").alias("_n")), "words")
-    known = words.select("word", array_to_vector(F.col("vector").cast("array<double>")).alias("_vector"))
-    met = left_join(counted, known, ["word"]).filter(F.col("_vector").isNotNull())
-    means = met.groupBy("_row").agg(
-        vector_to_array(Summarizer.mean(F.col("_vector"), F.col("_n").cast("double"))).alias("_mean")
+    words_in = words_in.join(F.broadcast(met.filter(often).select("word")), "word", "left_anti")
+    counted = words_in.groupBy("_row", "word").agg(F.count("*").cast("double").alias("_times"))
+    vectors = counted.join(rare.select("word", array_to_vector("vector").alias("_vector")), "word")
+    means = vectors.groupBy("_row").agg(
+        vector_to_array(Summarizer.mean(F.col("_vector"), F.col("_times"))).alias("_mean"), F.sum("_times").alias("_n")
     )
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    embedding = F.coalesce(F.col("_mean"), zeros).cast("array<float>")
-    return docs.select(*keys, "_row").join(means, "_row", "left").select(*keys, embedding.alias("embedding"))
+    return _vectors_by_lookup(docs.join(means, "_row", "left"), looked_up, keys, dimensions)
 
 
 def embed_new_items(items: DataFrame, words: DataFrame, done: DataFrame | None, path: str, dimensions: int) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gavelworks.functions import jsons, text
+from gavelworks.operators import embeddings
 
 
 def test_close_of_items_with_bids_of_zero(spark, tmp_path):
@@ -52,3 +53,29 @@ def test_json_that_only_a_lenient_reader_takes(spark):
     frame = spark.createDataFrame([(t,) for t in cases], "t string")
     got = {r[0]: (r[1], r[2]) for r in frame.select("t", jsons.json_count(F.col("t")), jsons.json_count(F.col("t"), True)).collect()}
     assert got == cases
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 20, 4096])
+def test_vectors_of_frequent_and_rare_words(spark, frequent):
+    draw = random.Random(3)
+    words = [(f"w{i}", [float(i), float(i * i)]) for i in range(12)]
+    lists = [[draw.choice(["w0", "w0", "w1", "none", None] + [w for w, _ in words]) for _ in range(draw.randrange(7))] for _ in range(90)]
+    rows = [(i // 2, i, t) for i, t in enumerate([*lists, None])]
+    docs = spark.createDataFrame(rows, "auction_id long, item_id long, tokens array<string>")
+    table = spark.createDataFrame([*words, ("w99", [1.0, 1.0])], "word string, vector array<float>")
+    got = embeddings.document_vectors(docs, table, dimensions=2, broadcast_bytes=0, frequent=frequent).collect()
+    known, want = dict(words), {}
+    for _, item, listed in rows:
+        met = [known[w] for w in listed or [] if w in known]
+        want[item] = [sum(v[d] for v in met) / max(len(met), 1) for d in range(2)]
+    assert len(got) == len(rows)
+    for row in got:
+        assert list(row.embedding) == pytest.approx(want[row.item_id], rel=1e-5), row
+
+
+def test_frequent_words_bring_no_vectors_along(spark):
+    docs = spark.createDataFrame([(i, i, ["oak", "chair"]) for i in range(40)], "auction_id long, item_id long, tokens array<string>")
+    table = spark.createDataFrame([("oak", [1.0]), ("chair", [3.0])], "word string, vector array<float>")
+    out = embeddings.document_vectors(docs, table, dimensions=1, broadcast_bytes=0)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.embedding[0] for r in out.collect()} == {2.0}

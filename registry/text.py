@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gavelworks.functions.text import STOPWORDS, normalise, tokens
 from gavelworks.operators import embeddings, joins, predictions, splits, subwords
-from gavelworks.session import shared_dir, spread
+from gavelworks.session import shared_dir, spread, written
 from gavelworks.sources import bindings
 from registry.common import ITEMS, ORACLE, query, r, rounded, with_
 
@@ -216,7 +216,8 @@ def item_features_with_vectors(spark, folder):
 
 
 def subword_model(spark, folder):
-    listed = embeddings.item_tokens(bindings.items(spark, folder))
+    # Read by training, for its words and its epochs, and for the vectors.
+    listed = written(embeddings.item_tokens(bindings.items(spark, folder)), "tokens")
     model = subwords.train_subword_vectors(listed, dimensions=16, epochs=1, buckets=1 << 12)
     return listed, model
 
@@ -254,7 +255,8 @@ def subword_vocabulary(spark, folder):
 @query("trained_word_vectors")
 def trained_word_vectors(spark, folder):
     """Vectors trained on the item texts, and each item's mean of them. No SQL twin: training is iterative."""
-    listed = embeddings.item_tokens(bindings.items(spark, folder))
+    # Read twice by training, and for the vectors.
+    listed = written(embeddings.item_tokens(bindings.items(spark, folder)), "tokens")
     words = embeddings.train_word_vectors(embeddings.training_corpus(listed), dimensions=16, epochs=1, partitions=8)
     return embeddings.document_vectors(listed, words, dimensions=16)
 

@@ -20,6 +20,7 @@ from gavelworks.schemas import (
     DESCRIPTION_JSON_FIELDS,
     ITEM_FIELDS,
 )
+from gavelworks.session import written
 
 DOC = "_doc"
 
@@ -235,16 +236,15 @@ def flat_records(docs: DataFrame) -> dict[str, DataFrame]:
     return {"auctions": auctions, "items": items, "bids": bids}
 
 
-def write_flat_records(docs: DataFrame, folder: str, batch: str) -> dict[str, str]:
-    """Three Parquet datasets from one parse of the documents."""
-    docs = docs.persist()
+def write_flat_records(docs: DataFrame, folder: str, batch: str, lines: str | None = None) -> dict[str, str]:
+    """Three Parquet datasets from one parse of the documents, and the documents as JSON lines if ``lines`` says where."""
+    docs = written(docs, "parsed")
     paths = {}
-    try:
-        for name, df in flat_records(docs).items():
-            paths[name] = f"{folder}/{name}_{batch}"
-            df.write.mode("overwrite").parquet(paths[name])
-    finally:
-        docs.unpersist()
+    for name, df in flat_records(docs).items():
+        paths[name] = f"{folder}/{name}_{batch}"
+        df.write.mode("overwrite").parquet(paths[name])
+    if lines is not None:
+        write_documents(docs, lines)
     return paths
 
 

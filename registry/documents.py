@@ -166,9 +166,7 @@ def nested_records_written(spark, folder):
     import uuid
 
     root = f"{shared_dir(spark)}/nested-{uuid.uuid4().hex}"
-    parsed = nested(spark, folder)
-    paths = docs.write_flat_records(parsed, root, "batch_0000")
-    docs.write_documents(parsed, f"{root}/json")
+    paths = docs.write_flat_records(nested(spark, folder), root, "batch_0000", lines=f"{root}/json")
     counted = [
         spark.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         for name, path in paths.items()

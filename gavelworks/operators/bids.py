@@ -324,7 +324,9 @@ def engineer_bid_features(
     """All bid features of the chosen groups, next to the input columns.
 
     Items with more than ``item_limit`` bids are spread over many tasks; see
-    ``gavelworks.operators.long_items``. Both paths give the same values.
+    ``gavelworks.operators.long_items``. Both paths give the same values. A
+    chunk of an item has no more rows than a Python worker should hold, also
+    where the caller's limit is higher.
     """
     unknown = set(groups) - set(GROUPS)
     if unknown:
@@ -338,5 +340,5 @@ def engineer_bid_features(
         return out
     from gavelworks.operators.long_items import chunked
 
-    large = chunked(parts.large, groups, order, parts.large_rows, item_limit)
+    large = chunked(parts.large, groups, order, parts.large_rows, min(item_limit, GROUP_LIMIT))
     return out.unionByName(finish(large, original, groups, starting_bid))

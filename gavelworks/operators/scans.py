@@ -161,6 +161,8 @@ def grouped_median(
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    # Read for the totals, for the sizes and for either kind of group, so written once.
+    counts = written(counts, "counts")
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     parts = split_by_size(counts, keys, limit)
     order = [F.col(value).asc()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gavelworks.functions import jsons, text
-from gavelworks.operators import embeddings
+from gavelworks.operators import bids, embeddings, long_items, scans
+from gavelworks.sources import documents
 
 
 def test_close_of_items_with_bids_of_zero(spark, tmp_path):
@@ -79,3 +81,46 @@ def test_frequent_words_bring_no_vectors_along(spark):
     out = embeddings.document_vectors(docs, table, dimensions=1, broadcast_bytes=0)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.embedding[0] for r in out.collect()} == {2.0}
+
+
+def test_chunks_of_a_long_item_do_not_grow_with_the_callers_limit(spark, monkeypatch):
+    limits = []
+    chunked = long_items.chunked
+    monkeypatch.setattr(long_items, "chunked", lambda *a: limits.append(a[-1]) or chunked(*a))
+    monkeypatch.setattr(bids, "GROUP_LIMIT", 12)
+    frame = spark.range(60).select(
+        F.lit(1).alias("item_id"), F.col("id").alias("bid_id"), F.timestamp_seconds("id").alias("bid_time"), (F.col("id") * 7 % 11).cast("double").alias("bid_amount")
+    )
+    got = [
+        sorted(map(tuple, bids.engineer_bid_features(frame, ["bid_id"], groups=["bid_amounts"], item_limit=n).select("bid_id", "bid_amount_relative_to_median").collect()))
+        for n in (100, 50)
+    ]
+    assert limits == [12] and got[0] == got[1]
+
+
+class Counted:
+    """How often a column of a frame is worked out."""
+
+    def __init__(self, spark):
+        self.calls = spark.sparkContext.accumulator(0)
+
+    def column(self, c, kind):
+        calls = self.calls
+        return F.udf(lambda x: calls.add(1) or x, kind).asNondeterministic()(c)
+
+
+@pytest.mark.parametrize("limit", [5, 1000])
+def test_medians_read_their_rows_once(spark, limit):
+    counted = Counted(spark)
+    rows = spark.range(1, 41, numPartitions=2).select((F.col("id") % 2).alias("k"), counted.column(F.col("id") * 1.0, "double").alias("v"))
+    got = {r.k: r.m for r in scans.grouped_median(rows, ["k"], "v", "m", limit=limit).collect()}
+    assert got == {0: 21.0, 1: 20.0} and counted.calls.value == 40
+
+
+def test_nested_records_are_parsed_once(spark, tmp_path):
+    counted = Counted(spark)
+    bodies = [json.dumps({"auction_id": i, "items": [{"item_id": i, "bids": [{"bid_id": f"{i}-1", "amount": 1.0}]}]}) for i in range(7)]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string").select(counted.column(F.col("body"), "string").alias("body"))
+    paths = documents.write_flat_records(documents.typed_documents(frame), str(tmp_path), "b", lines=f"{tmp_path}/json")
+    assert {name: spark.read.parquet(path).count() for name, path in paths.items()} == {"auctions": 7, "items": 7, "bids": 7}
+    assert spark.read.text(f"{tmp_path}/json").count() == 7 and counted.calls.value == 7

@@ -248,9 +248,9 @@ def write_flat_records(docs: DataFrame, folder: str, batch: str, lines: str | No
     return paths
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Nested documents as JSON lines."""
-    docs.write.mode("overwrite").json(path)
+def write_documents(docs: DataFrame, path: str, compression: str = "none") -> None:
+    """Nested documents as JSON lines, one file for each task; Spark reads compressed ones by their names."""
+    docs.write.mode("overwrite").json(path, compression=compression)
 
 
 def collection_totals(requested: DataFrame, docs: DataFrame) -> DataFrame:

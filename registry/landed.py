@@ -117,7 +117,7 @@ def landed_enriched_items(spark, folder):
 def documents_as_json(spark, folder):
     """Nested documents written as JSON lines, read back under their schema, down to the bids."""
     path = folder_of(spark, "json")
-    docs.write_documents(nested(spark, folder), path)
+    docs.write_documents(nested(spark, folder), path, compression="gzip")
     back = spark.read.schema(schemas.AUCTION_DOCUMENT).json(path)
     records = docs.flat_records(back)
     bids = records["bids"].groupBy("item_id").agg(F.count("*").alias("bids"))

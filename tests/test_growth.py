@@ -124,3 +124,13 @@ def test_nested_records_are_parsed_once(spark, tmp_path):
     paths = documents.write_flat_records(documents.typed_documents(frame), str(tmp_path), "b", lines=f"{tmp_path}/json")
     assert {name: spark.read.parquet(path).count() for name, path in paths.items()} == {"auctions": 7, "items": 7, "bids": 7}
     assert spark.read.text(f"{tmp_path}/json").count() == 7 and counted.calls.value == 7
+
+
+def test_documents_as_compressed_lines(spark, tmp_path):
+    frame = documents.typed_documents(spark.createDataFrame([(f'{{"auction_id": {i}, "title": "t"}}',) for i in range(500)], "body string"))
+    sizes = {}
+    for how in ("none", "gzip"):
+        documents.write_documents(frame, f"{tmp_path}/{how}", compression=how)
+        assert spark.read.schema(frame.schema).json(f"{tmp_path}/{how}").exceptAll(frame).isEmpty()
+        sizes[how] = sum(f.stat().st_size for f in (tmp_path / how).glob("part-*"))
+    assert sizes["gzip"] * 4 < sizes["none"]

@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelworks.llm.components import components
-from gavelworks.llm.words import shingle_sets, slices
-from gavelworks.session import written
+from gavelworks.llm.words import SMALL_BYTES, shingle_sets, slices
+from gavelworks.session import arrow_batches, written
 
 # Frequent shingles that are told apart by count, and the count from which they are looked at.
 HEAVY = 65_536
@@ -42,6 +42,8 @@ STAR_ROUNDS = 2
 # Lists of a group by which a pair tells whether it is made elsewhere.
 FIRST_LISTS = 32
 MAPS = 8  # longs of the small parity map, which every set has
+# Bytes of texts that go to a Python worker at once; they are held there and, several times, beside the heap of an executor.
+BATCH_BYTES = 4_000_000
 # Buckets of the filter that keeps texts of tested classes; a fixed size, 65,536 rows of 64 bits.
 FILTER_BITS = 22
 
@@ -56,7 +58,8 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = {s.tobytes(): s for s in shingle_sets(part.column("text"), n)}
+                small = slices(part, "text", SMALL_BYTES)
+                sets = {s.tobytes(): s for some in small for s in shingle_sets(some.column("text"), n)}
                 found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
                 many = times > 1
                 yield pa.record_batch([found[many].view(np.int64), times[many]], names=["shingle", "n"])
@@ -80,7 +83,7 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, n: int, per_hundred: int) -> DataFrame:
-    """Per row of ``doc_id, text, key``: set size, class, group, prefix and parity maps.
+    """Per row of ``doc_id, text, key``: set size, digests of set and group, prefix and parity maps.
 
     The large map has about as many bits as the set has shingles, and is empty
     where the small one has them already.
@@ -90,7 +93,7 @@ def signatures(docs: DataFrame, n: int, per_hundred: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, times = frequent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_BYTES):
                 sizes, classes, groups, prefixes, maps, large = [], [], [], [], [], []
                 for s in shingle_sets(part.column("text"), n):
                     size = len(s)
@@ -111,11 +114,11 @@ def signatures(docs: DataFrame, n: int, per_hundred: int) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("key"), pa.array(sizes, pa.int64())]
                 columns += [pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), _lists(prefixes), _lists(large)]
                 columns += [pa.array(maps[:, k]) for k in range(MAPS)]
-                yield pa.record_batch(columns, names=[*"doc_id key n class group prefix large".split(), *map_names])
+                yield pa.record_batch(columns, names=[*"doc_id key n digest group prefix large".split(), *map_names])
 
     map_names = [f"m{k}" for k in range(MAPS)]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kinds = f"doc_id {id_type}, key long, n long, class binary, group binary, prefix array<long>, large array<long>"
+    kinds = f"doc_id {id_type}, key long, n long, digest binary, group binary, prefix array<long>, large array<long>"
     return docs.mapInArrow(sign, kinds + "".join(f", {m} long" for m in map_names))
 
 
@@ -182,9 +185,9 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per_h
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text_b"):
+            for part in slices(batch, "text_b", SMALL_BYTES):
                 rights = shingle_sets(part.column("text_b"), n)
                 good = []
                 names = part.column("a").to_pylist()
@@ -196,7 +199,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per_h
                     good.append(100 * shared >= per_hundred * (len(left) + len(right) - shared))
                 yield pa.record_batch([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-    return written(both.mapInArrow(test, "a binary, b binary"), "links")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return written(both.mapInArrow(test, "a long, b long"), "links")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -232,33 +236,37 @@ def jaccard_components(
     docs = docs.withColumn("key", F.xxhash64("text"))
     # Numbered as they are written: the numbers stay what they are.
     number = F.monotonically_increasing_id()
-    signed = written(signatures(docs, words, per_hundred).withColumn("row", number), "signed")
+    with arrow_batches(spark, BATCH_BYTES):
+        signed = written(signatures(docs, words, per_hundred).withColumn("row", number), "signed")
     maps = [f"m{k}" for k in range(MAPS)]
-    chosen = signed.filter(F.col("n") > 0).groupBy("class").agg(F.min("row").alias("row")).select("row")
-    classes = written(signed.drop("prefix").join(chosen, "row"), "classes")
+    # A class is named by the first of its rows: as a number it is short, and its smallest is found without sorting.
+    named = signed.filter(F.col("n") > 0).groupBy("digest")
+    named = written(named.agg(F.min("row").alias("class"), F.min("doc_id").alias("least")), "named")
+    classes = signed.drop("prefix", "digest").withColumnRenamed("row", "class").join(named.select("class"), "class")
+    classes = written(classes, "classes")
 
     # Groups: classes with identical prefix and size; the centre's map, and how far members are from it.
     centres = classes.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("members"))
-    centres = centres.join(classes.select("class", "row", "n", *maps), "class").withColumn("gid", number)
+    centres = centres.join(classes.select("class", "n", *maps), "class").withColumnRenamed("class", "gid")
     centres = written(centres, "centres")
     gids = centres.select("group", "gid")
     member = written(classes.select("class", "group", "n", *maps).join(gids, "group").drop("group"), "members")
     several = centres.filter(F.col("members") > 1)
     inner = written(
         member.alias("m").join(several.alias("c"), "gid").select(
-            "gid", F.col("c.class").alias("a"), F.col("m.class").alias("b"), _distance("m", "c").alias("far")
+            "gid", F.col("gid").alias("a"), F.col("m.class").alias("b"), _distance("m", "c").alias("far")
         ),
         "inner",
     )
     radius = inner.groupBy("gid").agg(F.max("far").alias("radius"))
-    groups = centres.select("gid", "class", "n", *maps).join(radius, "gid", "left")
+    groups = centres.select("gid", "n", *maps).join(radius, "gid", "left")
     groups = written(groups.withColumn("radius", F.coalesce("radius", F.lit(0))), "groups")
 
     # Shingles in the prefixes of at least two groups. Those that the same groups hold are one list: a pair that shares a
     # passage is then found once, not once a word. The long table of groups and shingles moves once, and all three reads of
     # it take what was moved.
     gid = F.col("gid")
-    prefixes = signed.select("row", "prefix").join(centres.select("row", "gid"), "row")
+    prefixes = signed.select(F.col("row").alias("gid"), "prefix").join(centres.select("gid"), "gid")
     listed = prefixes.select("gid", F.explode("prefix").alias("shingle")).repartition("shingle")
     alike = listed.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64(gid)).alias("x"), F.bit_xor(F.xxhash64(gid, F.lit(1))).alias("y")
@@ -270,19 +278,22 @@ def jaccard_components(
 
     # Star rounds: each group of a list that spans components with one of another component, members of a group with its
     # centre. A cluster of near copies becomes one component after as many tests as it has members.
-    none = spark.createDataFrame([], "a binary, b binary")
-    tested, links = none, none
-    found = spark.createDataFrame([], "node binary, component binary")
+    # Empty tables of ``range``: those of ``createDataFrame`` start Python workers of their own, which stay.
+    no_row = spark.range(0)
+    tested = links = no_row.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    found = no_row.select(F.col("id").alias("node"), F.col("id").alias("component"))
     for turn in range(STAR_ROUNDS):
         rows = _across_components(lists, member, found)
-        ends = rows.groupBy("list").agg(F.min(F.struct("low", "gid")).alias("e"), F.max(F.struct("low", "gid")).alias("f"))
-        other = F.when(F.col("low") == F.col("e.low"), F.col("f.gid")).otherwise(F.col("e.gid"))
+        ends = rows.groupBy("list").agg(
+            F.min("low").alias("e"), F.min_by("gid", "low").alias("e_gid"), F.max_by("gid", "low").alias("f_gid")
+        )
+        other = F.when(F.col("low") == F.col("e"), F.col("f_gid")).otherwise(F.col("e_gid"))
         stars = rows.join(ends, "list").select("gid", other.alias("other")).filter(gid != F.col("other")).distinct()
         stars = (
             stars.join(groups.alias("a"), stars["gid"] == F.col("a.gid"))
             .join(groups.alias("b"), stars["other"] == F.col("b.gid"))
             .filter(_fits("a", "b", per_hundred))
-            .select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"))
+            .select(F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b"))
         )
         if not turn:
             stars = stars.unionByName(inner.filter(F.col("a") != F.col("b")).select("a", "b"))
@@ -297,7 +308,7 @@ def jaccard_components(
     # Group pairs across components.
     rows = _across_components(lists, member, found)
     firsts = rows.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list("list")), 1, FIRST_LISTS).alias("first"))
-    rows = written(rows.drop("low").join(groups.drop("class").join(firsts, "gid"), "gid"), "crossing")
+    rows = written(rows.drop("low").join(groups.join(firsts, "gid"), "gid"), "crossing")
     member = written(_labelled(member, found), "labelled")
     left, right = rows.alias("a"), rows.alias("b")
     apart = F.coalesce(F.col("a.component") != F.col("b.component"), F.lit(True))
@@ -329,7 +340,7 @@ def jaccard_components(
 
     # One pair of each two components, then those that still cross.
     picked = written(
-        crossing.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "picked"
+        crossing.groupBy("low", "high").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b"), "picked"
     )
     new = _linked(picked, classes, docs, words, per_hundred)
     if not new.isEmpty():
@@ -349,12 +360,11 @@ def jaccard_components(
         found = components(links.unionByName(new))
 
     # The smallest id of each component, for every row.
-    rows = signed.select("doc_id", "key", "n", "class")
-    least = rows.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"))
-    least = written(_labelled(least, found), "least")
+    rows = signed.select("doc_id", "key", "n", "digest")
+    least = written(_labelled(named, found), "least")
     whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = written(least.join(whole, "component").select("class", "component_id"), "names")
-    with_words = rows.filter(F.col("n") > 0).join(names, "class")
+    names = written(least.join(whole, "component").select("digest", "component_id"), "names")
+    with_words = rows.filter(F.col("n") > 0).join(names, "digest")
     without = rows.filter(F.col("n") == 0).withColumn("component_id", F.col("doc_id"))
     return with_words.unionByName(without.select(with_words.columns)).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "key"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelworks.llm.words import mixed, slices, words_of
+from gavelworks.llm.words import SMALL_BYTES, mixed, slices, words_of
 
 SAMPLE = 3000
 BITS = 20
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weight[used] = values
         keep = weight != 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_BYTES):
                 text, feature = text_features(part.column("text"), keep)
                 total = np.bincount(text, weight[feature], minlength=len(part)) + intercept
                 total = 1 / (1 + np.exp(-np.clip(total, -500, 500)))

@@ -17,6 +17,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 # Texts taken together: bounds the memory of the numbers made of them.
 BATCH_BYTES = 1_000_000
+# The same where workers share an executor with large joins: what a worker once took it keeps, also while it is idle.
+SMALL_BYTES = 250_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # A fixed random number for each byte, and for each place in a shingle.

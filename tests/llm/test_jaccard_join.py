@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gavelworks.llm import jaccard_join
 from gavelworks.llm.components import components
 from gavelworks.llm.jaccard_join import jaccard_components, one_of_each
 
@@ -97,3 +98,23 @@ def test_the_join_stays_small_in_a_cluster(spark):
         rows.append((i, " ".join(own)))
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
     assert got.agg(F.count_distinct("component_id")).first()[0] == 1
+
+
+def test_small_steps_for_executors(spark, monkeypatch):
+    """Classes are numbers, texts go to Python in bounded batches, and no empty table starts workers of its own."""
+    steps, limit = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, write = spark.conf.get(limit), jaccard_join.written
+
+    def spied(df, name):
+        steps.append((name, dict(df.dtypes), spark.conf.get(limit)))
+        return write(df, name)
+
+    frame = spark.createDataFrame(near_copies(4), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "written", spied)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("Python workers for an empty table"))
+    jaccard_components(frame, 4, 85)
+    assert {name for name, _, _ in steps} >= {"signed", "classes", "members", "lists", "stars", "links", "least"}
+    for name, kinds, most in steps:
+        assert "binary" not in {kinds.get(c) for c in ("a", "b", "class", "component", "low", "high", "gid")}, name
+        assert name not in ("signed", "links") or int(most) <= jaccard_join.BATCH_BYTES
+    assert spark.conf.get(limit) == before

@@ -270,10 +270,13 @@ def auction_documents(spark: SparkSession, folder: str) -> DataFrame:
             F.col("item_bidding_extended").alias("bidding_extended"),
         )
     )
-    body = F.concat(F.substr(fields, F.lit(1), F.length(fields) - 1), F.lit(', "images": '), _image_json(), F.lit("}"))
+    # The text of the fields is used twice, so it is a column of its own.
+    without_end = F.expr("substr(fields, 1, length(fields) - 1)")
+    body = F.concat(without_end, F.lit(', "images": '), _image_json(), F.lit("}"))
     part = F.floor((F.col("item_lot_number") - 1) / 50)
     listed = (
         items(spark, folder)
+        .withColumn("fields", fields)
         .groupBy("auction_id", part.alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("item_lot_number", body.alias("body")))).alias("lots"))
     )

@@ -42,13 +42,14 @@ def _at(doc: Column, path: str, kind: str) -> Column:
 
 def _listed(doc: Column, path: str) -> Column:
     """Elements of a list, or of an object in the order of its numeric keys."""
-    fields = _at(doc, path, "map<string,variant>")
-    keys = F.array_sort(
-        F.transform(F.map_keys(fields), lambda k: F.struct(k.try_cast("long").alias("n"), k.alias("k")))
-    )
-    return F.coalesce(
-        _at(doc, path, "array<variant>"), F.transform(keys, lambda k: F.element_at(fields, k["k"]))
-    )
+
+    def in_order(fields: Column) -> Column:
+        keys = F.transform(F.map_keys(fields), lambda k: F.struct(k.try_cast("long").alias("n"), k.alias("k")))
+        return F.transform(F.array_sort(keys), lambda k: F.element_at(fields, k["k"]))
+
+    # The object is read once, as the only element of an array, and not again for each of its keys.
+    once = F.transform(F.array(_at(doc, path, "map<string,variant>")), in_order)
+    return F.coalesce(_at(doc, path, "array<variant>"), F.get(once, 0))
 
 
 def document_items(doc: Column) -> Column:
@@ -139,16 +140,19 @@ def images_from_documents(df: DataFrame, body: str = "body", max_images: int | N
     images = _at(item, "$.images", "array<variant>")
     if max_images is not None:
         images = F.slice(images, 1, max_images)
-    image = F.col("_image")
-    address = F.coalesce(
-        F.nullif(_at(image, "$.url", "string"), F.lit("")),
-        F.nullif(_at(image, "$.src", "string"), F.lit("")),
-        F.when(F.schema_of_variant(image) == "STRING", F.nullif(_at(image, "$", "string"), F.lit(""))),
-    )
+
+    def address(image: Column) -> Column:
+        return F.coalesce(
+            F.nullif(_at(image, "$.url", "string"), F.lit("")),
+            F.nullif(_at(image, "$.src", "string"), F.lit("")),
+            F.when(F.schema_of_variant(image) == "STRING", F.nullif(_at(image, "$", "string"), F.lit(""))),
+        )
+
+    # Addresses are made before the list is unnested, or the filter would make each of them a second time.
+    listed = F.posexplode(F.transform(images, address)).alias("image_index", "image_url")
     return (
         exploded_items(df, body)
-        .select("auction_id", _at(item, "$.id", "long").alias("item_id"), F.posexplode(images).alias("image_index", "_image"))
-        .select("auction_id", "item_id", "image_index", address.alias("image_url"))
+        .select("auction_id", _at(item, "$.id", "long").alias("item_id"), listed)
         .filter(F.col("image_url").isNotNull())
     )
 

@@ -134,3 +134,17 @@ def test_documents_as_compressed_lines(spark, tmp_path):
         assert spark.read.schema(frame.schema).json(f"{tmp_path}/{how}").exceptAll(frame).isEmpty()
         sizes[how] = sum(f.stat().st_size for f in (tmp_path / how).glob("part-*"))
     assert sizes["gzip"] * 4 < sizes["none"]
+
+
+def test_documents_read_once(spark):
+    """A keyed object is read once, whatever keys it has, and an image's address is made once."""
+    body = '{"auction": {"items": {"10": {"id": 3, "images": ["", "z"]}, "2": {"id": 2, "images": [{"src": "y"}]}, "x": {"id": 1}}}}'
+    frame = spark.createDataFrame([(7, body)], "auction_id long, body string")
+    listed = documents.items_from_documents(frame)
+    assert [r.id for r in listed.collect()] == [1, 2, 3]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan(listed).splitlines() if "posexplode" in line)
+    assert generate.count("MapType(StringType,VariantType") == 1
+    images = documents.images_from_documents(frame, max_images=None)
+    assert [(r.item_id, r.image_index, r.image_url) for r in images.collect()] == [(2, 0, "y"), (3, 1, "z")]
+    assert plan(images).count("SchemaOfVariant.schemaOfVariant(") == 1

@@ -12,6 +12,7 @@ from gavelworks.llm.jaccard_join import one_of_each
 from gavelworks.llm.mixture import mixed_documents
 from gavelworks.llm.pieces import decode, encode
 from gavelworks.llm.toxicity import score_toxicity
+from gavelworks.llm.words import SMALL_BYTES
 from gavelworks.session import written
 
 
@@ -41,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, tokens, n_tokens, lossless``: token ids, and whether they decode to the text."""
-    both = decode(encode(docs.select("doc_id", "source", "text")))
+    both = decode(encode(docs.select("doc_id", "source", "text"), most=SMALL_BYTES))
     return both.select(
         "doc_id",
         "source",

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelworks.llm.words import WHITE, bytes_of, hashed, slices
+from gavelworks.llm.words import BATCH_BYTES, WHITE, bytes_of, hashed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
@@ -257,12 +257,14 @@ def _added(df: DataFrame, name: str, kind: str, run) -> DataFrame:
     return df.mapInArrow(each, ", ".join([*source, f"`{name}` {kind}"]))
 
 
-def encode(docs: DataFrame, path: str = MODEL, text: str = "text", tokens: str = "tokens") -> DataFrame:
-    """``docs`` with the token ids of their texts. The model is read on the driver alone."""
+def encode(
+    docs: DataFrame, path: str = MODEL, text: str = "text", tokens: str = "tokens", most: int = BATCH_BYTES
+) -> DataFrame:
+    """``docs`` with the token ids of their texts, about ``most`` bytes at a time. The model is read on the driver alone."""
     held = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
 
     def run(batch: pa.RecordBatch):
-        for part in slices(batch, text):
+        for part in slices(batch, text, most):
             yield part, tokens_of(held.value, part.column(text))
 
     return _added(docs, tokens, "array<int>", run)

@@ -93,3 +93,9 @@ def test_odd_frames(spark):
     assert pieces.decode(pieces.encode(no_documents(spark))).count() == 0
     nothing = frame.select("doc_id", F.lit(None).cast("array<int>").alias("tokens"))
     assert {r.decoded for r in pieces.decode(nothing).collect()} == {""}
+
+
+def test_small_slices_have_the_same_tokens(spark):
+    frame = spark.createDataFrame([(i, f"slice {i} of some text " * (i % 5)) for i in range(60)], "doc_id long, text string")
+    whole, small = ({r.doc_id: r.tokens for r in df.collect()} for df in (pieces.encode(frame), pieces.encode(frame, most=50)))
+    assert whole == small and len(small) == 60

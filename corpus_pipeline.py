@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from gavelworks.llm.digest_index import DigestIndex, without_copies
 from gavelworks.llm.jaccard_join import one_of_each
 from gavelworks.llm.mixture import mixed_documents
-from gavelworks.llm.pieces import decode, encode
+from gavelworks.llm.pieces import encode_checked
 from gavelworks.llm.toxicity import score_toxicity
-from gavelworks.llm.words import SMALL_BYTES
-from gavelworks.session import written
+from gavelworks.llm.words import BATCH_BYTES, SMALL_BYTES
+from gavelworks.session import arrow_batches, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +42,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, tokens, n_tokens, lossless``: token ids, and whether they decode to the text."""
-    both = decode(encode(docs.select("doc_id", "source", "text"), most=SMALL_BYTES))
-    return both.select(
-        "doc_id",
-        "source",
-        "tokens",
-        F.size("tokens").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+    found = encode_checked(docs.select("doc_id", "source", "text"), most=SMALL_BYTES)
+    # Batches of ten thousand texts are held several times over beside the heap, so the tokens are made here, from small ones.
+    with arrow_batches(spark, BATCH_BYTES):
+        found = written(found, "tokens")
+    return found.select("doc_id", "source", "tokens", F.size("tokens").cast("long").alias("n_tokens"), "lossless")
 
 
 STAGES = [

@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,17 +245,16 @@ def texts_of(pieces: Pieces, tokens: pa.ListArray) -> pa.Array:
         return pa.array([b.decode("utf-8", "replace") for b in out.to_pylist()], pa.large_string())
 
 
-def _added(df: DataFrame, name: str, kind: str, run) -> DataFrame:
-    kept = [c for c in df.columns if c != name]
+def _added(df: DataFrame, new: dict[str, str], run, without: str | None = None) -> DataFrame:
+    kept = [c for c in df.columns if c not in new and c != without]
     source = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, column in run(batch):
-                columns = [part.column(c) for c in kept]
-                yield pa.record_batch([*columns, column], names=[*kept, name])
+            for part, *columns in run(batch):
+                yield pa.record_batch([*[part.column(c) for c in kept], *columns], names=[*kept, *new])
 
-    return df.mapInArrow(each, ", ".join([*source, f"`{name}` {kind}"]))
+    return df.mapInArrow(each, ", ".join([*source, *[f"`{name}` {kind}" for name, kind in new.items()]]))
 
 
 def encode(
@@ -267,7 +267,7 @@ def encode(
         for part in slices(batch, text, most):
             yield part, tokens_of(held.value, part.column(text))
 
-    return _added(docs, tokens, "array<int>", run)
+    return _added(docs, {tokens: "array<int>"}, run)
 
 
 def decode(df: DataFrame, path: str = MODEL, tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
@@ -279,4 +279,28 @@ def decode(df: DataFrame, path: str = MODEL, tokens: str = "tokens", decoded: st
             part = batch.slice(at, 500)
             yield part, texts_of(held.value, part.column(tokens)).cast(pa.string())
 
-    return _added(df, decoded, "string", run)
+    return _added(df, {decoded: "string"}, run)
+
+
+def encode_checked(
+    docs: DataFrame,
+    path: str = MODEL,
+    text: str = "text",
+    tokens: str = "tokens",
+    lossless: str = "lossless",
+    most: int = BATCH_BYTES,
+) -> DataFrame:
+    """``docs`` with token ids in place of their texts, and whether they decode to the text (an empty one for null).
+
+    Encoded and decoded by one Python worker of a task, where ``encode`` and ``decode`` in a row take two at a time, and
+    send all texts and tokens from the first to the second through the executor.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
+
+    def run(batch: pa.RecordBatch):
+        for part in slices(batch, text, most):
+            texts = part.column(text).cast(pa.large_string())
+            found = tokens_of(held.value, texts)
+            yield part, found, pc.equal(texts_of(held.value, found), pc.fill_null(texts, ""))
+
+    return _added(docs, {tokens: "array<int>", lossless: "boolean"}, run, without=text)

@@ -99,3 +99,17 @@ def test_small_slices_have_the_same_tokens(spark):
     frame = spark.createDataFrame([(i, f"slice {i} of some text " * (i % 5)) for i in range(60)], "doc_id long, text string")
     whole, small = ({r.doc_id: r.tokens for r in df.collect()} for df in (pieces.encode(frame), pieces.encode(frame, most=50)))
     assert whole == small and len(small) == 60
+
+
+def test_checked_in_one_pass(spark):
+    """The same as encoding, decoding and comparing, by one Python step."""
+    frame = odd_documents(spark)
+    out = pieces.encode_checked(frame, most=50)
+    assert set(out.columns) == {*frame.columns, "tokens", "lossless"} - {"text"}
+    want = sorted((repr(r.doc_id), r.tokens) for r in pieces.encode(frame).collect())
+    rows = out.collect()
+    assert sorted((repr(r.doc_id), r.tokens) for r in rows) == want and all(r.lossless for r in rows)
+    broken = spark.createDataFrame([(1, b"a\xff"), (2, b"a")], "doc_id long, b binary")
+    broken = pieces.encode_checked(broken.select("doc_id", F.expr("cast(b as string)").alias("text")))
+    assert {r.doc_id: r.lossless for r in broken.collect()} == {1: False, 2: True}
+    assert pieces.encode_checked(no_documents(spark)).count() == 0

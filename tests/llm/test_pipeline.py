@@ -3,6 +3,8 @@ import pytest
 
 from frames import no_documents, odd_documents
 
+KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 @pytest.fixture(scope="module")
 def labels(tmp_path_factory, spark):
@@ -40,3 +42,18 @@ def test_odd_frames(spark, labels, name, stage):
 def test_run_is_the_stages_in_turn(spark, data):
     rows = corpus_pipeline.run(spark, data)
     assert set(rows.columns) == {"doc_id", "source", "tokens", "n_tokens", "lossless"} and rows.count() > 0
+
+
+def test_tokens_come_in_small_batches_of_one_python_step(spark, data, monkeypatch):
+    """A second worker beside each task's first, and batches of ten thousand texts, do not fit an executor."""
+    seen = []
+
+    def write(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append((plan.count("MapInArrow"), int(spark.conf.get(KEY))))
+        return df
+
+    monkeypatch.setattr(corpus_pipeline, "written", write)
+    before = spark.conf.get(KEY)
+    corpus_pipeline.to_tokens(spark, spark.read.parquet(f"{data}/documents.parquet"), data)
+    assert seen == [(1, 1_000_000)] and spark.conf.get(KEY) == before

@@ -1,11 +1,12 @@
 """Causal bid features as a stream, on keyed state in RocksDB.
 
 A bid waits in list state until the watermark has passed it; a timer then takes the item's due bids in event-time order
-through scalars in value state. The features are the batch's own projections over the same working columns, so no rule
+through its scalars. The features are the batch's own projections over the same working columns, so no rule
 is written twice. Running rank and median need the whole history of an item and stay in the batch.
 
 State is appended to and read per item, never rewritten as a whole: a trigger that brings an item new bids appends them,
-and only what falls due is folded. The times of the last ten minutes are the only history that is kept. Given the time at
+and only what falls due is folded. Every call of the state is a question to the executor and an answer, which costs more
+than the bids of an ordinary item; so scalars and bids are one list state, whose values hold up to ``MOST`` bids each. The times of the last ten minutes are the only history that is kept. Given the time at
 which an item ends, its state is removed when the watermark passes that, and bids after their item's end are left out.
 
 A missing amount is skipped as in the batch, and bids without an item are an item like any other. A bid without a time
@@ -15,8 +16,10 @@ has no place in a stream and is left out.
 from __future__ import annotations
 
 import math
+import struct
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,11 +31,13 @@ from gavelworks.operators.bids import CLUSTER_GAP, DECAY, GROUPS, SECOND, N, PRE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DELAY = "10 minutes"
+# Bids in one value of list state.
+MOST = 10_000
 # Need the whole history of an item.
 NOT_IN_STREAM = ("bid_amount_percentile_so_far", "bid_amount_relative_to_median")
 _LONG, _DOUBLE = T.LongType(), T.DoubleType()
 
-# Names of the frames that come and go begin with a letter, as their rows become named tuples.
+# Names of the frames that come begin with a letter, as their rows become named tuples.
 _BID = {"bid_id": _LONG, "bid_us": _LONG, "bid_amount": _DOUBLE, "is_proxy_bid": _LONG, "bid_number": _LONG}
 _WORKING = {
     N: _LONG,
@@ -70,8 +75,7 @@ _SCALARS = {
     "cluster_u": _LONG,
     "cluster_n": _LONG,
     "decayed": _DOUBLE,
-    "last_incs": T.ArrayType(_DOUBLE),
-}
+} | {f"inc_{i}": _DOUBLE for i in range(5)}  # the last five increments
 
 
 def _struct(fields: dict[str, T.DataType]) -> T.StructType:
@@ -83,17 +87,41 @@ def _known(value):
     return None if value is None or value != value or value is pd.NA else value
 
 
+class _Packed:
+    """Rows of these fields as bytes: which values are known, and the values."""
+
+    def __init__(self, fields: dict[str, T.DataType]):
+        self.kinds = [float if kind == _DOUBLE else int for kind in fields.values()]
+        self.line = struct.Struct("<q" + "".join("d" if kind is float else "q" for kind in self.kinds))
+
+    def pack(self, row: Sequence) -> bytes:
+        known = sum(1 << i for i, value in enumerate(row) if value is not None)
+        return self.line.pack(known, *[0 if value is None else kind(value) for kind, value in zip(self.kinds, row)])
+
+    def unpack(self, data: bytes) -> Iterator[tuple]:
+        for known, *row in self.line.iter_unpack(data):
+            yield tuple(value if known >> i & 1 else None for i, value in enumerate(row))
+
+
+_BIDS, _STATE = _Packed(_BID), _Packed(_SCALARS)
+
+
 class Running:
     """An item so far: the scalars that the working columns of its next bid need."""
 
-    def __init__(self, scalars: tuple | None, recent: list[int]):
-        blank = (0, *[None] * 5, 0, 0.0, None, 0, 0.0, *[None] * 3, 0.0, [])
-        for name, value in zip(_SCALARS, blank if scalars is None else scalars):
-            setattr(self, name, list(value) if name == "last_incs" else value)
-        self.recent = recent
+    def __init__(self, state: bytes | None):
+        values = (0, *[None] * 5, 0, 0.0, None, 0, 0.0, *[None] * 3, 0.0, *[None] * 5)
+        if state is not None:
+            (values,) = _STATE.unpack(state[: _STATE.line.size])
+        for name, value in zip(_SCALARS, values):
+            setattr(self, name, value)
+        self.last_incs = list(values[-5:])[: min(self.n, 5)]
+        self.recent = list(array("q", b"" if state is None else state[_STATE.line.size :]))
 
-    def scalars(self) -> tuple:
-        return tuple(getattr(self, name) for name in _SCALARS)
+    def state(self) -> bytes:
+        scalars = [getattr(self, name) for name in list(_SCALARS)[:-5]]
+        incs = self.last_incs + [None] * (5 - len(self.last_incs))
+        return _STATE.pack([*scalars, *incs]) + array("q", self.recent).tobytes()
 
     def advance(self, u: int, amount: float | None, number: int | None) -> tuple:
         """Take one more bid; the values of its working columns."""
@@ -142,27 +170,33 @@ class Running:
 
 
 class BidState(StatefulProcessor):
-    """Working columns of each bid, once the watermark has passed it."""
+    """Working columns of each bid, once the watermark has passed it.
+
+    An item's next timer and its end are only kept if items have ends; else a trigger sets a timer of its own for its first
+    bid, and one that finds nothing due does nothing.
+    """
+
+    def __init__(self, ends: bool):
+        self.ends = ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.running = handle.getValueState("running", _struct(_SCALARS))
-        self.recent = handle.getListState("recent", _struct({"u": _LONG}))
-        self.waiting = handle.getListState("waiting", _struct(_BID))
+        # Waiting bids; the first value also has the scalars, from the item's first due bid on.
+        self.item = handle.getListState("item", _struct({"running": T.BinaryType(), "bids": T.BinaryType()}))
         # The timer that is set, and when the item ends.
-        self.clock = handle.getValueState("clock", _struct({"due": _LONG, "end": _LONG}))
+        self.clock = handle.getValueState("clock", _struct({"due": _LONG, "end": _LONG})) if self.ends else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due, end = self.clock.get() if self.clock.exists() else (None, None)
+        due, end = (self.clock.get() if self.ends else None) or (None, None)
         soonest = due
         for frame in rows:
             if not len(frame):
                 continue
             bids = [tuple(_known(v) for v in row) for row in zip(*[frame[c].tolist() for c in _BID])]
-            self.waiting.appendList([_typed(bid) for bid in bids])
+            self.item.appendList(_values(None, bids))
             first = min(bid[1] for bid in bids) // 1000
             soonest = int(first if soonest is None else min(soonest, first))
-            ends = [e for e in map(_known, frame["end_ms"].tolist()) if e is not None]
+            ends = [e for e in map(_known, frame["end_ms"].tolist()) if e is not None] if self.ends else []
             if ends:
                 end = int(max([*ends, *([] if end is None else [end])]))
         self._set(due, soonest, end)
@@ -173,56 +207,58 @@ class BidState(StatefulProcessor):
             if due is not None:
                 self.handle.deleteTimer(due)
             self.handle.registerTimer(soonest)
-        self.clock.update((soonest, end))
+        if self.ends:
+            self.clock.update((soonest, end))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        _, end = self.clock.get()
-        waiting = sorted(self.waiting.get(), key=lambda bid: (bid[1], bid[0]))
+        end = self.clock.get()[1] if self.ends else None
+        values = list(self.item.get())
+        waiting = sorted(
+            (bid for _, bids in values for bid in _BIDS.unpack(bytes(bids))), key=lambda bid: (bid[1], bid[0])
+        )
         ready = [bid for bid in waiting if bid[1] < passed]
         waiting = waiting[len(ready) :]
         if ready:
-            item = Running(
-                self.running.get() if self.running.exists() else None,
-                [u for (u,) in self.recent.get()] if self.recent.exists() else [],
-            )
+            held = values[0][0]
+            item = Running(None if held is None else bytes(held))
             done = [(*bid, *item.advance(bid[1], bid[2], bid[4])) for bid in ready]
-            self.running.update(item.scalars())
-            self.recent.put([(u,) for u in item.recent])
+            self.item.put(_values(item.state(), waiting))
             yield _frame(key, done)
         if waiting:
-            self.waiting.put([tuple(bid) for bid in waiting])
             self._set(None, waiting[0][1] // 1000, end)
             return
-        self.waiting.clear()
+        if not self.ends:
+            return
         if end is None or end >= passed // 1000:
             self._set(None, end, end)  # by then nothing may wait
             return
-        for state in (self.running, self.recent, self.clock):
+        for state in (self.item, self.clock):
             state.clear()
 
     def close(self) -> None:
         pass
 
 
-def _typed(bid: tuple) -> tuple:
-    return tuple(
-        None if value is None else (float(value) if kind == _DOUBLE else int(value)) for value, kind in zip(bid, _BID.values())
-    )
+def _values(running: bytes | None, bids: list[tuple]) -> list[tuple]:
+    """An item's values of list state."""
+    lines = [_BIDS.pack(bid) for bid in bids]
+    parts = [b"".join(lines[at : at + MOST]) for at in range(0, max(1, len(lines)), MOST)]
+    return [(running if i == 0 else None, part) for i, part in enumerate(parts)]
 
 
-_KINDS = {_LONG: "Int64", _DOUBLE: "Float64"}
+_COLUMNS = _BID | _WORKING
+_LONGS, _DOUBLES = ([name for name, kind in _COLUMNS.items() if kind == wanted] for wanted in (_LONG, _DOUBLE))
+_PLACES = [[i for i, name in enumerate(_COLUMNS) if name in names] for names in (_LONGS, _DOUBLES)]
 
 
 def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-    # A missing item is a flag beside the key, as a key itself may not be missing.
+    """A bid's columns as two lists, as every column of each item's frame is converted by itself, which costs far more."""
     no_item, item = key
-    item = None if no_item else item
-    columns = {"item_id": pd.array([item] * len(rows), dtype="Int64")}
-    names = [*_BID, *[f"w{name}" for name in _WORKING]]
-    for name, kind, values in zip(names, [*_BID.values(), *_WORKING.values()], zip(*rows)):
-        columns[name] = pd.array(list(values), dtype=_KINDS[kind])
-    return pd.DataFrame(columns)
+    # A missing item is a flag beside the key, as a key itself may not be missing.
+    longs, doubles = ([[row[i] for i in places] for row in rows] for places in _PLACES)
+    item = pd.array([None if no_item else item] * len(rows), dtype="Int64")
+    return pd.DataFrame({"item_id": item, "longs": longs, "doubles": doubles})
 
 
 def use_state_store(spark) -> None:
@@ -251,10 +287,12 @@ def causal_features(bids: DataFrame, delay: str = DELAY, end: str | None = None)
             (F.unix_millis(F.col(end)) if end else F.lit(None).cast("long")).alias("end_ms"),
         )
     )
-    fields = {"item_id": _LONG} | _BID | {f"w{name}": kind for name, kind in _WORKING.items()}
+    fields = {"item_id": _LONG, "longs": T.ArrayType(_LONG), "doubles": T.ArrayType(_DOUBLE)}
     ready = ready.filter(F.col("end_ms").isNull() | (F.unix_millis("bid_time") <= F.col("end_ms")))
-    working = ready.groupBy("no_item", "item").transformWithStateInPandas(BidState(), _struct(fields), "append", "EventTime")
-    working = working.withColumnsRenamed({f"w{name}": name for name in _WORKING} | {"bid_us": U})
+    state = BidState(end is not None)
+    working = ready.groupBy("no_item", "item").transformWithStateInPandas(state, _struct(fields), "append", "EventTime")
+    listed = {name: F.col(part)[i] for part, names in (("longs", _LONGS), ("doubles", _DOUBLES)) for i, name in enumerate(names)}
+    working = working.select("item_id", *[listed[name].alias(U if name == "bid_us" else name) for name in _COLUMNS])
     numbered = "bid_number" in bids.columns
     original = ["item_id", "bid_id", U, "bid_amount", "is_proxy_bid", *(["bid_number"] if numbered else [])]
     working = working.withColumn("bid_increment", increment()).withColumns(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from rows import by
@@ -14,7 +16,7 @@ from gavelworks.operators.embeddings import embed_new_items
 from gavelworks.operators.summaries import soft_close
 from gavelworks.sources import bindings
 from gavelworks.streaming import bids as jobs
-from gavelworks.streaming.features import NOT_IN_STREAM, causal_features
+from gavelworks.streaming.features import NOT_IN_STREAM, BidState, Running, causal_features
 from gavelworks.streaming.sinks import BatchTable, LateRows, VersionedTable, enrich_batches, into_table, write_stream
 
 
@@ -83,6 +85,53 @@ def test_state_goes_when_items_end(spark, tmp_path):
     assert rows == {10: 1, 11: 2, 12: 3, 20: 1, 21: 2, 22: 3}
 
 
+def test_an_item_takes_few_state_calls():
+    """Each is a question to the executor: two for bids that come, three for those that fall due."""
+    calls, held = [], []
+
+    class Listed:
+        def appendList(self, values):
+            calls.append("append")
+            held.extend(values)
+
+        def put(self, values):
+            calls.append("put")
+            held[:] = values
+
+        def get(self):
+            calls.append("get")
+            return iter(list(held))
+
+    def none(*_):
+        raise AssertionError("no state of its own")
+
+    handle = SimpleNamespace(
+        getListState=lambda *_: Listed(), getValueState=none, deleteTimer=none, registerTimer=lambda t: calls.append(t)
+    )
+    item = BidState(ends=False)
+    item.init(handle)
+    rows = [(n, n * 1_000_000, 5.0 + n if n % 3 else None, None, 2**60 + n if n % 2 else None) for n in range(8)]
+    frames = pd.DataFrame(rows, columns=["bid_id", "bid_us", "bid_amount", "is_proxy_bid", "bid_number"], dtype="object")
+    list(item.handleInputRows((0, 1), iter([frames.assign(end_ms=None)]), None))
+    assert calls == ["append", 0]
+    calls.clear()
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 6000)
+    (out,) = item.handleExpiredTimer((0, 1), passed, None)
+    assert calls == ["get", "put", 6000] and len(out) == 6
+    calls.clear()
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 9000)
+    (rest,) = item.handleExpiredTimer((0, 1), passed, None)
+    assert calls == ["get", "put"] and len(rest) == 2
+    # In two parts, by way of bytes, as in one.
+    whole = Running(None)
+    want = [whole.advance(row[1], row[2], row[4]) for row in rows]
+    longs = [w for frame in (out, rest) for w in frame["longs"]]
+    assert [w[0] for w in longs] == list(range(8)) and [w[2 + 2] for w in longs] == [w[0] for w in want]
+    assert [w[3] for w in longs] == [row[4] for row in rows]
+    again = Running(bytes(held[0][0]))
+    assert again.state() == whole.state() and again.advance(10**7, 3.0, 1) == whole.advance(10**7, 3.0, 1)
+
+
 def plain_closes(rows, mode):
     """End and extensions of each item, bid by bid."""
     out = {}

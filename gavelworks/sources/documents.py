@@ -176,12 +176,19 @@ def _json_text(value: Column) -> Column:
 def enriched_items_from_documents(df: DataFrame, body: str = "body", default_id: str = "item_id") -> DataFrame:
     """Description fields as columns, and its lists and objects as JSON text."""
     doc = F.col(DOC)
-    base = "$.generatedDescription"
-    return parsed(df, body).select(
+    fields = [f"{c}: string" for c in DESCRIPTION_FIELDS] + [f"{c}: variant" for c in DESCRIPTION_JSON_FIELDS]
+    # The description is read once for all of its fields, not once or twice for each.
+    read = parsed(df, body).select(
         F.coalesce(_at(doc, "$.amLotId", "long"), F.col(default_id)).alias("amLotId"),
         _at(doc, "$.amAuctionId", "long").alias("amAuctionId"),
-        *[_at(doc, f"{base}.{c}", "string").alias(c) for c in DESCRIPTION_FIELDS],
-        *[_json_text(_at(doc, f"{base}.{c}", "variant")).alias(c) for c in DESCRIPTION_JSON_FIELDS],
+        _at(doc, "$.generatedDescription", f"struct<{', '.join(fields)}>").alias("_described"),
+    )
+    described = F.col("_described")
+    return read.select(
+        "amLotId",
+        "amAuctionId",
+        *[described[c].alias(c) for c in DESCRIPTION_FIELDS],
+        *[_json_text(described[c]).alias(c) for c in DESCRIPTION_JSON_FIELDS],
     )
 
 

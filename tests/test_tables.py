@@ -209,3 +209,29 @@ def test_collection_totals_of_orders_with_many_documents(spark, tmp_path):
     cursor = db.execute(ORACLE["collection_totals"])
     assert row.asDict() == dict(zip([d[0] for d in cursor.description], cursor.fetchone()))
     assert (row.total, row.completed, row.failed, row.items_collected) == (4, 2, 2, 121)
+
+
+def test_a_description_is_read_once(spark):
+    """Every field comes from one read of the description, whatever stands in its place."""
+    bodies = [
+        '{"amLotId": 1, "amAuctionId": 2, "generatedDescription": {"title": "a", "numItems": 3, "brands": "x", "attributes": null, "items": [1, "b"]}}',
+        '{"amAuctionId": "x", "generatedDescription": {"title": null, "brands": {"k": [1.50]}, "condition": {"a": 1}}}',
+        '{"amLotId": 3, "generatedDescription": "none"}',
+        '{"amLotId": 4, "generatedDescription": [{"title": "a"}]}',
+        '{"amLotId": 5, "generatedDescription": null}',
+        "[1]",
+        "no json",
+        None,
+    ]
+    frame = spark.createDataFrame([(10 + i, b) for i, b in enumerate(bodies)], "item_id long, body string")
+    out = documents.enriched_items_from_documents(frame)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("try_variant_get") == 3
+    names = ["amAuctionId", "title", "numItems", "condition", "brands", "attributes", "items", "photosTaken"]
+    got = {r.amLotId: tuple(r[n] for n in names) for r in out.collect()}
+    blank = (None,) * 8
+    assert got == {
+        1: (2, "a", "3", None, '"x"', None, '[1,"b"]', None),
+        11: (None, None, None, '{"a":1}', '{"k":[1.5]}', None, None, None),
+        **{i: blank for i in (3, 4, 5, 15, 16, 17)},
+    }

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", compression: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe from lost executors.
 
     Unlike a checkpoint it is computed a single time, and later steps read
@@ -60,22 +60,30 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
-    """Batches of about ``most`` bytes at the most for Python workers, in the jobs that are run meanwhile."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_batches(spark: SparkSession, most: int) -> AbstractContextManager[None]:
+    """Batches of about ``most`` bytes at the most for Python workers, in the jobs that are run meanwhile."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of a query go as soon as it ends, not when the driver next collects its garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan in at least as many pieces as there are cores.
 

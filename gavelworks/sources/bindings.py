@@ -189,31 +189,61 @@ def areas(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return population, tax
 
 
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def _item_fields() -> dict[str, F.Column]:
+    """Fields of an item, from a numbered line and the names of its part."""
+    key = F.col("l_orderkey")
+    id_ = key * 100 + F.col("lot")
+    return {
+        "item_id": id_,
+        "auction_id": key,
+        "item_lot_number": F.col("lot"),
+        "item_title": F.when(id_ % 23 != 0, F.col("p_name")),
+        "item_description": F.when(id_ % 7 == 0, F.lit(None).cast("string"))
+        .when(id_ % 7 == 1, "")
+        .otherwise(F.concat_ws(" ", "p_name", "p_type", "p_brand")),
+        "item_current_bid": F.when(id_ % 29 != 0, F.col("l_extendedprice")),
+        "item_closes": F.when(id_ % 31 != 0, F.col("l_shipdate").cast("timestamp")),
+        "item_number_of_images": (id_ % 6).cast("int"),
+        "item_bidding_extended": id_ % 4 == 0,
+        "item_bid_count": id_ % 5,
+        "item_seller_id": F.col("l_suppkey"),
+    }
+
+
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as auction items, numbered within their order."""
-    key = F.col("l_orderkey")
-    order = [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    order = [F.col(c).asc() for c in LINE_ORDER]
     numbered = row_numbers(table(spark, folder, "lineitem"), ["l_orderkey"], order, "lot")
     part = table(spark, folder, "part")
-    id_ = key * 100 + F.col("lot")
     return numbered.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
-        id_.alias("item_id"),
-        key.alias("auction_id"),
-        F.col("lot").alias("item_lot_number"),
-        F.when(id_ % 23 != 0, F.col("p_name")).alias("item_title"),
-        F.when(id_ % 7 == 0, F.lit(None).cast("string"))
-        .when(id_ % 7 == 1, "")
-        .otherwise(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-        .alias("item_description"),
-        F.when(id_ % 29 != 0, F.col("l_extendedprice")).alias("item_current_bid"),
-        F.when(id_ % 31 != 0, F.col("l_shipdate").cast("timestamp")).alias("item_closes"),
-        (id_ % 6).cast("int").alias("item_number_of_images"),
-        (id_ % 4 == 0).alias("item_bidding_extended"),
-        (id_ % 5).alias("item_bid_count"),
-        F.col("l_suppkey").alias("item_seller_id"),
+        *[c.alias(name) for name, c in _item_fields().items()]
     )
 
 
+def titled_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields of ``items`` that documents nest, with the items of an order left in one place.
+
+    Parts are joined before the lines are numbered, so grouping these by order needs no exchange of
+    its own, which would move the nested rows. A part that is listed twice would be numbered twice;
+    with such parts the lines are numbered first.
+    """
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", *LINE_ORDER)
+    part = table(spark, folder, "part").select("p_partkey", "p_name")
+    order = [F.col(c).asc() for c in LINE_ORDER]
+    same = F.col("l_partkey") == F.col("p_partkey")
+    often = part.filter(F.col("p_partkey").isNotNull()).groupBy("p_partkey").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    if often.isEmpty():
+        numbered = row_numbers(lines.join(part, same, "left"), ["l_orderkey"], order, "lot", sizes=lines)
+    else:
+        numbered = row_numbers(lines, ["l_orderkey"], order, "lot").join(part, same, "left")
+    fields = _item_fields()
+    names = ["item_id", "auction_id", "item_lot_number", "item_title", "item_current_bid", "item_closes", "item_bid_count"]
+    return numbered.select(*[fields[name].alias(name) for name in names])
+
+
 def enriched_items(spark: SparkSession, folder: str) -> DataFrame:
     """Described items: brand, condition and JSON lists in every state they come in."""
     base = items(spark, folder)
@@ -377,7 +407,7 @@ def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
         bids_.alias("bids"),
     )
     part = F.floor((F.col("item_lot_number") - 1) / 50)
-    grouped = items(spark, folder).groupBy("auction_id", part.alias("part")).agg(F.collect_list(item).alias("items"))
+    grouped = titled_items(spark, folder).groupBy("auction_id", part.alias("part")).agg(F.collect_list(item).alias("items"))
     id_ = F.col("auction_id") * 1000 + F.col("part")
     body = F.to_json(
         F.struct(

@@ -20,7 +20,7 @@ from gavelworks.schemas import (
     DESCRIPTION_JSON_FIELDS,
     ITEM_FIELDS,
 )
-from gavelworks.session import written
+from gavelworks.session import shuffles_dropped, written
 
 DOC = "_doc"
 
@@ -248,20 +248,27 @@ def flat_records(docs: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_flat_records(docs: DataFrame, folder: str, batch: str, lines: str | None = None) -> dict[str, str]:
-    """Three Parquet datasets from one parse of the documents, and the documents as JSON lines if ``lines`` says where."""
-    docs = written(docs, "parsed")
+    """Three Parquet datasets from one parse of the documents, and the documents as JSON lines if ``lines`` says where.
+
+    All of them lie on disk together with the parsed documents, so all are compressed well.
+    """
+    with shuffles_dropped(docs.sparkSession):
+        docs = written(docs, "parsed", compression="zstd")
     paths = {}
     for name, df in flat_records(docs).items():
         paths[name] = f"{folder}/{name}_{batch}"
-        df.write.mode("overwrite").parquet(paths[name])
+        df.write.mode("overwrite").parquet(paths[name], compression="zstd")
     if lines is not None:
-        write_documents(docs, lines)
+        write_documents(docs, lines, compression="gzip", level="FOUR")
     return paths
 
 
-def write_documents(docs: DataFrame, path: str, compression: str = "none") -> None:
-    """Nested documents as JSON lines, one file for each task; Spark reads compressed ones by their names."""
-    docs.write.mode("overwrite").json(path, compression=compression)
+def write_documents(docs: DataFrame, path: str, compression: str = "none", level: str = "DEFAULT_COMPRESSION") -> None:
+    """Nested documents as JSON lines, one file for each task; Spark reads compressed ones by their names.
+
+    ``level`` is Hadoop's name of a level of gzip, up to ``BEST_COMPRESSION``.
+    """
+    docs.write.mode("overwrite").option("zlib.compress.level", level).json(path, compression=compression)
 
 
 def collection_totals(requested: DataFrame, docs: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import oracle
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gavelworks.functions import jsons, text
 from gavelworks.operators import bids, embeddings, long_items, scans
-from gavelworks.sources import documents
+from gavelworks.sources import bindings, documents
 
 
 def test_close_of_items_with_bids_of_zero(spark, tmp_path):
@@ -148,3 +150,50 @@ def test_documents_read_once(spark):
     images = documents.images_from_documents(frame, max_images=None)
     assert [(r.item_id, r.image_index, r.image_url) for r in images.collect()] == [(2, 0, "y"), (3, 1, "z")]
     assert plan(images).count("SchemaOfVariant.schemaOfVariant(") == 1
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in blocks.mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_nested_records_on_disk_are_compressed(spark, tmp_path):
+    """The outputs lie beside the parsed documents, whose shuffle files are gone by then."""
+    bodies = [json.dumps({"auction_id": i, "title": "t", "items": [{"item_id": i, "bids": [{"bid_id": f"{i}-1", "amount": 1.0}]}]}) for i in range(900)]
+    frame = documents.typed_documents(spark.createDataFrame([(b,) for b in bodies], "body string").repartition(2, "body"))
+    before = shuffle_files(spark)
+    paths = documents.write_flat_records(frame, str(tmp_path / "out"), "b", lines=f"{tmp_path}/out/json")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    parts = [f for path in paths.values() for f in Path(path).glob("part-*")]
+    assert parts and all(".zstd." in f.name for f in parts)
+    lines = [*(tmp_path / "out/json").glob("part-*")]
+    assert sum(f.stat().st_size for f in lines) * 4 < sum(map(len, bodies))
+    assert spark.read.schema(frame.schema).json(f"{tmp_path}/out/json").exceptAll(frame).isEmpty()
+
+
+@pytest.mark.parametrize("listed", ["once", "twice"])
+def test_lines_stay_where_they_are_numbered(spark, tmp_path, listed):
+    """Nested rows are not exchanged; parts that are listed twice, missing or null count as in the SQL."""
+    draw = random.Random(3)
+    day = datetime(2024, 1, 1)
+    lines = [(draw.choice([*range(9), None]), draw.choice([*range(6), None]), draw.randrange(3), i, i * 1.25, day) for i in range(120)]
+    part = [(k, n, "t", "b") for k, n in [(1, "a"), (2, None), (4, "b"), (None, "n"), (None, "m")] + [(4, "c"), (1, "a")] * (listed == "twice")]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, kind).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("nested_items", "nested_records_written"):
+        assert oracle.compare(spark, db, str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name]) == ""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = bindings.nested_documents(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("Exchange hashpartitioning(") == (3 if listed == "once" else 4)

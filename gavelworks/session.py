@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import AbstractContextManager, contextmanager
 from pathlib import Path
 
@@ -52,15 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str = "step", compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str = "step", compression: str | None = None, more: Sequence[DataFrame] = ()) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe from lost executors.
 
     Unlike a checkpoint it is computed a single time, and later steps read
-    only the columns they need.
+    only the columns they need. The rows of ``more`` are added one frame after
+    another.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    for other in more:
+        other.write.mode("append").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -223,14 +223,18 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def titled_items(spark: SparkSession, folder: str) -> DataFrame:
+def titled_items(spark: SparkSession, folder: str, share: tuple[int, int] = (0, 1)) -> DataFrame:
     """The fields of ``items`` that documents nest, with the items of an order left in one place.
 
+    ``share`` is the number of a share of the orders, and how many shares there are.
+
     Parts are joined before the lines are numbered, so grouping these by order needs no exchange of
     its own, which would move the nested rows. A part that is listed twice would be numbered twice;
     with such parts the lines are numbered first.
     """
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", *LINE_ORDER)
+    if share[1] > 1:
+        lines = lines.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(share[1])) == share[0])
     part = table(spark, folder, "part").select("p_partkey", "p_name")
     order = [F.col(c).asc() for c in LINE_ORDER]
     same = F.col("l_partkey") == F.col("p_partkey")
@@ -388,8 +392,8 @@ def enriched_item_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested auction documents with up to four bids per item: (auction_id, order, body)."""
+def nested_documents(spark: SparkSession, folder: str, share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Nested auction documents with up to four bids per item: (auction_id, order, body); all, or those of a share of the orders."""
     k = F.col("item_id")
     bid = lambda i: F.struct(
         F.concat(k.cast("string"), F.lit("-"), i.cast("string")).alias("bid_id"),
@@ -407,7 +411,7 @@ def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
         bids_.alias("bids"),
     )
     part = F.floor((F.col("item_lot_number") - 1) / 50)
-    grouped = titled_items(spark, folder).groupBy("auction_id", part.alias("part")).agg(F.collect_list(item).alias("items"))
+    grouped = titled_items(spark, folder, share).groupBy("auction_id", part.alias("part")).agg(F.collect_list(item).alias("items"))
     id_ = F.col("auction_id") * 1000 + F.col("part")
     body = F.to_json(
         F.struct(

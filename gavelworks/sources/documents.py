@@ -247,13 +247,16 @@ def flat_records(docs: DataFrame) -> dict[str, DataFrame]:
     return {"auctions": auctions, "items": items, "bids": bids}
 
 
-def write_flat_records(docs: DataFrame, folder: str, batch: str, lines: str | None = None) -> dict[str, str]:
+def write_flat_records(
+    docs: DataFrame, folder: str, batch: str, lines: str | None = None, more: Sequence[DataFrame] = ()
+) -> dict[str, str]:
     """Three Parquet datasets from one parse of the documents, and the documents as JSON lines if ``lines`` says where.
 
-    All of them lie on disk together with the parsed documents, so all are compressed well.
+    All of them lie on disk together with the parsed documents, so all are compressed well. ``more``
+    are further documents: each frame is parsed in its turn, and only its own shuffles are there then.
     """
     with shuffles_dropped(docs.sparkSession):
-        docs = written(docs, "parsed", compression="zstd")
+        docs = written(docs, "parsed", compression="zstd", more=more)
     paths = {}
     for name, df in flat_records(docs).items():
         paths[name] = f"{folder}/{name}_{batch}"

@@ -113,8 +113,8 @@ def documents_to_enriched_items(spark, folder):
 # ------------------------------------------------------------ nested records
 
 
-def nested(spark, folder):
-    return docs.typed_documents(bindings.nested_documents(spark, folder))
+def nested(spark, folder, share=(0, 1)):
+    return docs.typed_documents(bindings.nested_documents(spark, folder, share))
 
 
 @query(
@@ -162,11 +162,15 @@ def nested_bids(spark, folder):
       SELECT 'items', count(*) FROM items UNION ALL SELECT 'bids', CAST(sum(item_bid_count) AS BIGINT) FROM items""",
 )
 def nested_records_written(spark, folder):
-    """All three tables written from one parse, and the documents as JSON lines beside them."""
+    """All three tables written from one parse, and the documents as JSON lines beside them.
+
+    The documents are made and parsed in two shares, so that half of their shuffles are on disk at once.
+    """
     import uuid
 
     root = f"{shared_dir(spark)}/nested-{uuid.uuid4().hex}"
-    paths = docs.write_flat_records(nested(spark, folder), root, "batch_0000", lines=f"{root}/json")
+    first, second = (nested(spark, folder, share=(i, 2)) for i in range(2))
+    paths = docs.write_flat_records(first, root, "batch_0000", lines=f"{root}/json", more=[second])
     counted = [
         spark.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         for name, path in paths.items()

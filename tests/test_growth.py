@@ -161,8 +161,9 @@ def test_nested_records_on_disk_are_compressed(spark, tmp_path):
     """The outputs lie beside the parsed documents, whose shuffle files are gone by then."""
     bodies = [json.dumps({"auction_id": i, "title": "t", "items": [{"item_id": i, "bids": [{"bid_id": f"{i}-1", "amount": 1.0}]}]}) for i in range(900)]
     frame = documents.typed_documents(spark.createDataFrame([(b,) for b in bodies], "body string").repartition(2, "body"))
+    shares = [frame.filter(F.col("auction_id") % 2 == i) for i in range(2)]
     before = shuffle_files(spark)
-    paths = documents.write_flat_records(frame, str(tmp_path / "out"), "b", lines=f"{tmp_path}/out/json")
+    paths = documents.write_flat_records(shares[0], str(tmp_path / "out"), "b", lines=f"{tmp_path}/out/json", more=shares[1:])
     until = time.time() + 20
     while shuffle_files(spark) - before and time.time() < until:
         time.sleep(0.2)
@@ -172,6 +173,7 @@ def test_nested_records_on_disk_are_compressed(spark, tmp_path):
     lines = [*(tmp_path / "out/json").glob("part-*")]
     assert sum(f.stat().st_size for f in lines) * 4 < sum(map(len, bodies))
     assert spark.read.schema(frame.schema).json(f"{tmp_path}/out/json").exceptAll(frame).isEmpty()
+    assert {name: spark.read.parquet(path).count() for name, path in paths.items()} == dict.fromkeys(paths, 900)
 
 
 @pytest.mark.parametrize("listed", ["once", "twice"])
@@ -189,6 +191,8 @@ def test_lines_stay_where_they_are_numbered(spark, tmp_path, listed):
     db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     for name in ("nested_items", "nested_records_written"):
         assert oracle.compare(spark, db, str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name]) == ""
+    bodies = [sorted(r.body or "" for i in range(n) for r in bindings.nested_documents(spark, str(tmp_path), (i, n)).collect()) for n in (1, 3)]
+    assert [len(b) for b in bodies[0]] == [len(b) for b in bodies[1]] and len(bodies[0]) == 10
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")
